@@ -1,0 +1,40 @@
+"""Write an intermediate result once and carry on from the written copy."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """Folder for intermediate tables that every executor can reach.
+
+    The cluster names it in ``spark.checkpoint.dir``.  Only a local session may
+    go without: there a temporary folder becomes the checkpoint folder.
+    """
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    if configured:
+        return configured.rstrip("/")
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        if not context.master.startswith("local"):
+            raise RuntimeError(
+                "set spark.checkpoint.dir to a folder that all executors share"
+            )
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="clientele-"))
+    return context.getCheckpointDir().rstrip("/")
+
+
+def settle(frame: DataFrame) -> DataFrame:
+    """Store ``frame`` as a parquet table and return a scan of it.
+
+    Used where several passes need the same rows, or need them in the same
+    physical grouping.  The copy outlives lost executors, cuts the lineage, is
+    read column by column, and gives the planner true sizes for its join choice.
+    """
+    spark = frame.sparkSession
+    path = f"{shared_folder(spark)}/settled-{uuid.uuid4().hex}"
+    frame.write.parquet(path)
+    return spark.read.schema(frame.schema).parquet(path)

@@ -1,0 +1 @@
+"""Deliberately empty: every analysis here is a batch query over whole tables."""
