@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from clientele.config import AnalysisConfig
@@ -44,24 +44,25 @@ def _totals(items: DataFrame, *keys: str) -> DataFrame:
     )
 
 
-def _growth(*partition: str) -> Column:
-    """Growth over the previous month that has any revenue row.
+def _with_growth(totals: DataFrame, *partition: str) -> DataFrame:
+    """Add the growth over the previous month that has any revenue row.
 
     The window sees one row per month, within a category if one is given.
     """
-    before = F.lag("revenue").over(Window.partitionBy(*partition).orderBy(MONTH))
-    return rounded_ratio(
-        (money_units(F.col("revenue")) - money_units(before)) * 100, money_units(before), 2
+    months = Window.partitionBy(*partition).orderBy(MONTH)
+    units = totals.withColumn("units", money_units(F.col("revenue"))).withColumn(
+        "units_before", F.lag("units").over(months)
     )
+    change = (F.col("units") - F.col("units_before")) * 100
+    return units.withColumn(
+        "mom_growth_pct", rounded_ratio(change, F.col("units_before"), 2)
+    ).drop("units", "units_before")
 
 
 def monthly_category_revenue(tables: Tables, config: AnalysisConfig) -> DataFrame:
     """Orders, revenue, and growth per month and category."""
-    return (
-        _totals(_item_revenue(tables, config, True), MONTH, CATEGORY)
-        .withColumn("mom_growth_pct", _growth(CATEGORY))
-        .withColumn("revenue", F.round("revenue", 2))
-    )
+    totals = _totals(_item_revenue(tables, config, True), MONTH, CATEGORY)
+    return _with_growth(totals, CATEGORY).withColumn("revenue", F.round("revenue", 2))
 
 
 # Summary level by grouping id of (category, month).
@@ -127,8 +128,7 @@ def month_extremes(tables: Tables, config: AnalysisConfig) -> DataFrame:
     """Best and worst month by revenue, with growth over the month before."""
     months = _totals(_item_revenue(tables, config, False), MONTH)
     return _extremes(
-        months.withColumn("mom_growth_pct", _growth()), "Month", MONTH, "order_count",
-        "revenue", "mom_growth_pct",
+        _with_growth(months), "Month", MONTH, "order_count", "revenue", "mom_growth_pct"
     ).withColumn("revenue", F.round("revenue", 2))
 
 

@@ -107,8 +107,11 @@ def hot_persons(tables: Tables, config: AnalysisConfig) -> DataFrame | None:
     """Persons with too many orders for one task; None if there is none.
 
     At most (all orders / ``hot_person_rows``) persons can qualify, which bounds
-    the table.  Counting reads one column and combines before each shuffle.
+    the table.  Counting reads one column and combines before each shuffle; it
+    is left out where the whole order table is smaller than that.
     """
+    if tables.orders.count() <= config.hot_person_rows:
+        return None
     per_customer = qualified_orders(tables, config).groupBy("customer_id").count()
     hot = settle(
         per_customer.join(known_persons(tables), "customer_id")

@@ -104,17 +104,21 @@ def rfm_segment_summary(summary: DataFrame, config: AnalysisConfig) -> DataFrame
     )
     # There is one row per segment by now.
     everyone = Window.partitionBy()
-    units = money_units(F.col("revenue"))
-    return segments.select(
+    units, all_units = F.col("units"), F.col("all_units")
+    totals = segments.withColumn("units", money_units(F.col("revenue"))).withColumns(
+        {
+            "all_customers": F.sum("customer_count").over(everyone),
+            "all_units": F.sum("units").over(everyone),
+        }
+    )
+    return totals.select(
         "customer_segment",
         "customer_count",
-        rounded_ratio(
-            F.col("customer_count") * 100, F.sum("customer_count").over(everyone), 2
-        ).alias("customer_share_pct"),
-        F.round("revenue", 2).alias("segment_revenue"),
-        rounded_ratio(units * 100, F.sum(units).over(everyone), 2).alias(
-            "revenue_contribution_pct"
+        rounded_ratio(F.col("customer_count") * 100, F.col("all_customers"), 2).alias(
+            "customer_share_pct"
         ),
+        F.round("revenue", 2).alias("segment_revenue"),
+        rounded_ratio(units * 100, all_units, 2).alias("revenue_contribution_pct"),
         rounded_ratio(units, F.col("customer_count") * 10_000, 2).alias(
             "average_customer_revenue"
         ),

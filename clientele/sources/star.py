@@ -7,17 +7,7 @@ decimals.  Order states keep their one-letter codes; see ``STAR_CONFIG``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql.types import (
-    DoubleType,
-    IntegerType,
-    LongType,
-    StringType,
-    StructField,
-    StructType,
-    TimestampNTZType,
-)
+from pyspark.sql import SparkSession
 
 from clientele.config import AnalysisConfig
 from clientele.sources.derived import reviews_from_orders
@@ -26,37 +16,17 @@ from clientele.sources.schemas import Tables
 # P plays the part of a canceled order, F that of a delivered one.
 STAR_CONFIG = AnalysisConfig(excluded_statuses=("P",), delivered_status="F")
 
-_LONG, _INT, _REAL, _TEXT, _TIME = (
-    LongType(),
-    IntegerType(),
-    DoubleType(),
-    StringType(),
-    TimestampNTZType(),
-)
-
+# The columns in use; the files hold more.
 _COLUMNS = {
-    "customer": {"c_custkey": _LONG, "c_name": _TEXT, "c_nationkey": _INT, "c_mktsegment": _TEXT},
-    "orders": {
-        "o_orderkey": _LONG,
-        "o_custkey": _LONG,
-        "o_orderstatus": _TEXT,
-        "o_orderdate": _TIME,
-    },
-    "part": {"p_partkey": _LONG, "p_type": _TEXT},
-    "lineitem": {
-        "l_orderkey": _LONG,
-        "l_linenumber": _INT,
-        "l_partkey": _LONG,
-        "l_extendedprice": _REAL,
-        "l_discount": _REAL,
-        "l_tax": _REAL,
-    },
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_mktsegment string",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, "
+    "o_orderdate timestamp_ntz",
+    "part": "p_partkey bigint, p_type string",
+    "lineitem": "l_orderkey bigint, l_linenumber int, l_partkey bigint, "
+    "l_extendedprice double, l_discount double, l_tax double",
 }
 
-
-def _scan(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    schema = StructType([StructField(c, t) for c, t in _COLUMNS[name].items()])
-    return spark.read.schema(schema).parquet(f"{folder.rstrip('/')}/{name}.parquet")
+_PRICE = "CAST(l_extendedprice AS DECIMAL(12, 2))"
 
 
 def star_tables(spark: SparkSession, folder: str, customers_per_person: int = 1) -> Tables:
@@ -65,48 +35,52 @@ def star_tables(spark: SparkSession, folder: str, customers_per_person: int = 1)
     With ``customers_per_person`` above 1, that many consecutive customer
     records belong to one person.
     """
-    line = _scan(spark, folder, "lineitem")
-    price, discount, tax = (
-        F.col(c).cast("decimal(12,2)") for c in ("l_extendedprice", "l_discount", "l_tax")
-    )
-    person = F.col("c_custkey")
-    if customers_per_person != 1:
-        person = F.call_function("div", person, F.lit(customers_per_person))
-    orders = _scan(spark, folder, "orders").select(
-        F.col("o_orderkey").alias("order_id"),
-        F.col("o_custkey").alias("customer_id"),
-        F.col("o_orderstatus").alias("order_status"),
-        F.col("o_orderdate").alias("order_purchase_timestamp"),
-        F.lit(None).cast("timestamp_ntz").alias("order_delivered_customer_date"),
-        F.lit(None).cast("timestamp_ntz").alias("order_estimated_delivery_date"),
+
+    def view(name: str, *columns: str):
+        path = f"{folder.rstrip('/')}/{name}.parquet"
+        return spark.read.schema(_COLUMNS[name]).parquet(path).selectExpr(*columns)
+
+    orders = view(
+        "orders",
+        "o_orderkey AS order_id",
+        "o_custkey AS customer_id",
+        "o_orderstatus AS order_status",
+        "o_orderdate AS order_purchase_timestamp",
+        "CAST(NULL AS TIMESTAMP_NTZ) AS order_delivered_customer_date",
+        "CAST(NULL AS TIMESTAMP_NTZ) AS order_estimated_delivery_date",
     )
+    person = f"c_custkey DIV {customers_per_person}" if customers_per_person > 1 else "c_custkey"
     return Tables(
-        customers=_scan(spark, folder, "customer").select(
-            F.col("c_custkey").alias("customer_id"),
-            person.alias("customer_unique_id"),
-            F.col("c_nationkey").alias("customer_zip_code_prefix"),
-            F.col("c_name").alias("customer_city"),
-            F.col("c_mktsegment").alias("customer_state"),
+        customers=view(
+            "customer",
+            "c_custkey AS customer_id",
+            f"{person} AS customer_unique_id",
+            "c_nationkey AS customer_zip_code_prefix",
+            "c_name AS customer_city",
+            "c_mktsegment AS customer_state",
         ),
         orders=orders,
-        products=_scan(spark, folder, "part").select(
-            F.col("p_partkey").alias("product_id"),
+        products=view(
+            "part",
+            "p_partkey AS product_id",
             # One type stands for products without a category.
-            F.nullif(F.col("p_type"), F.lit("PROMO")).alias("product_category_name"),
+            "nullif(p_type, 'PROMO') AS product_category_name",
         ),
-        order_items=line.select(
-            F.col("l_orderkey").alias("order_id"),
-            F.col("l_linenumber").alias("order_item_id"),
-            F.col("l_partkey").alias("product_id"),
-            price.alias("price"),
-            (price * tax).alias("freight_value"),
+        order_items=view(
+            "lineitem",
+            "l_orderkey AS order_id",
+            "l_linenumber AS order_item_id",
+            "l_partkey AS product_id",
+            f"{_PRICE} AS price",
+            f"{_PRICE} * CAST(l_tax AS DECIMAL(12, 2)) AS freight_value",
         ),
-        payments=line.select(
-            F.col("l_orderkey").alias("order_id"),
-            F.col("l_linenumber").alias("payment_sequential"),
-            F.lit("credit_card").alias("payment_type"),
-            F.lit(1).alias("payment_installments"),
-            (price * (1 - discount)).alias("payment_value"),
+        payments=view(
+            "lineitem",
+            "l_orderkey AS order_id",
+            "l_linenumber AS payment_sequential",
+            "'credit_card' AS payment_type",
+            "1 AS payment_installments",
+            f"{_PRICE} * (1 - CAST(l_discount AS DECIMAL(12, 2))) AS payment_value",
         ),
         reviews=reviews_from_orders(orders, STAR_CONFIG),
     )
