@@ -1,0 +1,137 @@
+from datetime import datetime
+from decimal import Decimal
+
+import pytest
+from helpers import make_tables
+
+from clientele import Analytics, read_tables
+from clientele.operators import insert_ignore, settle
+from clientele.operators.inserts import keep_first, new_rows
+from clientele.operators.settle import shared_folder
+from clientele.plans import quality
+from clientele.plans.measure import measure, plan_nodes, plan_text
+from clientele.sources import SCHEMAS, save_bucketed, write_tables
+from clientele.sources.derived import payments_from_items
+from clientele.sources.seed import load_seed
+from clientele.sources.storage import refresh_statistics, saved_tables
+
+
+@pytest.mark.parametrize("format", ["parquet", "orc"])
+def test_written_tables_read_back(spark, tmp_path, format):
+    seed = load_seed(spark)
+    write_tables(seed, str(tmp_path), format)
+    back = read_tables(spark, str(tmp_path), format)
+    for name, frame in seed.named().items():
+        read = back.named()[name]
+        assert [(f.name, f.dataType) for f in read.schema] == [
+            (f.name, f.dataType) for f in SCHEMAS[name]
+        ]
+        assert sorted(map(str, read.collect())) == sorted(map(str, frame.collect()))
+
+
+def test_csv_columns_are_matched_by_name(spark, tmp_path):
+    write_tables(load_seed(spark), str(tmp_path))
+    files = {
+        "customers.csv": "customer_city,customer_id,customer_state,customer_unique_id,"
+        "customer_zip_code_prefix\nsao paulo,c1,SP,u1,01310\n",
+        "orders.csv": "order_id,customer_id,order_status,order_purchase_timestamp,"
+        "order_approved_at,order_delivered_customer_date,order_estimated_delivery_date\n"
+        "o1,c1,delivered,2018-01-31 23:59:59,2018-02-01 00:10:00,,2018-02-20 00:00:00\n",
+        "products.csv": "product_id,product_category_name,weight\np1,,20\n",
+        "order_items.csv": "order_id,order_item_id,product_id,price,freight_value\n"
+        "o1,1,p1,58.90,13.29\n",
+        "payments.csv": "order_id,payment_sequential,payment_type,payment_installments,"
+        "payment_value\no1,1,boleto,1,72.19\n",
+        "reviews.csv": "review_id,order_id,review_score,review_comment_title,"
+        'review_comment_message\nr1,o1,4,,"two\nlines, with ""quotes"""\n',
+    }
+    for name, text in files.items():
+        (tmp_path / name).write_text(text)
+    tables = read_tables(
+        spark, str(tmp_path), "csv", {name.split(".")[0]: name for name in files}
+    )
+    assert tables.customers.first().customer_zip_code_prefix == 1310
+    order = tables.orders.first()
+    assert order.order_purchase_timestamp == datetime(2018, 1, 31, 23, 59, 59)
+    assert order.order_delivered_customer_date is None
+    assert tables.products.first().product_category_name is None
+    assert tables.payments.first().payment_value == Decimal("72.19")
+    assert tables.reviews.first().review_comment_message == 'two\nlines, with "quotes"'
+    assert tables.reviews.count() == 1
+    assert {r.status for r in quality.schema_report(spark, tables.named()).collect()} == {"ok"}
+    assert Analytics(tables).check_tables().filter("violations > 0").count() == 0
+
+
+def test_malformed_csv_value_is_an_error(spark, tmp_path):
+    from clientele.sources.storage import read_csv
+
+    file = tmp_path / "payments.csv"
+    file.write_text(
+        "order_id,payment_sequential,payment_type,payment_installments,payment_value\no1,1,x,1,many\n"
+    )
+    with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+        read_csv(spark, str(file), "payments").collect()
+
+
+def test_saved_layout_joins_without_shuffle(spark):
+    spark.sql("CREATE DATABASE IF NOT EXISTS layout")
+    save_bucketed(load_seed(spark), "layout", buckets=4)
+    refresh_statistics(spark, "layout")
+    tables = saved_tables(spark, "layout")
+    broadcast = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        paid = tables.orders.join(
+            tables.payments.groupBy("order_id").sum("payment_value"), "order_id"
+        )
+        assert plan_nodes(paid, "Exchange") == 0
+        by_customer = saved_tables(spark, "layout", by_customer=True)
+        assert plan_nodes(by_customer.orders.join(by_customer.customers, "customer_id"), "Exchange") == 0
+        # Cohorts: persons, the counts, and their window remain.
+        plain = plan_nodes(Analytics(load_seed(spark)).cohort_retention_long(), "Exchange")
+        saved = plan_nodes(Analytics(by_customer).cohort_retention_long(), "Exchange")
+        assert saved == 3 < plain
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    assert len(Analytics(tables).customer_clv().collect()) == 8
+
+
+def test_insert_ignore(spark):
+    schema = "k int, v string, w int"
+    old = spark.createDataFrame([(1, "old", 0), (2, "old", 0)], schema)
+    batch = spark.createDataFrame(
+        [(2, "new", 1), (3, "b", 9), (3, "a", 5), (3, "c", 5), (4, None, 2)], schema
+    )
+    rows = sorted(tuple(r) for r in insert_ignore(old, batch, ["k"], ["w"]).collect())
+    assert rows == [(1, "old", 0), (2, "old", 0), (3, "a", 5), (4, None, 2)]
+    assert sorted(r.k for r in new_rows(old, batch, ["k"]).collect()) == [3, 4]
+
+
+def test_keep_first_when_all_columns_are_the_key(spark):
+    rows = spark.createDataFrame([(1,), (1,), (2,)], "k int")
+    assert sorted(r.k for r in keep_first(rows, ["k"]).collect()) == [1, 2]
+
+
+def test_derived_payments_take_the_first_item(spark):
+    tables = make_tables(
+        spark,
+        [("o", "c", "2024-01-01")],
+        items=[("o", 2, "p", "9.00", "1.00"), ("o", 1, "p", "20.00", "0.50")],
+    )
+    rows = payments_from_items(tables.order_items).collect()
+    assert [(r.order_id, r.payment_sequential, r.payment_value) for r in rows] == [
+        ("o", 1, Decimal("20.50"))
+    ]
+
+
+def test_settled_rows_live_in_the_shared_folder(spark):
+    frame = settle(spark.range(10))
+    assert shared_folder(spark) in frame.inputFiles()[0]
+    assert frame.count() == 10
+
+
+def test_measurement(spark):
+    frame = spark.range(1000).selectExpr("id % 7 AS k").groupBy("k").count()
+    result = measure(frame, runs=2)
+    assert result.seconds > 0 and result.exchanges == 1
+    assert result.plan == plan_text(frame) and "HashAggregate" in result.plan
