@@ -40,7 +40,7 @@ class AnalysisConfig:
 
     # Physical choices; they never change a result.
     # Up to this many persons are ranked by one task, more by distributed cuts.
-    single_task_rows: int = 500_000
+    single_task_rows: int = 100_000
     # A person with more orders than this is split over several tasks.
     hot_person_rows: int = 5_000_000
 

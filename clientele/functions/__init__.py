@@ -3,20 +3,26 @@
 from clientele.functions.dates import calendar_month, month_offset
 from clientele.functions.numeric import (
     MONEY,
+    UNITS_PER_AMOUNT,
     WHOLE,
+    cents,
+    money,
     money_units,
-    rounded_division,
     rounded_ratio,
+    row_ratio,
     whole_division,
 )
 
 __all__ = [
     "MONEY",
+    "UNITS_PER_AMOUNT",
     "WHOLE",
     "calendar_month",
+    "cents",
+    "money",
     "money_units",
     "month_offset",
-    "rounded_division",
     "rounded_ratio",
+    "row_ratio",
     "whole_division",
 ]

@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from clientele.operators.settle import settle
 
-# Carries counts, days, amounts, and 12-decimal projections as whole numbers.
-_SORT_VALUE = "decimal(38,4)"
+# Holds 64-bit counts, days, and amounts, and projections with 12 decimals.
+_SORT_VALUE = "decimal(38,12)"
 
 
 @dataclass(frozen=True)
@@ -34,7 +34,11 @@ class Banding:
     # cuts on the percent rank of the value.
     split_ties: bool = True
 
+    def order(self) -> Column:
+        return F.desc(self.value) if self.descending else F.asc(self.value)
+
     def sort_value(self) -> Column:
+        """A type shared with other bandings, ascending."""
         value = F.col(self.value).cast(_SORT_VALUE)
         return -value if self.descending else value
 
@@ -70,10 +74,10 @@ def _by_window(
     columns = {}
     for banding in bandings:
         if banding.split_ties:
-            order = Window.orderBy(banding.sort_value(), F.col(key))
+            order = Window.orderBy(banding.order(), F.col(key))
             columns[banding.output] = F.ntile(banding.bands).over(order)
         else:
-            below = F.rank().over(Window.orderBy(banding.sort_value())) - 1
+            below = F.rank().over(Window.orderBy(banding.order())) - 1
             band = F.call_function("div", below * banding.bands, F.lit(max(rows - 1, 1)))
             columns[banding.output] = F.least(band + 1, F.lit(banding.bands)).cast("int")
     return frame.withColumns(columns)

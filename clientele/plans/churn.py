@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clientele.config import AnalysisConfig
-from clientele.functions import rounded_ratio
+from clientele.functions import WHOLE, cents, rounded_ratio, row_ratio
 from clientele.plans.orders import PERSON
 from clientele.plans.rfm import score_customers, with_analysis_date
 
@@ -65,9 +65,9 @@ def churn_flags(
         "last_order_date",
         "analysis_date",
         F.col("recency_days").alias("days_since_last_order"),
-        rounded_ratio(*_expected_gap(config, fixed_days), 1).alias("expected_gap_days"),
-        rounded_ratio(days, gaps, 1).alias("average_gap_days"),
-        F.round("revenue", 2).alias("monetary_value"),
+        row_ratio(*_expected_gap(config, fixed_days), 1).alias("expected_gap_days"),
+        row_ratio(days, gaps, 1).alias("average_gap_days"),
+        cents(F.col("revenue_units")).alias("monetary_value"),
         churn_status(config, fixed_days).alias("churn_status"),
     )
 
@@ -81,7 +81,7 @@ def customer_status(summary: DataFrame, config: AnalysisConfig) -> DataFrame:
         "rfm_score",
         "recency_days",
         F.col("order_count").alias("frequency"),
-        F.round("revenue", 2).alias("monetary_value"),
+        cents(F.col("revenue_units")).alias("monetary_value"),
     )
 
 
@@ -92,14 +92,14 @@ def churn_by_segment(summary: DataFrame, config: AnalysisConfig) -> DataFrame:
         .groupBy("customer_segment", churn_status(config).alias("churn_status"))
         .agg(
             F.count("*").alias("customer_count"),
-            F.sum("revenue").alias("revenue"),
+            F.sum(F.col("revenue_units").cast(WHOLE)).alias("units"),
             F.sum("recency_days").alias("days"),
         )
         .select(
             "customer_segment",
             "churn_status",
             "customer_count",
-            F.round("revenue", 2).alias("segment_revenue"),
+            cents(F.col("units")).alias("segment_revenue"),
             rounded_ratio(F.col("days"), F.col("customer_count"), 1).alias(
                 "average_recency_days"
             ),

@@ -9,44 +9,47 @@ person without iterating over months.
 
 from __future__ import annotations
 
-from decimal import Decimal
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clientele.config import AnalysisConfig
-from clientele.functions import WHOLE, money_units, rounded_division, rounded_ratio
+from clientele.functions import UNITS_PER_AMOUNT, WHOLE, cents, rounded_ratio, row_ratio
 from clientele.operators import Banding, assign_bands
 from clientele.plans.orders import PERSON
 
 # The name of each band, best first.
 TIERS = ("Top CLV", "High CLV", "Mid CLV", "Low CLV")
 
-_UNITS_PER_AMOUNT = 10_000
-# Projections are carried as whole multiples of 1e-12.
-_PROJECTION_UNITS_PER_MONEY_UNIT = Decimal(10) ** 8
-_PROJECTION_UNITS_PER_AMOUNT = Decimal(10) ** 12
-
-
-def _whole(column: Column) -> Column:
-    return column.cast(WHOLE)
+# Digits the projection keeps behind its unit, for ranking and adding up.
+_KEPT_DIGITS = 12
+_KEPT_PER_UNIT = 10**_KEPT_DIGITS
 
 
 def _line(config: AnalysisConfig) -> tuple[Column, Column]:
     """Numerator of one month (``a``) and common divisor (``s*b + a``)."""
     month = config.month_fraction
-    span = F.datediff("last_order_date", "first_order_date")
-    step = F.lit(month.numerator)
-    return _whole(step), _whole(span) * month.denominator + step
+    span = F.datediff("last_order_date", "first_order_date").cast("bigint")
+    step = F.lit(month.numerator).cast("bigint")
+    return step, span * month.denominator + step
 
 
-def _with_projection(summary: DataFrame, config: AnalysisConfig) -> DataFrame:
-    """Add the projected value; money lost so far is not projected further."""
+def _wide_product(units: Column, factor: Column) -> Column:
+    return units.cast("decimal(19,0)") * factor.cast("decimal(19,0)")
+
+
+def _at_horizon(config: AnalysisConfig) -> tuple[Column, Column]:
+    """The projected value as a ratio; money lost so far is not projected."""
     step, divisor = _line(config)
-    revenue = money_units(F.col("revenue"))
+    revenue = F.col("revenue_units")
     months = F.when(revenue < 0, F.lit(0)).otherwise(F.lit(config.projection_months))
-    at_horizon = revenue * (divisor + step * months) * F.lit(_PROJECTION_UNITS_PER_MONEY_UNIT)
-    return summary.withColumn("projected_units", rounded_division(at_horizon, divisor))
+    return _wide_product(revenue, divisor + step * months), divisor
+
+
+def _with_projection(summary: DataFrame, config: AnalysisConfig) -> DataFrame:
+    dividend, divisor = _at_horizon(config)
+    # The decimals of a quotient follow from the digits of its divisor.
+    kept = dividend.cast("decimal(26,0)") / divisor.cast(f"decimal({_KEPT_DIGITS - 1},0)")
+    return summary.withColumn("projected_units", kept)
 
 
 def clv_projection_path(summary: DataFrame, config: AnalysisConfig) -> DataFrame:
@@ -58,9 +61,9 @@ def clv_projection_path(summary: DataFrame, config: AnalysisConfig) -> DataFrame
     ).select(
         PERSON,
         "projection_month",
-        rounded_ratio(
-            money_units(F.col("revenue")) * (divisor + step * F.col("projection_month")),
-            divisor * _UNITS_PER_AMOUNT,
+        row_ratio(
+            _wide_product(F.col("revenue_units"), divisor + step * F.col("projection_month")),
+            divisor * UNITS_PER_AMOUNT,
             2,
         ).alias("cumulative_projected_clv"),
     )
@@ -82,21 +85,20 @@ def _tier() -> Column:
 def customer_clv(summary: DataFrame, config: AnalysisConfig) -> DataFrame:
     """Value so far, observed rhythm, projected value, and tier of each person."""
     step, divisor = _line(config)
-    revenue, orders = money_units(F.col("revenue")), _whole(F.col("order_count"))
+    at_horizon, _ = _at_horizon(config)
+    revenue, orders = F.col("revenue_units"), F.col("order_count")
     return _ranked(summary, config).select(
         PERSON,
         "order_count",
         "first_order_date",
         "last_order_date",
-        F.round("revenue", 2).alias("historical_revenue"),
-        rounded_ratio(revenue, orders * _UNITS_PER_AMOUNT, 2).alias("average_order_value"),
-        rounded_ratio(orders * step, divisor, 4).alias("monthly_order_frequency"),
-        rounded_ratio(revenue * step, divisor * _UNITS_PER_AMOUNT, 2).alias(
+        cents(revenue).alias("historical_revenue"),
+        row_ratio(revenue, orders * UNITS_PER_AMOUNT, 2).alias("average_order_value"),
+        row_ratio(orders * step, divisor, 4).alias("monthly_order_frequency"),
+        row_ratio(_wide_product(revenue, step), divisor * UNITS_PER_AMOUNT, 2).alias(
             "projected_monthly_revenue"
         ),
-        rounded_ratio(
-            F.col("projected_units"), F.lit(_PROJECTION_UNITS_PER_AMOUNT), 2
-        ).alias("projected_12_month_clv"),
+        row_ratio(at_horizon, divisor * UNITS_PER_AMOUNT, 2).alias("projected_12_month_clv"),
         "clv_quartile",
         _tier().alias("clv_tier"),
     )
@@ -104,24 +106,22 @@ def customer_clv(summary: DataFrame, config: AnalysisConfig) -> DataFrame:
 
 def clv_tier_summary(summary: DataFrame, config: AnalysisConfig) -> DataFrame:
     """Number of persons and their unrounded projected value, per tier."""
+    one = F.lit(_KEPT_PER_UNIT * UNITS_PER_AMOUNT).cast(WHOLE)
     return (
         _ranked(summary, config)
         .groupBy("clv_quartile")
         .agg(
             F.count("*").alias("customer_count"),
-            F.sum("projected_units").cast(WHOLE).alias("units"),
+            F.sum("projected_units").alias("units"),
         )
+        .withColumn("kept", (F.col("units") * F.lit(_KEPT_PER_UNIT)).cast(WHOLE))
         .select(
             "clv_quartile",
             _tier().alias("clv_tier"),
             "customer_count",
-            rounded_ratio(
-                F.col("units"), F.lit(_PROJECTION_UNITS_PER_AMOUNT), 2
-            ).alias("projected_clv_total"),
-            rounded_ratio(
-                F.col("units"),
-                _whole(F.col("customer_count")) * F.lit(_PROJECTION_UNITS_PER_AMOUNT),
-                2,
-            ).alias("projected_clv_average"),
+            rounded_ratio(F.col("kept"), one, 2).alias("projected_clv_total"),
+            rounded_ratio(F.col("kept"), F.col("customer_count") * one, 2).alias(
+                "projected_clv_average"
+            ),
         )
     )

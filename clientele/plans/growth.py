@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from clientele.config import AnalysisConfig
-from clientele.functions import MONEY, calendar_month, money_units, rounded_ratio
+from clientele.functions import calendar_month, cents, money_units, rounded_ratio
 from clientele.plans.orders import qualified_orders
 from clientele.sources.schemas import Tables
 
@@ -22,13 +22,13 @@ def _item_revenue(tables: Tables, config: AnalysisConfig, by_category: bool) ->
     items = tables.order_items.select(
         "order_id",
         "product_id",
-        (F.col("price") + F.col("freight_value")).cast(MONEY).alias("amount"),
+        money_units(F.col("price") + F.col("freight_value")).alias("units"),
     )
     if by_category:
         products = tables.products.select("product_id", "product_category_name")
         items = items.join(products, "product_id", "left").select(
             "order_id",
-            "amount",
+            "units",
             F.coalesce("product_category_name", F.lit(config.unknown_category)).alias(CATEGORY),
         )
     orders = qualified_orders(tables, config).select(
@@ -40,7 +40,7 @@ def _item_revenue(tables: Tables, config: AnalysisConfig, by_category: bool) ->
 def _totals(items: DataFrame, *keys: str) -> DataFrame:
     return items.groupBy(*keys).agg(
         F.count_distinct("order_id").alias("order_count"),
-        F.sum("amount").alias("revenue"),
+        F.sum("units").alias("units"),
     )
 
 
@@ -50,19 +50,21 @@ def _with_growth(totals: DataFrame, *partition: str) -> DataFrame:
     The window sees one row per month, within a category if one is given.
     """
     months = Window.partitionBy(*partition).orderBy(MONTH)
-    units = totals.withColumn("units", money_units(F.col("revenue"))).withColumn(
-        "units_before", F.lag("units").over(months)
+    before = F.col("units_before")
+    change = (F.col("units").cast("decimal(19,0)") - before) * 100
+    return (
+        totals.withColumn("units_before", F.lag("units").over(months))
+        .withColumn("mom_growth_pct", rounded_ratio(change, before, 2))
+        .drop("units_before")
     )
-    change = (F.col("units") - F.col("units_before")) * 100
-    return units.withColumn(
-        "mom_growth_pct", rounded_ratio(change, F.col("units_before"), 2)
-    ).drop("units", "units_before")
 
 
 def monthly_category_revenue(tables: Tables, config: AnalysisConfig) -> DataFrame:
     """Orders, revenue, and growth per month and category."""
     totals = _totals(_item_revenue(tables, config, True), MONTH, CATEGORY)
-    return _with_growth(totals, CATEGORY).withColumn("revenue", F.round("revenue", 2))
+    return _with_growth(totals, CATEGORY).select(
+        MONTH, CATEGORY, "order_count", cents(F.col("units")).alias("revenue"), "mom_growth_pct"
+    )
 
 
 # Summary level by grouping id of (category, month).
@@ -112,29 +114,29 @@ def _extremes(totals: DataFrame, what: str, *columns: str) -> DataFrame:
     """
     ranked = totals.withColumns(
         {
-            "highest": F.rank().over(Window.orderBy(F.desc("revenue"))),
-            "lowest": F.rank().over(Window.orderBy(F.asc("revenue"))),
+            "highest": F.rank().over(Window.orderBy(F.desc("units"))),
+            "lowest": F.rank().over(Window.orderBy(F.asc("units"))),
         }
     )
     flag = F.when(F.col("highest") == 1, f"Best Revenue {what}").when(
         F.col("lowest") == 1, f"Lowest Revenue {what}"
     )
     return ranked.filter("highest = 1 OR lowest = 1").select(
-        *columns, flag.alias("performance_flag")
+        columns[0],
+        "order_count",
+        cents(F.col("units")).alias("revenue"),
+        *columns[1:],
+        flag.alias("performance_flag"),
     )
 
 
 def month_extremes(tables: Tables, config: AnalysisConfig) -> DataFrame:
     """Best and worst month by revenue, with growth over the month before."""
     months = _totals(_item_revenue(tables, config, False), MONTH)
-    return _extremes(
-        _with_growth(months), "Month", MONTH, "order_count", "revenue", "mom_growth_pct"
-    ).withColumn("revenue", F.round("revenue", 2))
+    return _extremes(_with_growth(months), "Month", MONTH, "mom_growth_pct")
 
 
 def category_extremes(tables: Tables, config: AnalysisConfig) -> DataFrame:
     """Best and worst category by revenue over all months."""
     categories = _totals(_item_revenue(tables, config, True), CATEGORY)
-    return _extremes(
-        categories, "Category", CATEGORY, "order_count", "revenue"
-    ).withColumn("revenue", F.round("revenue", 2))
+    return _extremes(categories, "Category", CATEGORY)

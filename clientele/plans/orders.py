@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clientele.config import AnalysisConfig
-from clientele.functions import MONEY, calendar_month
+from clientele.functions import calendar_month, money, money_units
 from clientele.operators import ordered_history, settle
 from clientele.sources.schemas import Tables
 
@@ -29,10 +29,16 @@ def known_persons(tables: Tables) -> DataFrame:
     return tables.customers.filter(F.col(PERSON).isNotNull()).select("customer_id", PERSON)
 
 
+def _order_units(tables: Tables) -> DataFrame:
+    return tables.payments.groupBy("order_id").agg(
+        F.sum(money_units(F.col("payment_value"))).alias("order_units")
+    )
+
+
 def order_revenue(tables: Tables) -> DataFrame:
     """What was paid for each order, over all its payments."""
-    return tables.payments.groupBy("order_id").agg(
-        F.sum("payment_value").cast(MONEY).alias("order_revenue")
+    return _order_units(tables).select(
+        "order_id", money(F.col("order_units")).alias("order_revenue")
     )
 
 
@@ -49,30 +55,36 @@ def _paid_orders(tables: Tables, config: AnalysisConfig) -> DataFrame:
             "customer_id",
             F.to_date("order_purchase_timestamp").alias("order_date"),
         )
-        .join(order_revenue(tables), "order_id", "left")
+        .join(_order_units(tables), "order_id", "left")
         .select(
             "customer_id",
             "order_id",
             "order_date",
-            F.coalesce("order_revenue", F.lit(0).cast(MONEY)).alias("order_revenue"),
+            F.coalesce("order_units", F.lit(0)).alias("order_units"),
         )
         .distinct()
     )
 
 
-def customer_orders(tables: Tables, config: AnalysisConfig) -> DataFrame:
-    """The qualified order history of every person; unpaid orders are worth 0."""
+def _person_orders(tables: Tables, config: AnalysisConfig) -> DataFrame:
     return (
         _paid_orders(tables, config)
         .join(known_persons(tables), "customer_id")
         # Ends repeated customer records; partitioned by customer or order already.
         .distinct()
-        .select(PERSON, "order_id", "order_date", "order_revenue")
+        .select(PERSON, "order_id", "order_date", "order_units")
+    )
+
+
+def customer_orders(tables: Tables, config: AnalysisConfig) -> DataFrame:
+    """The qualified order history of every person; unpaid orders are worth 0."""
+    return _person_orders(tables, config).select(
+        PERSON, "order_id", "order_date", money(F.col("order_units")).alias("order_revenue")
     )
 
 
 def customer_summary(tables: Tables, config: AnalysisConfig) -> DataFrame:
-    """One settled row per person: order_count, first and last date, revenue.
+    """One settled row per person: order_count, first and last date, revenue_units.
 
     Orders are totalled per customer record before they meet the customer
     table.  A customer with a large share of all orders is therefore one row in
@@ -87,7 +99,7 @@ def customer_summary(tables: Tables, config: AnalysisConfig) -> DataFrame:
             F.count("*").alias("order_count"),
             F.min("order_date").alias("first_order_date"),
             F.max("order_date").alias("last_order_date"),
-            F.sum("order_revenue").alias("revenue"),
+            F.sum("order_units").alias("revenue_units"),
         )
     )
     return settle(
@@ -98,7 +110,7 @@ def customer_summary(tables: Tables, config: AnalysisConfig) -> DataFrame:
             F.sum("order_count").alias("order_count"),
             F.min("first_order_date").alias("first_order_date"),
             F.max("last_order_date").alias("last_order_date"),
-            F.sum("revenue").cast(MONEY).alias("revenue"),
+            F.sum("revenue_units").alias("revenue_units"),
         )
     )
 
@@ -125,11 +137,11 @@ def hot_persons(tables: Tables, config: AnalysisConfig) -> DataFrame | None:
 
 def _history(tables: Tables, config: AnalysisConfig) -> DataFrame:
     return ordered_history(
-        customer_orders(tables, config),
+        _person_orders(tables, config),
         person=PERSON,
         date="order_date",
         tie_break="order_id",
-        amount="order_revenue",
+        amount="order_units",
         hot_persons=hot_persons(tables, config),
     )
 
@@ -140,8 +152,8 @@ def customer_running_revenue(tables: Tables, config: AnalysisConfig) -> DataFram
         PERSON,
         "order_id",
         "order_date",
-        "order_revenue",
-        F.col("cumulative_amount").alias("cumulative_revenue"),
+        money(F.col("order_units")).alias("order_revenue"),
+        money(F.col("cumulative_amount")).alias("cumulative_revenue"),
     )
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clientele.config import AnalysisConfig
-from clientele.functions import money_units, rounded_ratio
+from clientele.functions import UNITS_PER_AMOUNT, WHOLE, cents, rounded_ratio
 from clientele.operators import Banding, assign_bands
 from clientele.plans.orders import PERSON
 
@@ -69,7 +69,7 @@ def score_customers(summary: DataFrame, config: AnalysisConfig) -> DataFrame:
         [
             score("recency_score", "recency_days", descending=high),
             score("frequency_score", "order_count", descending=not high),
-            score("monetary_score", "revenue", descending=not high),
+            score("monetary_score", "revenue_units", descending=not high),
         ],
         config.single_task_rows,
     )
@@ -83,7 +83,7 @@ def rfm_customers(summary: DataFrame, config: AnalysisConfig) -> DataFrame:
         PERSON,
         "recency_days",
         F.col("order_count").alias("frequency"),
-        F.round("revenue", 2).alias("monetary_value"),
+        cents(F.col("revenue_units")).alias("monetary_value"),
         "recency_score",
         "frequency_score",
         "monetary_score",
@@ -99,13 +99,13 @@ def rfm_segment_summary(summary: DataFrame, config: AnalysisConfig) -> DataFrame
         .groupBy("customer_segment")
         .agg(
             F.count("*").alias("customer_count"),
-            F.sum("revenue").alias("revenue"),
+            F.sum(F.col("revenue_units").cast(WHOLE)).alias("units"),
         )
     )
     # There is one row per segment by now.
     everyone = Window.partitionBy()
     units, all_units = F.col("units"), F.col("all_units")
-    totals = segments.withColumn("units", money_units(F.col("revenue"))).withColumns(
+    totals = segments.withColumns(
         {
             "all_customers": F.sum("customer_count").over(everyone),
             "all_units": F.sum("units").over(everyone),
@@ -117,9 +117,9 @@ def rfm_segment_summary(summary: DataFrame, config: AnalysisConfig) -> DataFrame
         rounded_ratio(F.col("customer_count") * 100, F.col("all_customers"), 2).alias(
             "customer_share_pct"
         ),
-        F.round("revenue", 2).alias("segment_revenue"),
+        cents(units).alias("segment_revenue"),
         rounded_ratio(units * 100, all_units, 2).alias("revenue_contribution_pct"),
-        rounded_ratio(units, F.col("customer_count") * 10_000, 2).alias(
+        rounded_ratio(units, F.col("customer_count") * UNITS_PER_AMOUNT, 2).alias(
             "average_customer_revenue"
         ),
     )

@@ -94,11 +94,12 @@ FROM rates GROUP BY c"""
 
 # A month has 487/16 days.
 DIVISOR = "(16 * span + 487)"
-PICO = 10**12
+# Projections keep 12 digits behind the ten-thousandth.
+KEPT = 10**12
 
 
 def clv(person: str = "c_custkey") -> str:
-    at_horizon = f"u * 100000000 * ({DIVISOR} + 487 * CASE WHEN u < 0 THEN 0 ELSE 12 END)"
+    at_horizon = f"u * {KEPT} * ({DIVISOR} + 487 * CASE WHEN u < 0 THEN 0 ELSE 12 END)"
     rounded = f"(2 * abs({at_horizon}) + {DIVISOR}) // (2 * {DIVISOR})"
     return f"""{history(person)}, valued AS (
   SELECT *, CAST(sign(u) AS HUGEINT) * ({rounded}) AS v FROM person
@@ -118,15 +119,15 @@ SELECT person AS customer_unique_id, n AS order_count, {day("f")} AS first_order
        {ratio("u", f"n * {MONEY}", 2)} AS average_order_value,
        {ratio("n * 487", DIVISOR, 4)} AS monthly_order_frequency,
        {ratio("u * 487", f"{MONEY} * {DIVISOR}", 2)} AS projected_monthly_revenue,
-       {ratio("v", str(PICO), 2)} AS projected_12_month_clv,
+       {ratio("v", str(KEPT * MONEY), 2)} AS projected_12_month_clv,
        CAST(q AS BIGINT) AS clv_quartile, tier AS clv_tier
 FROM tiered"""
 
 
 CLV_TIERS = f"""{clv()}
 SELECT CAST(q AS BIGINT) AS clv_quartile, tier AS clv_tier, count(*) AS customer_count,
-       {ratio("sum(v)", str(PICO), 2)} AS projected_clv_total,
-       {ratio("sum(v)", f"count(*) * {PICO}", 2)} AS projected_clv_average
+       {ratio("sum(v)", str(KEPT * MONEY), 2)} AS projected_clv_total,
+       {ratio("sum(v)", f"count(*) * {KEPT * MONEY}", 2)} AS projected_clv_average
 FROM tiered GROUP BY q, tier"""
 
 CLV_PATH = f"""{history()}

@@ -4,7 +4,7 @@ from decimal import ROUND_HALF_UP, Decimal, localcontext
 import pytest
 from pyspark.sql import functions as F
 
-from clientele.functions import money_units, rounded_ratio, whole_division
+from clientele.functions import cents, money, money_units, rounded_ratio, row_ratio, whole_division
 
 
 def exact(n, d, places):
@@ -40,9 +40,38 @@ def test_whole_division_beyond_64_bits(spark):
     assert int(quotient) == (10**30 + 7) // 8
 
 
+@pytest.mark.parametrize("places", [1, 2, 4])
+def test_row_ratio(spark, places):
+    rng = random.Random(places)
+    limit = 10 ** (18 - places) - 1
+    pairs = [(1, 8), (-1, 8), (0, 5), (10**19 - 1, limit), (1 - 10**19, limit)]
+    pairs += [(rng.randint(-(10**18), 10**18), rng.randint(1, limit)) for _ in range(300)]
+    # Beyond the usual sizes.
+    pairs += [(10**19, 3), (-(10**19), 7), (5 * 10**18, limit + 1), (10**30, 10**17), (7, 10**18)]
+    pairs += [(rng.randint(-(10**6), 10**6), rng.randint(1, 10**4)) for _ in range(300)]
+    # Ties and their closest neighbours, for small and for the largest divisors.
+    for d in (2 * 10**places, 10 ** (places + 3), limit - limit % (2 * 10**places)):
+        for k in range(20):
+            tie = (2 * k + 1) * d // (2 * 10**places)
+            pairs += [(s * (tie + e), d) for s in (1, -1) for e in (-1, 0, 1)]
+    frame = spark.createDataFrame(
+        [(i, Decimal(n), Decimal(d)) for i, (n, d) in enumerate(pairs)],
+        "i int, n decimal(38,0), d decimal(38,0)",
+    )
+    rows = frame.select("i", row_ratio(F.col("n"), F.col("d"), places).alias("r")).collect()
+    for row in rows:
+        assert row.r == exact(*pairs[row.i], places), pairs[row.i]
+
+
 def test_money_units(spark):
-    frame = spark.createDataFrame([(Decimal("-12.3456"),), (None,)], "a decimal(28,4)")
-    assert [r[0] for r in frame.select(money_units(F.col("a"))).collect()] == [
-        Decimal(-123456),
-        None,
-    ]
+    frame = spark.createDataFrame([(Decimal("-12.3450"),), (None,)], "a decimal(12,4)")
+    units = frame.select(money_units(F.col("a")).alias("u"))
+    assert [r.u for r in units.collect()] == [-123450, None]
+    shown = units.select(money(F.col("u")), cents(F.col("u"))).collect()
+    assert [tuple(r) for r in shown] == [(Decimal("-12.345"), Decimal("-12.35")), (None, None)]
+
+
+def test_too_large_a_sum_is_an_error(spark):
+    frame = spark.createDataFrame([(Decimal(9 * 10**14),)] * 2, "a decimal(24,4)")
+    with pytest.raises(Exception, match="ARITHMETIC_OVERFLOW"):
+        frame.select(F.sum(money_units(F.col("a")))).collect()
