@@ -59,18 +59,18 @@ def rounded_ratio(dividend: Column, divisor: Column, places: int) -> Column:
     return (signed * F.lit(Decimal(1).scaleb(-places))).cast(f"decimal(38,{places})")
 
 
-def row_ratio(dividend: Column, divisor: Column, places: int) -> Column:
-    """``rounded_ratio`` by a positive divisor, for every row of a large table.
-
-    Usual sizes take one decimal division, the others the wide route.  The
-    quotient is first rounded past the divisor's number of digits, which cannot
-    create or hide a tie at ``places``: a ratio that is no tie lies at least
-    half of 10^(-places) / divisor away from one.
+def row_ratio(
+    dividend: Column, divisor: Column, places: int, divisor_digits: int = 16
+) -> Column:
+    """``rounded_ratio`` for every row of a large table: one decimal division.
+
+    Takes whole numbers: a positive divisor of at most ``divisor_digits`` digits
+    and a dividend of at most 38 - places - divisor_digits; longer ones are an
+    error.  The quotient is first rounded past the divisor's number of digits,
+    which cannot create or hide a tie at ``places``: a ratio that is no tie lies
+    at least half of 10^(-places) / divisor away from one.
     """
-    digits = 18 - places
-    a, b = dividend.cast(WHOLE), divisor.cast(WHOLE)
-    quotient = a.cast(f"decimal({19 + places},{places})") / b.cast(f"decimal({digits},0)")
-    usual = (F.abs(a) < F.lit(Decimal(10) ** 19)) & (b < F.lit(Decimal(10) ** digits))
-    return F.when(usual, F.round(quotient, places).cast(f"decimal(38,{places})")).otherwise(
-        rounded_ratio(dividend, divisor, places)
-    )
+    # Decimal division keeps the dividend's scale plus the divisor's digits plus 1.
+    digits = 38 - places - divisor_digits
+    a = dividend.cast(f"decimal({digits + places - 1},{places - 1})")
+    return F.round(a / divisor.cast(f"decimal({divisor_digits},0)"), places)

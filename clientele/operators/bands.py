@@ -15,12 +15,10 @@ from itertools import groupby
 
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from clientele.operators.settle import settle
 
-# Holds 64-bit counts, days, and amounts, and projections with 12 decimals.
-_SORT_VALUE = "decimal(38,12)"
-
 
 @dataclass(frozen=True)
 class Banding:
@@ -37,9 +35,9 @@ class Banding:
     def order(self) -> Column:
         return F.desc(self.value) if self.descending else F.asc(self.value)
 
-    def sort_value(self) -> Column:
-        """A type shared with other bandings, ascending."""
-        value = F.col(self.value).cast(_SORT_VALUE)
+    def sort_value(self, kind: str) -> Column:
+        """The value in a type shared with other bandings, ascending."""
+        value = F.col(self.value).cast(kind)
         return -value if self.descending else value
 
     def cut_ranks(self, rows: int) -> list[int]:
@@ -89,10 +87,12 @@ def _by_cuts(
     cuts = _find_cuts(frame, key, bandings, rows)
     columns = {}
     for number, banding in enumerate(bandings):
-        value, band = banding.sort_value(), F.lit(1)
+        # Comparing in the column's own type is far cheaper than in a wide one.
+        value, kind = F.col(banding.value), frame.schema[banding.value].dataType
+        band = F.lit(1)
         for cut in cuts.get(number, []):
-            cut_value = F.lit(cut["value"]).cast(_SORT_VALUE)
-            after = value > cut_value
+            cut_value = F.lit(-cut["value"] if banding.descending else cut["value"]).cast(kind)
+            after = value < cut_value if banding.descending else value > cut_value
             if banding.split_ties:
                 after = after | ((value == cut_value) & (F.col(key) > F.lit(cut["key"])))
             band = band + after.cast("int")
@@ -105,13 +105,19 @@ def _find_cuts(
 ) -> dict[int, list[Row]]:
     """The rows at every cut rank, by number of the banding."""
     # All bandings share one sort: their number leads the sort key.
+    kinds = [frame.schema[banding.value].dataType for banding in bandings]
+    whole = all(isinstance(kind, IntegralType) for kind in kinds)
+    shared_kind = "bigint" if whole else "decimal(38,12)"
     pairs = frame.select(
         F.col(key).alias("key"),
         F.explode(
             F.array(
                 *[
-                    F.struct(F.lit(n).alias("banding"), b.sort_value().alias("value"))
-                    for n, b in enumerate(bandings)
+                    F.struct(
+                        F.lit(number).alias("banding"),
+                        banding.sort_value(shared_kind).alias("value"),
+                    )
+                    for number, banding in enumerate(bandings)
                 ]
             )
         ).alias("pair"),

@@ -33,6 +33,12 @@ def _line(config: AnalysisConfig) -> tuple[Column, Column]:
     return step, span * month.denominator + step
 
 
+def _divisor_digits(config: AnalysisConfig) -> int:
+    """Digits of the divisor for a span of up to 270 years."""
+    month = config.month_fraction
+    return len(str(month.denominator * 100_000 + month.numerator))
+
+
 def _wide_product(units: Column, factor: Column) -> Column:
     return units.cast("decimal(19,0)") * factor.cast("decimal(19,0)")
 
@@ -65,6 +71,7 @@ def clv_projection_path(summary: DataFrame, config: AnalysisConfig) -> DataFrame
             _wide_product(F.col("revenue_units"), divisor + step * F.col("projection_month")),
             divisor * UNITS_PER_AMOUNT,
             2,
+            _divisor_digits(config) + 4,
         ).alias("cumulative_projected_clv"),
     )
 
@@ -85,7 +92,7 @@ def _tier() -> Column:
 def customer_clv(summary: DataFrame, config: AnalysisConfig) -> DataFrame:
     """Value so far, observed rhythm, projected value, and tier of each person."""
     step, divisor = _line(config)
-    at_horizon, _ = _at_horizon(config)
+    (at_horizon, _), digits = _at_horizon(config), _divisor_digits(config)
     revenue, orders = F.col("revenue_units"), F.col("order_count")
     return _ranked(summary, config).select(
         PERSON,
@@ -94,11 +101,13 @@ def customer_clv(summary: DataFrame, config: AnalysisConfig) -> DataFrame:
         "last_order_date",
         cents(revenue).alias("historical_revenue"),
         row_ratio(revenue, orders * UNITS_PER_AMOUNT, 2).alias("average_order_value"),
-        row_ratio(orders * step, divisor, 4).alias("monthly_order_frequency"),
-        row_ratio(_wide_product(revenue, step), divisor * UNITS_PER_AMOUNT, 2).alias(
-            "projected_monthly_revenue"
+        row_ratio(orders * step, divisor, 4, digits).alias("monthly_order_frequency"),
+        row_ratio(
+            _wide_product(revenue, step), divisor * UNITS_PER_AMOUNT, 2, digits + 4
+        ).alias("projected_monthly_revenue"),
+        row_ratio(at_horizon, divisor * UNITS_PER_AMOUNT, 2, digits + 4).alias(
+            "projected_12_month_clv"
         ),
-        row_ratio(at_horizon, divisor * UNITS_PER_AMOUNT, 2).alias("projected_12_month_clv"),
         "clv_quartile",
         _tier().alias("clv_tier"),
     )

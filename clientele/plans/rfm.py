@@ -44,11 +44,11 @@ def customer_segment() -> Column:
 def with_analysis_date(summary: DataFrame) -> DataFrame:
     """Add the latest qualified order date and each person's distance from it.
 
-    The date comes from the data, never from the clock.  It is one row, so it is
-    broadcast to the settled summary.
+    The date comes from the data, never from the clock.  It is one value, read
+    from the settled summary by a scalar subquery.
     """
-    latest = summary.agg(F.max("last_order_date").alias("analysis_date"))
-    return summary.crossJoin(F.broadcast(latest)).withColumn(
+    latest = summary.agg(F.max("last_order_date")).scalar()
+    return summary.withColumn("analysis_date", latest).withColumn(
         "recency_days", F.datediff("analysis_date", "last_order_date")
     )
 

@@ -40,17 +40,16 @@ def test_whole_division_beyond_64_bits(spark):
     assert int(quotient) == (10**30 + 7) // 8
 
 
+@pytest.mark.parametrize("digits", [8, 11, 16])
 @pytest.mark.parametrize("places", [1, 2, 4])
-def test_row_ratio(spark, places):
+def test_row_ratio(spark, places, digits):
     rng = random.Random(places)
-    limit = 10 ** (18 - places) - 1
-    pairs = [(1, 8), (-1, 8), (0, 5), (10**19 - 1, limit), (1 - 10**19, limit)]
-    pairs += [(rng.randint(-(10**18), 10**18), rng.randint(1, limit)) for _ in range(300)]
-    # Beyond the usual sizes.
-    pairs += [(10**19, 3), (-(10**19), 7), (5 * 10**18, limit + 1), (10**30, 10**17), (7, 10**18)]
+    limit, most = 10**digits - 1, 10 ** (38 - places - digits) - 1
+    pairs = [(1, 8), (-1, 8), (0, 5), (most, limit), (-most, limit), (most, 1), (-most, 7)]
+    pairs += [(rng.randint(-most, most), rng.randint(1, limit)) for _ in range(300)]
     pairs += [(rng.randint(-(10**6), 10**6), rng.randint(1, 10**4)) for _ in range(300)]
     # Ties and their closest neighbours, for small and for the largest divisors.
-    for d in (2 * 10**places, 10 ** (places + 3), limit - limit % (2 * 10**places)):
+    for d in (2 * 10**places, 10 ** (places + 2), limit - limit % (2 * 10**places)):
         for k in range(20):
             tie = (2 * k + 1) * d // (2 * 10**places)
             pairs += [(s * (tie + e), d) for s in (1, -1) for e in (-1, 0, 1)]
@@ -58,11 +57,18 @@ def test_row_ratio(spark, places):
         [(i, Decimal(n), Decimal(d)) for i, (n, d) in enumerate(pairs)],
         "i int, n decimal(38,0), d decimal(38,0)",
     )
-    rows = frame.select("i", row_ratio(F.col("n"), F.col("d"), places).alias("r")).collect()
-    for row in rows:
+    ratio = row_ratio(F.col("n"), F.col("d"), places, digits)
+    for row in frame.select("i", ratio.alias("r")).collect():
         assert row.r == exact(*pairs[row.i], places), pairs[row.i]
 
 
+def test_row_ratio_refuses_what_it_cannot_round(spark):
+    for n, d in ((10**20, 1), (1, 10**16)):
+        frame = spark.createDataFrame([(Decimal(n), Decimal(d))], "n decimal(38,0), d decimal(38,0)")
+        with pytest.raises(Exception, match="NUMERIC_VALUE_OUT_OF_RANGE"):
+            frame.select(row_ratio(F.col("n"), F.col("d"), 2)).collect()
+
+
 def test_money_units(spark):
     frame = spark.createDataFrame([(Decimal("-12.3450"),), (None,)], "a decimal(12,4)")
     units = frame.select(money_units(F.col("a")).alias("u"))

@@ -65,16 +65,15 @@ def test_distinct_orders_need_no_shuffle_of_their_own(spark, no_broadcast):
 def test_no_python_and_no_unbounded_step(spark, name):
     frame = queries()[name](spark, DATA)
     assert not re.search(r"Python|Pandas|ArrowEval|CartesianProduct", plan_text(frame))
-    # Joins are by equality; only the one-row analysis date is not.
-    dated = ("rfm", "percent_rank", "churn", "fixed_window", "customer_status")
-    assert plan_nodes(frame, "BroadcastNestedLoopJoin") == (1 if name.startswith(dated) else 0)
+    # All joins are by equality.
+    assert plan_nodes(frame, "BroadcastNestedLoopJoin") == 0
 
 
 def test_cuts_leave_no_single_task_step(spark):
-    plan = plan_text(queries()["rfm_customers_by_cuts"](spark, DATA))
-    assert "Window" not in plan
-    # The one-row analysis date is all that is brought together.
-    assert plan.count("Arguments: SinglePartition") == 1
+    frame = queries()["rfm_customers_by_cuts"](spark, DATA)
+    assert plan_nodes(frame, "Window") == plan_nodes(frame, "Exchange") == 0
+    # The analysis date is all that is brought together.
+    assert plan_text(frame).count("Arguments: SinglePartition") == 1
 
 
 def test_every_ordered_report_sorts(spark):
