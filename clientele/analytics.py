@@ -12,6 +12,31 @@ from clientele.plans.ordering import in_report_order
 from clientele.sources.schemas import Tables
 
 
+# Reports with a documented row order, as accepted by ``Analytics.report``.
+REPORTS = (
+    "table_row_counts",
+    "check_tables",
+    "customer_orders",
+    "customer_monthly_orders",
+    "cohort_retention_long",
+    "cohort_retention_matrix",
+    "customer_running_revenue",
+    "order_gaps",
+    "clv_projection_path",
+    "customer_clv",
+    "clv_tier_summary",
+    "rfm_customers",
+    "rfm_segment_summary",
+    "churn_flags",
+    "churn_by_segment",
+    "customer_status",
+    "growth_rollup",
+    "growth_cube",
+    "month_extremes",
+    "category_extremes",
+)
+
+
 class Analytics:
     """Reports on six base tables.
 

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
-from clientele.operators.settle import settle
+from clientele.operators.settling import settle
 
 
 @dataclass(frozen=True)

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clientele.operators.settle import settle
+from clientele.operators.settling import settle
 
 
 def ordered_history(

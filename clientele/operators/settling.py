@@ -8,6 +8,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+# Paths of the tables written by this process.
+_written: list[str] = []
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder for intermediate tables that every executor can reach.
 
@@ -37,4 +41,16 @@ def settle(frame: DataFrame) -> DataFrame:
     spark = frame.sparkSession
     path = f"{shared_folder(spark)}/settled-{uuid.uuid4().hex}"
     frame.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(frame.schema).parquet(path)
+
+
+def discard_settled(spark: SparkSession) -> None:
+    """Delete the tables this process has settled so far.
+
+    Only for when no result that reads them is needed any more.
+    """
+    jvm, hadoop = spark._jvm, spark._jsc.hadoopConfiguration()
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(hadoop).delete(path, True)

@@ -110,3 +110,8 @@ class Tables:
 
     def named(self) -> dict[str, DataFrame]:
         return {f.name: getattr(self, f.name) for f in fields(self)}
+
+    def create_views(self) -> None:
+        """Make the tables known to ``spark.sql`` under their names."""
+        for name, frame in self.named().items():
+            frame.createOrReplaceTempView(name)

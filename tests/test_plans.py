@@ -3,10 +3,10 @@
 import re
 
 import pytest
-from pyspark.sql import functions as F
 
 from __spark_entry__ import queries
 from clientele import Analytics, star_tables
+from clientele.analytics import REPORTS
 from clientele.plans import orders
 from clientele.plans.measure import plan_nodes, plan_text
 from clientele.plans.ordering import in_report_order, report_order
@@ -78,9 +78,7 @@ def test_cuts_leave_no_single_task_step(spark):
 
 def test_every_ordered_report_sorts(spark):
     analytics = Analytics(star_tables(spark, DATA), STAR_CONFIG)
-    for name in ("customer_orders", "order_gaps", "clv_projection_path", "customer_status",
-                 "growth_cube", "check_tables", "customer_monthly_orders"):
+    for name in REPORTS:
         rows = in_report_order(name, getattr(analytics, name)())
         assert len(report_order(name)) >= 1
-        rows.select(F.lit(1)).limit(1).collect()
-        assert "Sort" in plan_text(rows)
+        assert plan_nodes(rows, "Sort") >= 1

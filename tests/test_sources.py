@@ -1,13 +1,17 @@
 from datetime import datetime
 from decimal import Decimal
+from pathlib import Path
+from types import SimpleNamespace
 
 import pytest
 from helpers import make_tables
 
 from clientele import Analytics, read_tables
-from clientele.operators import insert_ignore, settle
+from clientele.__main__ import main
+from clientele.analytics import REPORTS
+from clientele.operators import discard_settled, insert_ignore, settle
 from clientele.operators.inserts import keep_first, new_rows
-from clientele.operators.settle import shared_folder
+from clientele.operators.settling import shared_folder
 from clientele.plans import quality
 from clientele.plans.measure import measure, plan_nodes, plan_text
 from clientele.sources import SCHEMAS, save_bucketed, write_tables
@@ -124,10 +128,47 @@ def test_derived_payments_take_the_first_item(spark):
     ]
 
 
-def test_settled_rows_live_in_the_shared_folder(spark):
+def test_settled_rows_live_in_the_shared_folder(spark, tmp_path, monkeypatch):
+    written = []
+    monkeypatch.setattr("clientele.operators.settling._written", written)
     frame = settle(spark.range(10))
     assert shared_folder(spark) in frame.inputFiles()[0]
     assert frame.count() == 10
+    folder = Path(written[0])
+    assert folder.exists()
+    discard_settled(spark)
+    assert not folder.exists() and not written
+
+
+def test_cluster_without_shared_folder_is_refused():
+    session = SimpleNamespace(
+        conf=SimpleNamespace(get=lambda key, default: default),
+        sparkContext=SimpleNamespace(getCheckpointDir=lambda: None, master="yarn"),
+    )
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_folder(session)
+
+
+def test_tables_as_views(spark):
+    load_seed(spark).create_views()
+    query = """
+        SELECT customer_unique_id, count(*) AS orders FROM orders JOIN customers USING (customer_id)
+        WHERE order_status NOT IN ('canceled', 'unavailable')
+        GROUP BY customer_unique_id HAVING count(*) > 2 ORDER BY 1
+    """
+    assert [tuple(r) for r in spark.sql(query).collect()] == [("u001", 3), ("u003", 3)]
+
+
+def test_reports_from_a_shell(spark, tmp_path, capsys):
+    write_tables(load_seed(spark), str(tmp_path / "tables"))
+    main([str(tmp_path / "tables"), "month_extremes"])
+    assert "Lowest Revenue Month" in capsys.readouterr().out
+    main([str(tmp_path / "tables"), "customer_clv", "--out", str(tmp_path / "out")])
+    assert spark.read.parquet(str(tmp_path / "out/customer_clv")).count() == 8
+
+
+def test_every_report_has_an_order():
+    assert all(hasattr(Analytics, name) for name in REPORTS)
 
 
 def test_measurement(spark):
