@@ -127,7 +127,7 @@ FROM tiered"""
 CLV_TIERS = f"""{clv()}
 SELECT CAST(q AS BIGINT) AS clv_quartile, tier AS clv_tier, count(*) AS customer_count,
        {ratio("sum(v)", str(KEPT * MONEY), 2)} AS projected_clv_total,
-       {ratio("sum(v)", f"count(*) * {KEPT * MONEY}", 2)} AS projected_clv_average
+       {ratio("sum(v)", f"count(*)::HUGEINT * {KEPT * MONEY}", 2)} AS projected_clv_average
 FROM tiered GROUP BY q, tier"""
 
 CLV_PATH = f"""{history()}
