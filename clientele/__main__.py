@@ -7,7 +7,6 @@ import argparse
 from pyspark.sql import SparkSession
 
 from clientele.analytics import REPORTS, Analytics
-from clientele.session import tune
 from clientele.sources import read_tables
 
 
@@ -19,7 +18,7 @@ def main(arguments: list[str] | None = None) -> None:
     parser.add_argument("--out", help="write each report here as parquet, do not print it")
     options = parser.parse_args(arguments)
 
-    spark = tune(SparkSession.builder.appName("clientele").getOrCreate())
+    spark = SparkSession.builder.appName("clientele").getOrCreate()
     analytics = Analytics(read_tables(spark, options.tables, options.format))
     for name in options.reports:
         if options.out:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from clientele.config import AnalysisConfig
 from clientele.plans import churn, clv, growth, orders, quality, retention, rfm
 from clientele.plans.ordering import in_report_order
+from clientele.session import tune
 from clientele.sources.schemas import Tables
 
 
@@ -43,9 +44,12 @@ class Analytics:
     The per-person summary behind value, segments, and churn is computed on
     first use, written to the shared folder, and shared by the reports.  Reports
     come unordered; ``report`` returns one by name in its documented order.
+
+    The plan settings are applied to the session of the tables.
     """
 
     def __init__(self, tables: Tables, config: AnalysisConfig | None = None):
+        tune(tables.orders.sparkSession)
         self.tables = tables
         self.config = config or AnalysisConfig()
 

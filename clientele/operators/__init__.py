@@ -3,11 +3,12 @@
 from clientele.operators.bands import Banding, assign_bands
 from clientele.operators.inserts import insert_ignore, keep_first
 from clientele.operators.sequences import ordered_history
-from clientele.operators.settling import discard_settled, settle
+from clientele.operators.settling import chunk_count, discard_settled, settle
 
 __all__ = [
     "Banding",
     "assign_bands",
+    "chunk_count",
     "discard_settled",
     "insert_ignore",
     "keep_first",

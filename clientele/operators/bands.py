@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
-from clientele.operators.settling import settle
+from clientele.operators.settling import chunk_count, settle
 
 
 @dataclass(frozen=True)
@@ -53,7 +53,11 @@ class Banding:
 
 
 def assign_bands(
-    frame: DataFrame, key: str, bandings: Sequence[Banding], single_task_rows: int
+    frame: DataFrame,
+    key: str,
+    bandings: Sequence[Banding],
+    single_task_rows: int,
+    rows_per_chunk: int = 1_000_000,
 ) -> DataFrame:
     """Add the band columns to ``frame``; ``key`` is unique and breaks ties.
 
@@ -62,7 +66,7 @@ def assign_bands(
     rows = frame.count()
     if rows <= single_task_rows:
         return _by_window(frame, key, bandings, rows)
-    return _by_cuts(frame, key, bandings, rows)
+    return _by_cuts(frame, key, bandings, rows, rows_per_chunk)
 
 
 def _by_window(
@@ -82,9 +86,9 @@ def _by_window(
 
 
 def _by_cuts(
-    frame: DataFrame, key: str, bandings: Sequence[Banding], rows: int
+    frame: DataFrame, key: str, bandings: Sequence[Banding], rows: int, rows_per_chunk: int
 ) -> DataFrame:
-    cuts = _find_cuts(frame, key, bandings, rows)
+    cuts = _find_cuts(frame, key, bandings, rows, rows_per_chunk)
     columns = {}
     for number, banding in enumerate(bandings):
         # Comparing in the column's own type is far cheaper than in a wide one.
@@ -101,7 +105,7 @@ def _by_cuts(
 
 
 def _find_cuts(
-    frame: DataFrame, key: str, bandings: Sequence[Banding], rows: int
+    frame: DataFrame, key: str, bandings: Sequence[Banding], rows: int, rows_per_chunk: int
 ) -> dict[int, list[Row]]:
     """The rows at every cut rank, by number of the banding."""
     # All bandings share one sort: their number leads the sort key.
@@ -124,12 +128,13 @@ def _find_cuts(
     ).select("pair.banding", "pair.value", "key")
     # The key is unique, so no value can fill a chunk beyond its share.  The
     # written copy pins the chunks: sampling them again would move the bounds.
+    count = chunk_count(rows * len(bandings), rows_per_chunk)
     chunks = settle(
-        pairs.repartitionByRange("banding", "value", "key").withColumn(
+        pairs.repartitionByRange(count, "banding", "value", "key").withColumn(
             "chunk", F.spark_partition_id()
         )
     )
-    # One row per chunk and banding, at most shuffle partitions plus bandings.
+    # At most one row per chunk plus one per banding.
     sizes = sorted(chunks.groupBy("banding", "chunk").count().collect())
     wanted: list[tuple[int, int, int]] = []
     for number, group in groupby(sizes, key=lambda size: size["banding"]):

@@ -22,12 +22,14 @@ def ordered_history(
     tie_break: str,
     amount: str,
     hot_persons: DataFrame | None = None,
+    chunks: int = 1,
 ) -> DataFrame:
     """Add cumulative_amount, previous_date and next_date to every row.
 
     The sequence of a person runs by ``date`` and then by ``tie_break``, which
     together are unique per person.  ``hot_persons`` is a one-column table of
-    the persons to split, short enough to broadcast.
+    the persons to split, short enough to broadcast; their rows are divided into
+    about ``chunks`` parts.
     """
     if hot_persons is None:
         return _by_person(rows, person, date, tie_break, amount)
@@ -37,7 +39,7 @@ def ordered_history(
         settled.join(hot, person, "left_anti"), person, date, tie_break, amount
     )
     split = _by_chunk(
-        settled.join(hot, person, "left_semi"), person, date, tie_break, amount
+        settled.join(hot, person, "left_semi"), person, date, tie_break, amount, chunks
     )
     return usual.unionByName(split)
 
@@ -59,11 +61,11 @@ def _by_person(
 
 
 def _by_chunk(
-    rows: DataFrame, person: str, date: str, tie_break: str, amount: str
+    rows: DataFrame, person: str, date: str, tie_break: str, amount: str, chunks: int
 ) -> DataFrame:
     # The written copy pins the chunk of every row for the two uses below.
     chunked = settle(
-        rows.repartitionByRange(person, date, tie_break).withColumn(
+        rows.repartitionByRange(chunks, person, date, tie_break).withColumn(
             "chunk", F.spark_partition_id()
         )
     )

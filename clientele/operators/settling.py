@@ -31,6 +31,15 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir().rstrip("/")
 
 
+def chunk_count(rows: int, rows_per_chunk: int = 1_000_000) -> int:
+    """Range partitions for ``rows`` rows, whatever the session's default is.
+
+    Chunks grow beyond ``rows_per_chunk`` only where there would be too many of
+    them for a shuffle.
+    """
+    return min(max(1, -(-rows // rows_per_chunk)), 20_000)
+
+
 def settle(frame: DataFrame) -> DataFrame:
     """Store ``frame`` as a parquet table and return a scan of it.
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from clientele.config import AnalysisConfig
 from clientele.functions import calendar_month, money, money_units
-from clientele.operators import ordered_history, settle
+from clientele.operators import chunk_count, ordered_history, settle
 from clientele.sources.schemas import Tables
 
 PERSON = "customer_unique_id"
@@ -116,7 +116,7 @@ def customer_summary(tables: Tables, config: AnalysisConfig) -> DataFrame:
 
 
 def hot_persons(tables: Tables, config: AnalysisConfig) -> DataFrame | None:
-    """Persons with too many orders for one task; None if there is none.
+    """Persons with too many orders for one task, and how many; None if nobody.
 
     At most (all orders / ``hot_person_rows``) persons can qualify, which bounds
     the table.  Counting reads one column and combines before each shuffle; it
@@ -130,19 +130,24 @@ def hot_persons(tables: Tables, config: AnalysisConfig) -> DataFrame | None:
         .groupBy(PERSON)
         .agg(F.sum("count").alias("orders"))
         .filter(F.col("orders") > config.hot_person_rows)
-        .select(PERSON)
     )
     return None if hot.isEmpty() else hot
 
 
 def _history(tables: Tables, config: AnalysisConfig) -> DataFrame:
+    hot, chunks = hot_persons(tables, config), 1
+    if hot is not None:
+        hot_orders = hot.agg(F.sum("orders")).first()[0]
+        chunks = chunk_count(hot_orders, min(config.hot_person_rows, 1_000_000))
+        hot = hot.select(PERSON)
     return ordered_history(
         _person_orders(tables, config),
         person=PERSON,
         date="order_date",
         tie_break="order_id",
         amount="order_units",
-        hot_persons=hot_persons(tables, config),
+        hot_persons=hot,
+        chunks=chunks,
     )
 
 

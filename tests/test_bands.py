@@ -36,19 +36,15 @@ def test_cuts_equal_windows(spark, rows, distinct, text_keys):
     frame = make(spark, rows, distinct, text_keys)
     names = ["person", *[b.output for b in BANDINGS]]
     in_one_task = assign_bands(frame, "person", BANDINGS, single_task_rows=10**9)
-    by_cuts = assign_bands(frame, "person", BANDINGS, single_task_rows=-1)
+    by_cuts = assign_bands(frame, "person", BANDINGS, single_task_rows=-1, rows_per_chunk=700)
     assert sorted(in_one_task.select(names).collect()) == sorted(by_cuts.select(names).collect())
 
 
 def test_cuts_over_many_chunks(spark):
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
-    try:
-        frame = make(spark, 5000, 2)
-        by_cuts = assign_bands(frame, "person", BANDINGS, single_task_rows=0)
-        windows = assign_bands(frame, "person", BANDINGS, single_task_rows=10**9)
-        assert by_cuts.exceptAll(windows).count() == windows.exceptAll(by_cuts).count() == 0
-    finally:
-        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    frame = make(spark, 5000, 2)
+    by_cuts = assign_bands(frame, "person", BANDINGS, 0, rows_per_chunk=400)
+    windows = assign_bands(frame, "person", BANDINGS, single_task_rows=10**9)
+    assert by_cuts.exceptAll(windows).count() == windows.exceptAll(by_cuts).count() == 0
 
 
 def test_ntile_band_sizes_differ_by_at_most_one(spark):

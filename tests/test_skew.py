@@ -10,7 +10,7 @@ from helpers import make_tables
 from pyspark.sql import functions as F
 
 from clientele import AnalysisConfig, Analytics
-from clientele.operators import ordered_history
+from clientele.operators import chunk_count, ordered_history
 from clientele.plans import growth, orders
 from clientele.plans.measure import plan_text
 
@@ -72,14 +72,14 @@ def spread(tables):
 
 
 @pytest.mark.parametrize(
-    "query",
+    "query, expected",
     [
-        lambda t: orders.customer_orders(t, CONFIG),
-        lambda t: growth.monthly_category_revenue(t, CONFIG),
+        (lambda t: orders.customer_orders(t, CONFIG), 1),
+        (lambda t: growth.monthly_category_revenue(t, CONFIG), 2),
     ],
-    ids=["hot customer", "hot order"],
+    ids=["hot customer", "hot product and hot order"],
 )
-def test_join_on_a_hot_key_is_split(spark, skewed, small_skew_limits, query):
+def test_join_on_a_hot_key_is_split(spark, skewed, small_skew_limits, query, expected):
     tables = spread(skewed)
     rows, splits = rows_and_skew_joins(query(tables))
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "false")
@@ -88,7 +88,7 @@ def test_join_on_a_hot_key_is_split(spark, skewed, small_skew_limits, query):
     finally:
         spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
     assert rows == plain
-    assert splits > 0 and none == 0
+    assert splits == expected and none == 0
 
 
 def test_hot_customer_is_one_row_per_task_in_summary_join(spark, skewed):
@@ -104,6 +104,7 @@ def test_hot_person_is_found_and_split(spark, skewed):
     config = AnalysisConfig(hot_person_rows=1000)
     hot = orders.hot_persons(skewed, config)
     assert [r[0] for r in hot.collect()] == ["hot"]
+    assert 2000 < hot.first().orders < 3000
     assert orders.hot_persons(skewed, AnalysisConfig(hot_person_rows=8999)) is None
     for report in ("customer_running_revenue", "order_gaps"):
         split = getattr(Analytics(skewed, config), report)()
@@ -125,12 +126,8 @@ def test_split_history_over_many_chunks(spark):
         F.col("amount").cast("decimal(12,2)").alias("amount"),
     )
     names = dict(person="person", date="date", tie_break="id", amount="amount")
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
-    try:
-        hot = spark.createDataFrame([("a",), ("b",)], "person string")
-        split = ordered_history(rows, **names, hot_persons=hot).collect()
-    finally:
-        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    hot = spark.createDataFrame([("a",), ("b",)], "person string")
+    split = ordered_history(rows, **names, hot_persons=hot, chunks=11).collect()
     plain = ordered_history(rows, **names).collect()
     assert sorted(map(str, split)) == sorted(map(str, plain))
 
@@ -150,3 +147,8 @@ def test_results_do_not_depend_on_partitioning(spark, skewed):
         assert results() == first
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_chunks_do_not_depend_on_the_session():
+    assert [chunk_count(n) for n in (0, 1, 10**6, 10**6 + 1)] == [1, 1, 1, 2]
+    assert chunk_count(10**12) == 20_000
