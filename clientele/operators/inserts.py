@@ -44,4 +44,6 @@ def new_rows(
     order: Sequence[str] = (),
 ) -> DataFrame:
     """Only the part of ``batch`` that an append to ``existing`` should write."""
-    return keep_first(batch, key, order).join(existing.select(*key), list(key), "left_anti")
+    # DISTINCT uses the shuffle of the join and collapses copies before it.
+    present = existing.select(*key).distinct()
+    return keep_first(batch, key, order).join(present, list(key), "left_anti")

@@ -175,6 +175,21 @@ def order_gaps(tables: Tables, config: AnalysisConfig) -> DataFrame:
     )
 
 
+def months_per_customer(tables: Tables) -> DataFrame:
+    """The set of months in which a customer record has an order of any state.
+
+    A set has at most one entry per calendar month whatever the number of
+    orders, and it is combined before the shuffle: a customer with a large share
+    of all orders leaves every map task as one short row.
+    """
+    months = F.collect_set(calendar_month(F.col("order_purchase_timestamp")))
+    return (
+        tables.orders.filter(has_purchase_time())
+        .groupBy("customer_id")
+        .agg(months.alias("months"))
+    )
+
+
 def customer_monthly_orders(tables: Tables) -> DataFrame:
     """Orders of any state per customer record (not person) and month."""
     return (
@@ -190,13 +205,9 @@ def customer_monthly_orders(tables: Tables) -> DataFrame:
 def active_customer_months(tables: Tables) -> DataFrame:
     """Number of distinct (person, month) pairs with an order of any state."""
     return (
-        tables.orders.filter(has_purchase_time())
-        .select(
-            "customer_id",
-            calendar_month(F.col("order_purchase_timestamp")).alias("order_month"),
-        )
+        months_per_customer(tables)
         .join(tables.customers.select("customer_id", PERSON), "customer_id")
-        .select(PERSON, "order_month")
+        .select(PERSON, F.explode("months").alias("order_month"))
         .distinct()
         .agg(F.count("*").alias("active_customer_months"))
     )

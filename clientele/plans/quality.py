@@ -54,10 +54,11 @@ def orphaned_keys(child: DataFrame, parent: DataFrame, key: str) -> DataFrame:
     """Key values of ``child`` that ``parent`` lacks, with the number of rows.
 
     Child rows are counted per key before the join, so a frequent key is one row
-    in it.  A missing value refers to nothing and is not an orphan.
+    in it; DISTINCT on the parent uses the shuffle of the join.  A missing value
+    refers to nothing and is not an orphan.
     """
     counted = child.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("rows"))
-    return counted.join(parent.select(key), key, "left_anti")
+    return counted.join(parent.select(key).distinct(), key, "left_anti")
 
 
 def pk_violations(tables: Tables) -> DataFrame:

@@ -6,26 +6,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from clientele.config import AnalysisConfig
-from clientele.functions import calendar_month, month_offset, rounded_ratio
-from clientele.plans.orders import PERSON, has_purchase_time, known_persons
+from clientele.functions import month_offset, rounded_ratio
+from clientele.plans.orders import PERSON, known_persons, months_per_customer
 from clientele.sources.schemas import Tables
 
 
 def person_months(tables: Tables) -> DataFrame:
-    """One row per person with the set of months the person ordered in.
-
-    A set of months has at most one entry per calendar month whatever the number
-    of orders, and it is combined before each shuffle: a customer with a large
-    share of all orders leaves every map task as one short row.
-    """
-    months = F.collect_set(calendar_month(F.col("order_purchase_timestamp")))
-    per_customer = (
-        tables.orders.filter(has_purchase_time())
-        .groupBy("customer_id")
-        .agg(months.alias("months"))
-    )
+    """One row per person with the set of months the person ordered in."""
     return (
-        per_customer.join(known_persons(tables), "customer_id")
+        months_per_customer(tables)
+        .join(known_persons(tables), "customer_id")
         .select(PERSON, F.explode("months").alias("month"))
         .groupBy(PERSON)
         .agg(F.collect_set("month").alias("months"))
