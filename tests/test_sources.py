@@ -12,7 +12,7 @@ from clientele.analytics import REPORTS
 from clientele.operators import discard_settled, insert_ignore, settle
 from clientele.operators.inserts import keep_first, new_rows
 from clientele.operators.settling import shared_folder
-from clientele.plans import quality
+from clientele.plans import orders, quality
 from clientele.plans.measure import measure, plan_nodes, plan_text
 from clientele.sources import SCHEMAS, save_bucketed, write_tables
 from clientele.sources.derived import payments_from_items
@@ -77,7 +77,7 @@ def test_malformed_csv_value_is_an_error(spark, tmp_path):
         read_csv(spark, str(file), "payments").collect()
 
 
-def test_saved_layout_joins_without_shuffle(spark):
+def test_saved_layout_joins_without_shuffle(spark, monkeypatch):
     spark.sql("CREATE DATABASE IF NOT EXISTS layout")
     save_bucketed(load_seed(spark), "layout", buckets=4)
     refresh_statistics(spark, "layout")
@@ -95,6 +95,10 @@ def test_saved_layout_joins_without_shuffle(spark):
         plain = plan_nodes(Analytics(load_seed(spark)).cohort_retention_long(), "Exchange")
         saved = plan_nodes(Analytics(by_customer).cohort_retention_long(), "Exchange")
         assert saved == 3 < plain
+        # Totals per customer and per person remain, and one of customers.
+        monkeypatch.setattr(orders, "settle", lambda frame: frame)
+        assert plan_nodes(Analytics(load_seed(spark)).summary, "Exchange") > 5
+        assert plan_nodes(Analytics(tables).summary, "Exchange") <= 3
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
     assert len(Analytics(tables).customer_clv().collect()) == 8
