@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from clientele.config import AnalysisConfig
 from clientele.functions import calendar_month, cents, money_units, rounded_ratio
+from clientele.operators import settle
 from clientele.plans.orders import qualified_orders
 from clientele.sources.schemas import Tables
 
@@ -110,23 +111,28 @@ def growth_cube(tables: Tables, config: AnalysisConfig) -> DataFrame:
 def _extremes(totals: DataFrame, what: str, *columns: str) -> DataFrame:
     """Rows with the highest and the lowest revenue, all of them on a tie.
 
-    ``totals`` has one row per month or category, which one task can rank.
+    Comparing with the two limits ranks nothing, so the number of rows does not
+    matter; the totals are settled because they are read three times.
     """
-    ranked = totals.withColumns(
-        {
-            "highest": F.rank().over(Window.orderBy(F.desc("units"))),
-            "lowest": F.rank().over(Window.orderBy(F.asc("units"))),
-        }
+    totals = settle(totals)
+    limits = {
+        "highest": totals.agg(F.max("units")).scalar(),
+        "lowest": totals.agg(F.min("units")).scalar(),
+    }
+    flag = F.when(F.col("units") == F.col("highest"), f"Best Revenue {what}").when(
+        F.col("units") == F.col("lowest"), f"Lowest Revenue {what}"
     )
-    flag = F.when(F.col("highest") == 1, f"Best Revenue {what}").when(
-        F.col("lowest") == 1, f"Lowest Revenue {what}"
-    )
-    return ranked.filter("highest = 1 OR lowest = 1").select(
-        columns[0],
-        "order_count",
-        cents(F.col("units")).alias("revenue"),
-        *columns[1:],
-        flag.alias("performance_flag"),
+    return (
+        totals.withColumns(limits)
+        .withColumn("performance_flag", flag)
+        .filter(F.col("performance_flag").isNotNull())
+        .select(
+            columns[0],
+            "order_count",
+            cents(F.col("units")).alias("revenue"),
+            *columns[1:],
+            "performance_flag",
+        )
     )
 
 
