@@ -277,7 +277,8 @@ CATEGORY_EXTREMES = extremes(
 )
 
 # Base table, source of its rows, and the source of each checked column.
-REVIEWS = "(SELECT 'r' || o_orderkey AS review, o_orderkey AS ord FROM orders WHERE o_orderstatus = 'F')"
+REVIEWS = """(SELECT 'r' || o_orderkey AS review, o_orderkey AS ord
+  FROM orders WHERE o_orderstatus = 'F')"""
 SOURCES = {
     "customers": "customer",
     "orders": "orders",

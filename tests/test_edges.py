@@ -22,7 +22,8 @@ def test_one_person_with_two_customer_records(spark):
     )
     analytics = Analytics(tables)
     assert analytics.active_customer_months().first()[0] == 2
-    assert [r.retained_customers for r in analytics.report("cohort_retention_long").collect()] == [1, 1]
+    cohorts = analytics.report("cohort_retention_long").collect()
+    assert [r.retained_customers for r in cohorts] == [1, 1]
     assert by_key(analytics.customer_clv(), "customer_unique_id", "order_count") == {"u": 3}
     # The monthly count stays with the customer record.
     assert analytics.customer_monthly_orders().count() == 3
@@ -72,7 +73,8 @@ def test_repeated_rows_do_not_count_twice(spark):
     )
     analytics = Analytics(tables)
     assert analytics.customer_orders().count() == 2
-    assert by_key(analytics.customer_clv(), "customer_unique_id", "order_count", "historical_revenue") == {
+    clv = analytics.customer_clv()
+    assert by_key(clv, "customer_unique_id", "order_count", "historical_revenue") == {
         "u": (2, Decimal("4.00"))
     }
 

@@ -113,4 +113,5 @@ def test_cube_is_rollup_plus_months(shop):
     assert cube.filter("summary_level <> 'Monthly Total'").exceptAll(rollup).count() == 0
     months = cube.filter("summary_level = 'Monthly Total'")
     assert months.count() == rollup.select("revenue_month").dropna().distinct().count()
-    assert total(months, "revenue") == rollup.filter("summary_level = 'Grand Total'").first().revenue
+    grand = rollup.filter("summary_level = 'Grand Total'").first()
+    assert total(months, "revenue") == grand.revenue

@@ -4,7 +4,14 @@ from decimal import ROUND_HALF_UP, Decimal, localcontext
 import pytest
 from pyspark.sql import functions as F
 
-from clientele.functions import cents, money, money_units, rounded_ratio, row_ratio, whole_division
+from clientele.functions import (
+    cents,
+    money,
+    money_units,
+    rounded_ratio,
+    row_ratio,
+    whole_division,
+)
 
 
 def exact(n, d, places):
@@ -64,7 +71,9 @@ def test_row_ratio(spark, places, digits):
 
 def test_row_ratio_refuses_what_it_cannot_round(spark):
     for n, d in ((10**20, 1), (1, 10**16)):
-        frame = spark.createDataFrame([(Decimal(n), Decimal(d))], "n decimal(38,0), d decimal(38,0)")
+        frame = spark.createDataFrame(
+            [(Decimal(n), Decimal(d))], "n decimal(38,0), d decimal(38,0)"
+        )
         with pytest.raises(Exception, match="NUMERIC_VALUE_OUT_OF_RANGE"):
             frame.select(row_ratio(F.col("n"), F.col("d"), 2)).collect()
 

@@ -71,7 +71,8 @@ def test_malformed_csv_value_is_an_error(spark, tmp_path):
 
     file = tmp_path / "payments.csv"
     file.write_text(
-        "order_id,payment_sequential,payment_type,payment_installments,payment_value\no1,1,x,1,many\n"
+        "order_id,payment_sequential,payment_type,payment_installments,payment_value\n"
+        "o1,1,x,1,many\n"
     )
     with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
         read_csv(spark, str(file), "payments").collect()
@@ -90,7 +91,8 @@ def test_saved_layout_joins_without_shuffle(spark, monkeypatch):
         )
         assert plan_nodes(paid, "Exchange") == 0
         by_customer = saved_tables(spark, "layout", by_customer=True)
-        assert plan_nodes(by_customer.orders.join(by_customer.customers, "customer_id"), "Exchange") == 0
+        owned = by_customer.orders.join(by_customer.customers, "customer_id")
+        assert plan_nodes(owned, "Exchange") == 0
         # Cohorts: persons, the counts, and their window remain.
         plain = plan_nodes(Analytics(load_seed(spark)).cohort_retention_long(), "Exchange")
         saved = plan_nodes(Analytics(by_customer).cohort_retention_long(), "Exchange")
