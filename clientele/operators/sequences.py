@@ -28,18 +28,16 @@ def ordered_history(
 
     The sequence of a person runs by ``date`` and then by ``tie_break``, which
     together are unique per person.  ``hot_persons`` is a one-column table of
-    the persons to split, short enough to broadcast; their rows are divided into
-    about ``chunks`` parts.
+    the persons to split; their rows are divided into about ``chunks`` parts.
     """
     if hot_persons is None:
         return _by_person(rows, person, date, tie_break, amount)
     settled = settle(rows)
-    hot = F.broadcast(hot_persons)
     usual = _by_person(
-        settled.join(hot, person, "left_anti"), person, date, tie_break, amount
+        settled.join(hot_persons, person, "left_anti"), person, date, tie_break, amount
     )
     split = _by_chunk(
-        settled.join(hot, person, "left_semi"), person, date, tie_break, amount, chunks
+        settled.join(hot_persons, person, "left_semi"), person, date, tie_break, amount, chunks
     )
     return usual.unionByName(split)
 
