@@ -35,10 +35,10 @@ def _canonical(names, rows):
 
 
 def test_every_query_has_sql():
-    assert entry.queries().keys() == entry.oracle_sql().keys()
+    assert entry.QUERIES.keys() == entry.ORACLE.keys()
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
 def test_query_matches_sql(spark, database, name):
     actual = entry.queries()[name](spark, DATA)
     result = database.execute(entry.oracle_sql()[name])
