@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clientele.llm.exact_dedup import exact_groups
+from clientele.llm.shingle_join import near_duplicates
 from clientele.llm.url_cascade import judge_urls, rule_table
 
 
@@ -23,9 +24,14 @@ def op9_url_cascade(spark: SparkSession, folder: str) -> DataFrame:
     return judge_urls(pages, rules, lengths).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op10_shingle_join(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates(_table(spark, folder, "documents").select("doc_id", "text"))
+
+
 QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
     "op9_url_cascade": op9_url_cascade,
+    "op10_shingle_join": op10_shingle_join,
 }
 
 _LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
