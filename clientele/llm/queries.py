@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clientele.llm.exact_dedup import exact_groups
+from clientele.llm.mixing import mix_schedule
+from clientele.llm.packing import pack_documents
 from clientele.llm.shingle_join import near_duplicates
 from clientele.llm.url_cascade import judge_urls, rule_table
 
@@ -28,8 +30,25 @@ def op10_shingle_join(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(_table(spark, folder, "documents").select("doc_id", "text"))
 
 
+def _tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op7_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return pack_documents(_table(spark, folder, "documents").select("doc_id", "text"), _tokenizer)
+
+
+def op8_source_mix(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents").select("doc_id", "text", "source")
+    return mix_schedule(docs).select("doc_id", "size", "source_size", "target", "taken")
+
+
 QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
+    "op7_best_fit_packing": op7_best_fit_packing,
+    "op8_source_mix": op8_source_mix,
     "op9_url_cascade": op9_url_cascade,
     "op10_shingle_join": op10_shingle_join,
 }
