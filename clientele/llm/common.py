@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 import numpy as np
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -101,9 +102,21 @@ class Scratch:
 
     def keep(self, frame: DataFrame) -> DataFrame:
         """Like ``store``, but the table stays until ``release``."""
-        result = self._write(frame, f"{self.root}/result")
-        _kept.append((self.spark, self.root))
-        return result
+        self.append(frame)
+        return self.kept(frame.schema)
+
+    def append(self, frame: DataFrame) -> None:
+        """Write a further part of the result."""
+        frame.write.mode("append").parquet(f"{self.root}/result")
+
+    def kept(self, schema) -> DataFrame:
+        """All parts of the result; none: no rows."""
+        if (self.spark, self.root) not in _kept:
+            _kept.append((self.spark, self.root))
+        try:
+            return self.spark.read.schema(schema).parquet(f"{self.root}/result")
+        except AnalysisException:
+            return self.spark.createDataFrame([], schema)
 
 
 # --- words as 64-bit numbers, for whole Arrow batches at once -----------------

@@ -9,6 +9,8 @@ from clientele.llm.exact_dedup import exact_groups
 from clientele.llm.mixing import mix_schedule
 from clientele.llm.packing import pack_documents
 from clientele.llm.shingle_join import near_duplicates
+from clientele.llm.topk import exact_top_k
+from clientele.llm.toxicity import toxicity
 from clientele.llm.url_cascade import judge_urls, rule_table
 
 
@@ -16,6 +18,11 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    return toxicity(docs, _table(spark, folder, "labels").select("doc_id", "toxic"))
+
+
 def op2_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_groups(_table(spark, folder, "documents"))
 
@@ -30,6 +37,11 @@ def op10_shingle_join(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(_table(spark, folder, "documents").select("doc_id", "text"))
 
 
+def op5_exact_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = _table(spark, folder, "embeddings").select("vec_id", "embedding")
+    return exact_top_k(vectors, F.col("vec_id") % 50 == 0)
+
+
 def _tokenizer() -> str:
     import public_tokenizers
 
@@ -46,7 +58,9 @@ def op8_source_mix(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op2_exact_dedup": op2_exact_dedup,
+    "op5_exact_top_k": op5_exact_top_k,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_source_mix": op8_source_mix,
     "op9_url_cascade": op9_url_cascade,
@@ -62,6 +76,17 @@ ORACLE = {
                doc_id = max(doc_id) OVER w AS kept, sha256(norm) AS text_sha256
         FROM t WINDOW w AS (PARTITION BY norm)
     """,
+    "op5_exact_top_k": """
+        WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e
+            FROM embeddings WHERE embedding IS NOT NULL
+            AND list_count(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (SELECT q.vec_id AS query_id, c.vec_id,
+                list_sum(list_transform(range(1, len(c.e) + 1), lambda i: q.e[i] * c.e[i]))::BIGINT AS score
+            FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id)
+        SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (
+            SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank
+            FROM s) WHERE rank <= 5
+    """,
     "op9_url_cascade": r"""
         WITH rules(verdict, rhost, rpath) AS (VALUES
             ('allow', 'org', '/'), ('block', 'example.org', '/es/'),
