@@ -91,14 +91,12 @@ class Scratch:
     def __exit__(self, *error) -> None:
         _delete(self.spark, f"{self.root}/steps")
 
-    def _write(self, frame: DataFrame, path: str) -> DataFrame:
-        frame.write.parquet(path)
-        return self.spark.read.schema(frame.schema).parquet(path)
-
-    def store(self, frame: DataFrame) -> DataFrame:
+    def store(self, frame: DataFrame, **options) -> DataFrame:
         """Write ``frame`` and return a scan of it."""
         self._count += 1
-        return self._write(frame, f"{self.root}/steps/{self._count}")
+        path = f"{self.root}/steps/{self._count}"
+        frame.write.parquet(path, **options)
+        return self.spark.read.schema(frame.schema).parquet(path)
 
     def keep(self, frame: DataFrame) -> DataFrame:
         """Like ``store``, but the table stays until ``release``."""

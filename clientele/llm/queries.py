@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clientele.llm.exact_dedup import exact_groups
+from clientele.llm.language_model import score_documents
 from clientele.llm.mixing import mix_schedule
 from clientele.llm.packing import pack_documents
 from clientele.llm.shingle_join import near_duplicates
@@ -37,6 +38,10 @@ def op10_shingle_join(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(_table(spark, folder, "documents").select("doc_id", "text"))
 
 
+def op4_max_entropy_lm(spark: SparkSession, folder: str) -> DataFrame:
+    return score_documents(_table(spark, folder, "documents").select("doc_id", "text"))
+
+
 def op5_exact_top_k(spark: SparkSession, folder: str) -> DataFrame:
     vectors = _table(spark, folder, "embeddings").select("vec_id", "embedding")
     return exact_top_k(vectors, F.col("vec_id") % 50 == 0)
@@ -60,6 +65,7 @@ def op8_source_mix(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_exact_dedup": op2_exact_dedup,
+    "op4_max_entropy_lm": op4_max_entropy_lm,
     "op5_exact_top_k": op5_exact_top_k,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_source_mix": op8_source_mix,
