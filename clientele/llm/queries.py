@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clientele.llm.exact_dedup import exact_groups
+from clientele.llm.html_text import main_text
 from clientele.llm.language_model import score_documents
 from clientele.llm.mixing import mix_schedule
 from clientele.llm.packing import pack_documents
@@ -47,6 +48,12 @@ def op5_exact_top_k(spark: SparkSession, folder: str) -> DataFrame:
     return exact_top_k(vectors, F.col("vec_id") % 50 == 0)
 
 
+def op6_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    texts = main_text(_table(spark, folder, "pages"))
+    size = F.char_length("text").cast("long").alias("n_chars")
+    return texts.select("page_id", "url", "text", size)
+
+
 def _tokenizer() -> str:
     import public_tokenizers
 
@@ -67,6 +74,7 @@ QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
     "op4_max_entropy_lm": op4_max_entropy_lm,
     "op5_exact_top_k": op5_exact_top_k,
+    "op6_html_text": op6_html_text,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_source_mix": op8_source_mix,
     "op9_url_cascade": op9_url_cascade,
