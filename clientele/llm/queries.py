@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from clientele.llm.exact_dedup import exact_groups
 from clientele.llm.html_text import main_text
 from clientele.llm.language_model import score_documents
+from clientele.llm.licenses import document_path, scan_licenses, template_table
 from clientele.llm.mixing import mix_schedule
 from clientele.llm.packing import pack_documents
 from clientele.llm.shingle_join import near_duplicates
@@ -39,6 +40,14 @@ def op10_shingle_join(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(_table(spark, folder, "documents").select("doc_id", "text"))
 
 
+def op3_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents").select("doc_id", "source", "lang", "text")
+    files = docs.select(document_path().alias("path"), "text")
+    found = scan_licenses(files, template_table(spark))
+    name = F.regexp_extract("path", r"([^/]*)\.txt$", 1)
+    return found.withColumn("doc_id", F.when(name != "", name).cast("bigint"))
+
+
 def op4_max_entropy_lm(spark: SparkSession, folder: str) -> DataFrame:
     return score_documents(_table(spark, folder, "documents").select("doc_id", "text"))
 
@@ -54,14 +63,15 @@ def op6_html_text(spark: SparkSession, folder: str) -> DataFrame:
     return texts.select("page_id", "url", "text", size)
 
 
-def _tokenizer() -> str:
+def tokenizer_path() -> str:
+    """Where this machine has the vocabulary file that documents are packed with."""
     import public_tokenizers
 
     return public_tokenizers.path("word_bpe_49k.json")
 
 
 def op7_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
-    return pack_documents(_table(spark, folder, "documents").select("doc_id", "text"), _tokenizer)
+    return pack_documents(_table(spark, folder, "documents").select("doc_id", "text"), tokenizer_path)
 
 
 def op8_source_mix(spark: SparkSession, folder: str) -> DataFrame:
@@ -72,6 +82,7 @@ def op8_source_mix(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_license_scan": op3_license_scan,
     "op4_max_entropy_lm": op4_max_entropy_lm,
     "op5_exact_top_k": op5_exact_top_k,
     "op6_html_text": op6_html_text,
