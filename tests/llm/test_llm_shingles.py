@@ -1,0 +1,160 @@
+"""The Jaccard join against all pairs in plain Python."""
+
+import random
+import re
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from clientele.llm import shingle_join
+from clientele.llm.common import Scratch, word_hashes
+from clientele.llm.components import components
+from clientele.llm.shingle_join import divide_skip, linked_groups, near_duplicates
+
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def shingles(text, k=5):
+    words = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(LOWER))
+    if len(words) < k:
+        return {tuple(words)} if words else set()
+    return {tuple(words[i : i + k]) for i in range(len(words) - k + 1)}
+
+
+def by_pairs(rows):
+    sets = {i: shingles(t) for i, t in rows}
+    low = {i: i for i in sets}
+
+    def root(x):
+        while low[x] != x:
+            x = low[x]
+        return x
+
+    ids = sorted(sets)
+    for n, i in enumerate(ids):
+        for j in ids[n + 1 :]:
+            both = len(sets[i] & sets[j])
+            if both and 100 * both >= 75 * len(sets[i] | sets[j]):
+                a, b = sorted((root(i), root(j)))
+                low[b] = a
+    return {i: (len(sets[i]), root(i)) for i in sets}
+
+
+def make_rows(seed=1):
+    rng = random.Random(seed)
+    words = ["w%d" % i for i in range(400)]
+    rows, at = [], 0
+    passage = [rng.choice(words) for _ in range(20)]
+
+    def add(tokens):
+        nonlocal at
+        at += 1
+        rows.append((at, " ".join(tokens)))
+
+    for _ in range(25):
+        base = [rng.choice(words) for _ in range(rng.choice([3, 5, 6, 30, 80]))]
+        add(base)
+        for _ in range(rng.choice([0, 0, 1, 4])):
+            copy = list(base)
+            for _ in range(rng.choice([0, 1, 1, 2, 3])):
+                copy[rng.randrange(len(copy))] = rng.choice(words)
+            add(copy)
+    # A chain of small changes, whose ends are unlike each other.
+    chain = [rng.choice(words) for _ in range(60)]
+    for i in range(12):
+        chain[i * 5] = f"new{i}"
+        add(chain)
+    # Many texts of one passage and little else, at the border of linking.
+    for i in range(30):
+        add(passage + [f"own{i}_{j}" for j in range(i % 4)])
+    rows += [(at + 1, None), (at + 2, ""), (at + 3, " \t\n"), (at + 4, "ONE"), (at + 5, "one"), (at + 6, "x " * 30_000)]
+    rng.shuffle(rows)
+    return rows
+
+
+def result(frame):
+    return {r.doc_id: (r.n_shingles, r.component_id) for r in frame.collect()}
+
+
+@pytest.mark.parametrize("tile", [128, 4])
+def test_equal_to_all_pairs(spark, monkeypatch, tile):
+    # With small tiles the large clusters go the way of very large ones.
+    monkeypatch.setattr(shingle_join, "TILE", tile)
+    monkeypatch.setattr(shingle_join, "BLOCK_ENTRIES", 500)
+    rows = make_rows()
+    docs = spark.createDataFrame([(i, t, 0, "c") for i, t in rows], "doc_id long, text string, n long, rep string")
+    assert result(near_duplicates(docs.repartition(3))) == by_pairs(rows)
+
+
+def test_repeated_and_null_ids(spark):
+    a = " ".join("abcdefghij")
+    rows = [(5, a), (5, a), (7, "other words that are quite long here"), (7, a), (None, a), (9, "z y x w v u t")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = near_duplicates(docs).collect()
+    assert sorted((r.doc_id or 0, r.component_id or 0) for r in got) == [(0, 0), (5, 5), (5, 5), (7, 5), (7, 5), (9, 9)]
+    assert near_duplicates(docs.limit(0)).collect() == []
+
+
+def test_divide_skip_counts_exactly():
+    rng = random.Random(3)
+    for _ in range(200):
+        lists = [sorted(rng.sample(range(30), rng.randrange(0, 25))) for _ in range(rng.randrange(1, 15))]
+        need = {i: rng.randrange(1, 10) for i in range(30)}
+        counts = Counter(x for values in lists for x in values)
+        got = divide_skip(lists, need.__getitem__, min(need.values()))
+        assert set(got) == {i for i, n in counts.items() if n >= need[i]}
+
+
+def test_links_connect_what_all_links_connect():
+    rng = random.Random(4)
+    for _ in range(30):
+        base = rng.sample(range(1000), 40)
+        sets = []
+        for _ in range(12):
+            s = set(base[: rng.randrange(20, 40)]) | set(rng.sample(range(1000), rng.randrange(0, 8)))
+            sets.append(np.array(sorted(s), np.uint64))
+        links = linked_groups(sets)
+        up = list(range(len(sets)))
+
+        def root(x, up=up):
+            while up[x] != x:
+                x = up[x]
+            return x
+
+        for i, j in links:
+            both = len(np.intersect1d(sets[i], sets[j]))
+            assert 100 * both >= 75 * (len(sets[i]) + len(sets[j]) - both)
+            up[root(i)] = root(j)
+        for i in range(len(sets)):
+            for j in range(i):
+                both = len(np.intersect1d(sets[i], sets[j]))
+                if 100 * both >= 75 * (len(sets[i]) + len(sets[j]) - both):
+                    assert root(i) == root(j)
+
+
+def test_components_of_a_long_path_and_a_star(spark):
+    edges = [(i, i + 1) for i in range(40)] + [(1000, 1000 + i) for i in range(1, 200)] + [(7, 7)]
+    with Scratch(spark) as scratch:
+        rows = components(spark.createDataFrame(edges, "a long, b long"), scratch).collect()
+    got = {r.node: r.component for r in rows}
+    assert all(got[i] == 0 for i in range(41)) and all(got[1000 + i] == 1000 for i in range(200))
+
+
+def test_word_hashes_follow_words():
+    texts = ["The cat", "", "tHe  cat\n", "catthe", " É é ", "the cat", "x"]
+    hashes, first = word_hashes(pa.array(["skip", *texts]).slice(1))
+    words = [re.findall(r"[^\x20\x09-\x0D]+", t.translate(LOWER)) for t in texts]
+    assert np.diff(first).tolist() == [len(w) for w in words]
+    flat = [w for ws in words for w in ws]
+    seen = {}
+    for w, h in zip(flat, hashes.tolist(), strict=True):
+        assert seen.setdefault(w, h) == h
+    assert len(set(seen.values())) == len(seen)
+
+
+def test_extra_columns_do_not_matter(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f", 3)], "doc_id long, text string, digest long")
+    assert result(near_duplicates(docs.withColumn("component_id", F.lit(4)))) == {1: (2, 1)}
