@@ -7,9 +7,10 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 
 from clientele.config import AnalysisConfig
+from clientele.operators import discard_settled, settled_so_far
 from clientele.plans import churn, clv, growth, orders, quality, retention, rfm
 from clientele.plans.ordering import in_report_order
-from clientele.session import tune
+from clientele.session import PLAN_SETTINGS, apply_settings
 from clientele.sources.schemas import Tables
 
 
@@ -45,14 +46,31 @@ class Analytics:
     first use, written to the shared folder, and shared by the reports.  Reports
     come unordered; ``report`` returns one by name in its documented order.
 
-    The plan settings are applied to the session of the tables.
+    The plan settings, ANSI mode among them, are applied to the session of the
+    tables.  Used as a context (``with Analytics(tables) as shop:``), it puts the
+    settings back at the end and deletes the intermediate tables that its reports
+    have written; their rows must have been read or written by then.
     """
 
     def __init__(self, tables: Tables, config: AnalysisConfig | None = None):
-        tune(tables.orders.sparkSession)
+        self._spark = tables.orders.sparkSession
+        self._settings = apply_settings(self._spark, PLAN_SETTINGS)
+        self._mark = settled_so_far()
         self.tables = tables
         self.config = config or AnalysisConfig()
 
+    def __enter__(self) -> Analytics:
+        return self
+
+    def __exit__(self, *error) -> None:
+        self.close()
+
+    def close(self) -> None:
+        """Delete what was settled since the start and restore the settings."""
+        discard_settled(self._spark, self._mark)
+        self.__dict__.pop("summary", None)
+        apply_settings(self._spark, self._settings)
+
     @cached_property
     def summary(self) -> DataFrame:
         return orders.customer_summary(self.tables, self.config)

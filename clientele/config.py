@@ -38,12 +38,6 @@ class AnalysisConfig:
     at_risk_multiple: Decimal = Decimal("1.5")
     unknown_category: str = "Unknown"
 
-    # Physical choices; they never change a result.
-    # Up to this many persons are ranked by one task, more by distributed cuts.
-    single_task_rows: int = 100_000
-    # A person with more orders than this is split over several tasks.
-    hot_person_rows: int = 5_000_000
-
     @property
     def month_fraction(self) -> Fraction:
         return Fraction(self.days_per_month)

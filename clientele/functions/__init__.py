@@ -10,6 +10,7 @@ from clientele.functions.numeric import (
     money_units,
     rounded_ratio,
     row_ratio,
+    wide_sum,
     whole_division,
 )
 
@@ -25,4 +26,5 @@ __all__ = [
     "rounded_ratio",
     "row_ratio",
     "whole_division",
+    "wide_sum",
 ]

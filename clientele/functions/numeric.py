@@ -19,6 +19,9 @@ UNITS_PER_AMOUNT = 10_000
 MONEY = "decimal(24,4)"
 # Whole numbers wider than 64 bits.
 WHOLE = "decimal(38,0)"
+# Bits of the low part of a number in a wide sum.
+_LOW_BITS = 20
+_LOW_PART = 1 << _LOW_BITS
 
 
 def money_units(amount: Column) -> Column:
@@ -26,6 +29,17 @@ def money_units(amount: Column) -> Column:
     return (amount.cast(MONEY) * UNITS_PER_AMOUNT).cast("bigint")
 
 
+def wide_sum(units: Column) -> Column:
+    """Sum of 64-bit numbers as a whole number that may be wider.
+
+    The high and the low part are summed in 64 bits each, so the cost is that of two
+    plain sums; the parts overflow only beyond 10^24.
+    """
+    low = units.bitwiseAND(F.lit(_LOW_PART - 1))
+    high = F.sum(F.shiftright(units, _LOW_BITS)).cast("decimal(19,0)")
+    return high * F.lit(_LOW_PART) + F.sum(low).cast("decimal(19,0)")
+
+
 def money(units: Column) -> Column:
     """The amount of a number of ten-thousandths."""
     return (units.cast(WHOLE) * F.lit(Decimal(1) / UNITS_PER_AMOUNT)).cast(MONEY)

@@ -3,7 +3,7 @@
 from clientele.operators.bands import Banding, assign_bands
 from clientele.operators.inserts import insert_ignore, keep_first
 from clientele.operators.sequences import ordered_history
-from clientele.operators.settling import chunk_count, discard_settled, settle
+from clientele.operators.settling import chunk_count, discard_settled, settle, settled_so_far
 
 __all__ = [
     "Banding",
@@ -14,4 +14,5 @@ __all__ = [
     "keep_first",
     "ordered_history",
     "settle",
+    "settled_so_far",
 ]

@@ -1,7 +1,7 @@
 """Equal-sized bands (NTILE, PERCENT_RANK) over a whole table.
 
 A window without PARTITION BY sends every row to one task.  A band, however, is
-fixed by a handful of cut rows: five bands have four cuts.  So a large table is
+fixed by a handful of cut rows: five bands have four cuts.  So the table is
 range-sorted once as narrow (value, key) pairs to find the rows at the cut
 ranks, and each row then gets its band by comparing it with those cuts.  The
 wide rows are neither sorted nor shuffled nor joined.
@@ -32,9 +32,6 @@ class Banding:
     # cuts on the percent rank of the value.
     split_ties: bool = True
 
-    def order(self) -> Column:
-        return F.desc(self.value) if self.descending else F.asc(self.value)
-
     def sort_value(self, kind: str) -> Column:
         """The value in a type shared with other bandings, ascending."""
         value = F.col(self.value).cast(kind)
@@ -56,7 +53,6 @@ def assign_bands(
     frame: DataFrame,
     key: str,
     bandings: Sequence[Banding],
-    single_task_rows: int,
     rows_per_chunk: int = 1_000_000,
 ) -> DataFrame:
     """Add the band columns to ``frame``; ``key`` is unique and breaks ties.
@@ -64,30 +60,6 @@ def assign_bands(
     ``frame`` is scanned more than once, so settle it first.
     """
     rows = frame.count()
-    if rows <= single_task_rows:
-        return _by_window(frame, key, bandings, rows)
-    return _by_cuts(frame, key, bandings, rows, rows_per_chunk)
-
-
-def _by_window(
-    frame: DataFrame, key: str, bandings: Sequence[Banding], rows: int
-) -> DataFrame:
-    """Bands by plain windows in one task; the caller has checked the size."""
-    columns = {}
-    for banding in bandings:
-        if banding.split_ties:
-            order = Window.orderBy(banding.order(), F.col(key))
-            columns[banding.output] = F.ntile(banding.bands).over(order)
-        else:
-            below = F.rank().over(Window.orderBy(banding.order())) - 1
-            band = F.call_function("div", below * banding.bands, F.lit(max(rows - 1, 1)))
-            columns[banding.output] = F.least(band + 1, F.lit(banding.bands)).cast("int")
-    return frame.withColumns(columns)
-
-
-def _by_cuts(
-    frame: DataFrame, key: str, bandings: Sequence[Banding], rows: int, rows_per_chunk: int
-) -> DataFrame:
     cuts = _find_cuts(frame, key, bandings, rows, rows_per_chunk)
     columns = {}
     for number, banding in enumerate(bandings):

@@ -1,106 +1,46 @@
 """Per-person sequences (running sum, previous and next row) without hot tasks.
 
-A window partitioned by person puts each person into one task.  That is the best
-plan until one person owns a large share of all rows.  Such persons are split:
-their rows are range-partitioned in sequence order, each chunk is processed by
-itself, and a table with one row per person and chunk carries totals and
-neighbouring dates across the chunk borders.
+A window partitioned by person puts each person into one task, and one person may
+own a large share of all rows.  Here rows are put in order within a person's day
+only.  One row per person and day then carries totals and neighbouring dates over
+the days; a person has no more of those than there are dates.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from clientele.operators.settling import settle
-
 
 def ordered_history(
-    rows: DataFrame,
-    person: str,
-    date: str,
-    tie_break: str,
-    amount: str,
-    hot_persons: DataFrame | None = None,
-    chunks: int = 1,
+    rows: DataFrame, person: str, date: str, tie_break: str, amount: str
 ) -> DataFrame:
     """Add cumulative_amount, previous_date and next_date to every row.
 
-    The sequence of a person runs by ``date`` and then by ``tie_break``, which
-    together are unique per person.  ``hot_persons`` is a one-column table of
-    the persons to split; their rows are divided into about ``chunks`` parts.
+    The sequence of a person runs by ``date``, which is never NULL, and then by
+    ``tie_break``; together they are unique per person.
     """
-    if hot_persons is None:
-        return _by_person(rows, person, date, tie_break, amount)
-    settled = settle(rows)
-    usual = _by_person(
-        settled.join(hot_persons, person, "left_anti"), person, date, tie_break, amount
-    )
-    split = _by_chunk(
-        settled.join(hot_persons, person, "left_semi"), person, date, tie_break, amount, chunks
+    days = rows.groupBy(person, date).agg(
+        F.sum(amount).alias("total"), F.count("*").alias("rows_of_day")
     )
-    return usual.unionByName(split)
-
-
-def _running(column: str, window) -> Column:
-    return F.sum(column).over(window.rowsBetween(Window.unboundedPreceding, 0))
-
-
-def _by_person(
-    rows: DataFrame, person: str, date: str, tie_break: str, amount: str
-) -> DataFrame:
-    sequence = Window.partitionBy(person).orderBy(date, tie_break)
-    return rows.select(
-        "*",
-        _running(amount, sequence).alias("cumulative_amount"),
-        F.lag(date).over(sequence).alias("previous_date"),
-        F.lead(date).over(sequence).alias("next_date"),
+    by_day = Window.partitionBy(person).orderBy(date)
+    before = by_day.rowsBetween(Window.unboundedPreceding, -1)
+    carried = days.select(
+        person,
+        date,
+        "rows_of_day",
+        F.sum("total").over(before).alias("amount_before"),
+        F.lag(date).over(by_day).alias("day_before"),
+        F.lead(date).over(by_day).alias("day_after"),
     )
-
-
-def _by_chunk(
-    rows: DataFrame, person: str, date: str, tie_break: str, amount: str, chunks: int
-) -> DataFrame:
-    # The written copy pins the chunk of every row for the two uses below.
-    chunked = settle(
-        rows.repartitionByRange(chunks, person, date, tie_break).withColumn(
-            "chunk", F.spark_partition_id()
-        )
-    )
-    # At most one row per chunk plus one per person.
-    chunk_order = Window.partitionBy(person).orderBy("chunk")
-    carried = (
-        chunked.groupBy(person, "chunk")
-        .agg(
-            F.sum(amount).alias("total"),
-            F.min(date).alias("first_date"),
-            F.max(date).alias("last_date"),
-        )
-        .select(
-            person,
-            "chunk",
-            F.sum("total")
-            .over(chunk_order.rowsBetween(Window.unboundedPreceding, -1))
-            .alias("amount_before"),
-            F.lag("last_date").over(chunk_order).alias("date_before"),
-            F.lead("first_date").over(chunk_order).alias("date_after"),
-        )
-    )
-    in_chunk = Window.partitionBy(person, "chunk").orderBy(date, tie_break)
-    inside = chunked.select(
-        "*",
-        _running(amount, in_chunk).alias("amount_inside"),
-        F.lag(date).over(in_chunk).alias("date_inside_before"),
-        F.lead(date).over(in_chunk).alias("date_inside_after"),
-    )
-    whole = F.col("amount_inside") + F.coalesce("amount_before", F.lit(0))
-    return inside.join(carried, [person, "chunk"]).select(
+    in_day = Window.partitionBy(person, date).orderBy(tie_break)
+    inside = F.sum(amount).over(in_day.rowsBetween(Window.unboundedPreceding, 0))
+    place, last = F.row_number().over(in_day), F.col("rows_of_day")
+    whole = inside + F.coalesce("amount_before", F.lit(0))
+    kind = rows.select(F.sum(amount).alias("total")).schema["total"].dataType
+    return rows.join(carried, [person, date]).select(
         *rows.columns,
-        whole.cast(_running_type(rows, amount)).alias("cumulative_amount"),
-        F.coalesce("date_inside_before", "date_before").alias("previous_date"),
-        F.coalesce("date_inside_after", "date_after").alias("next_date"),
+        whole.cast(kind).alias("cumulative_amount"),
+        F.when(place > 1, F.col(date)).otherwise(F.col("day_before")).alias("previous_date"),
+        F.when(place < last, F.col(date)).otherwise(F.col("day_after")).alias("next_date"),
     )
-
-
-def _running_type(rows: DataFrame, amount: str):
-    return rows.select(F.sum(amount).alias("total")).schema["total"].dataType

@@ -9,6 +9,8 @@ person without iterating over months.
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +22,9 @@ from clientele.plans.orders import PERSON
 # The name of each band, best first.
 TIERS = ("Top CLV", "High CLV", "Mid CLV", "Low CLV")
 
+# Days from the first to the last date there is.
+_LONGEST_SPAN = (date.max - date.min).days
+
 # Digits the projection keeps behind its unit, for ranking and adding up.
 _KEPT_DIGITS = 12
 _KEPT_PER_UNIT = 10**_KEPT_DIGITS
@@ -34,9 +39,9 @@ def _line(config: AnalysisConfig) -> tuple[Column, Column]:
 
 
 def _divisor_digits(config: AnalysisConfig) -> int:
-    """Digits of the divisor for a span of up to 270 years."""
+    """Digits of the divisor for any span between the years 1 and 9999."""
     month = config.month_fraction
-    return len(str(month.denominator * 100_000 + month.numerator))
+    return len(str(month.denominator * _LONGEST_SPAN + month.numerator))
 
 
 def _wide_product(units: Column, factor: Column) -> Column:
@@ -81,7 +86,7 @@ def _ranked(summary: DataFrame, config: AnalysisConfig) -> DataFrame:
     quartile = Banding(
         "clv_quartile", "projected_units", config.clv_bands, descending=True
     )
-    return assign_bands(projected, PERSON, [quartile], config.single_task_rows)
+    return assign_bands(projected, PERSON, [quartile])
 
 
 def _tier() -> Column:

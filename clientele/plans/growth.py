@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from clientele.config import AnalysisConfig
-from clientele.functions import calendar_month, cents, money_units, rounded_ratio
+from clientele.functions import calendar_month, cents, money_units, rounded_ratio, wide_sum
 from clientele.operators import settle
 from clientele.plans.orders import qualified_orders
 from clientele.sources.schemas import Tables
@@ -41,7 +41,7 @@ def _item_revenue(tables: Tables, config: AnalysisConfig, by_category: bool) ->
 def _totals(items: DataFrame, *keys: str) -> DataFrame:
     return items.groupBy(*keys).agg(
         F.count_distinct("order_id").alias("order_count"),
-        F.sum("units").alias("units"),
+        wide_sum(F.col("units")).alias("units"),
     )
 
 
@@ -52,7 +52,7 @@ def _with_growth(totals: DataFrame, *partition: str) -> DataFrame:
     """
     months = Window.partitionBy(*partition).orderBy(MONTH)
     before = F.col("units_before")
-    change = (F.col("units").cast("decimal(19,0)") - before) * 100
+    change = (F.col("units") - before) * 100
     return (
         totals.withColumn("units_before", F.lag("units").over(months))
         .withColumn("mom_growth_pct", rounded_ratio(change, before, 2))

@@ -71,7 +71,6 @@ def score_customers(summary: DataFrame, config: AnalysisConfig) -> DataFrame:
             score("frequency_score", "order_count", descending=not high),
             score("monetary_score", "revenue_units", descending=not high),
         ],
-        config.single_task_rows,
     )
     total = F.col("recency_score") + F.col("frequency_score") + F.col("monetary_score")
     return scored.withColumns({"rfm_score": total, "customer_segment": customer_segment()})

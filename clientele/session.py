@@ -18,12 +18,21 @@ PLAN_SETTINGS = {
 
 def tune(spark: SparkSession) -> SparkSession:
     """Apply the plan settings to a session that somebody else has built."""
-    for key, value in PLAN_SETTINGS.items():
-        if spark.conf.get(key, None) != value:
-            spark.conf.set(key, value)
+    apply_settings(spark, PLAN_SETTINGS)
     return spark
 
 
+def apply_settings(spark: SparkSession, settings: dict[str, str | None]) -> dict[str, str | None]:
+    """Set (or, for None, unset) what differs; returns the values from before."""
+    before = {key: spark.conf.get(key, None) for key in settings}
+    for key, value in settings.items():
+        if value is None:
+            spark.conf.unset(key)
+        elif before[key] != value:
+            spark.conf.set(key, value)
+    return before
+
+
 def local_session(cores: int | str = "*", app: str = "clientele", **extra: str) -> SparkSession:
     """A local session for tests and benchmarks; clusters bring their own."""
     partitions = "8" if cores == "*" else str(cores)

@@ -100,10 +100,9 @@ def case(request, spark):
     return data, make_tables(spark, **data)
 
 
-@pytest.fixture(params=["window", "cuts"])
-def shop(request, case):
-    rows = 0 if request.param == "cuts" else 10**6
-    return Analytics(case[1], AnalysisConfig(single_task_rows=rows))
+@pytest.fixture
+def shop(case):
+    return Analytics(case[1])
 
 
 def found(frame, *columns):
@@ -117,11 +116,10 @@ def test_history_and_running_revenue(case):
         for day, order, revenue in rows:
             total += revenue
             expected.append((person, order, day, revenue, total))
-    for limit in (10**6, 3):
-        running = Analytics(case[1], AnalysisConfig(hot_person_rows=limit)).customer_running_revenue()
-        columns = ["customer_unique_id", "order_id", "order_date", "order_revenue", "cumulative_revenue"]
-        assert running.columns == columns
-        assert found(running, *columns) == sorted(expected)
+    running = Analytics(case[1]).customer_running_revenue()
+    columns = ["customer_unique_id", "order_id", "order_date", "order_revenue", "cumulative_revenue"]
+    assert running.columns == columns
+    assert found(running, *columns) == sorted(expected)
 
 
 def test_clv(case, shop):

@@ -4,7 +4,7 @@ import re
 
 import pytest
 
-from __spark_entry__ import queries
+from __spark_entry__ import QUERIES
 from clientele import Analytics, star_tables
 from clientele.analytics import REPORTS
 from clientele.plans import orders
@@ -62,16 +62,16 @@ def test_distinct_orders_need_no_shuffle_of_their_own(spark, no_broadcast):
     assert plan_nodes(frame, "Exchange") == 7
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_no_python_and_no_unbounded_step(spark, name):
-    frame = queries()[name](spark, DATA)
+    frame = QUERIES[name](spark, DATA)
     assert not re.search(r"Python|Pandas|ArrowEval|CartesianProduct", plan_text(frame))
     # All joins are by equality.
     assert plan_nodes(frame, "BroadcastNestedLoopJoin") == 0
 
 
 def test_cuts_leave_no_single_task_step(spark):
-    frame = queries()["rfm_customers_by_cuts"](spark, DATA)
+    frame = QUERIES["rfm_customers_by_cuts"](spark, DATA)
     assert plan_nodes(frame, "Window") == plan_nodes(frame, "Exchange") == 0
     # The analysis date is all that is brought together.
     assert plan_text(frame).count("Arguments: SinglePartition") == 1

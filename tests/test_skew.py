@@ -7,6 +7,7 @@ from dataclasses import replace
 
 import pytest
 from helpers import make_tables
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from clientele import AnalysisConfig, Analytics
@@ -100,20 +101,17 @@ def test_hot_customer_is_one_row_per_task_in_summary_join(spark, skewed):
     assert {r.customer_unique_id: r.order_count for r in summary} == counts
 
 
-def test_hot_person_is_found_and_split(spark, skewed):
-    config = AnalysisConfig(hot_person_rows=1000)
-    hot = orders.hot_persons(skewed, config)
-    assert [r[0] for r in hot.collect()] == ["hot"]
-    assert 2000 < hot.first().orders < 3000
-    assert orders.hot_persons(skewed, AnalysisConfig(hot_person_rows=8999)) is None
-    for report in ("customer_running_revenue", "order_gaps"):
-        split = getattr(Analytics(skewed, config), report)()
-        plain = getattr(Analytics(skewed), report)()
-        assert split.schema.simpleString() == plain.schema.simpleString()
-        assert sorted(map(str, split.collect())) == sorted(map(str, plain.collect()))
+def test_a_hot_person_is_spread_over_days(spark, skewed):
+    """Rows are ordered within a person's day; over days there is a row per day."""
+    tables = spread(skewed)
+    plan = plan_text(Analytics(tables).customer_running_revenue())
+    keys = re.findall(r"Arguments: hashpartitioning\(([^)]*), \d+\)", plan)
+    assert any("customer_unique_id" in k and "order_date" in k for k in keys)
+    history = Analytics(tables).order_gaps().collect()
+    assert len(history) == Analytics(tables).customer_orders().count()
 
 
-def test_split_history_over_many_chunks(spark):
+def test_history_equals_plain_windows(spark):
     rng = random.Random(9)
     data = [
         (rng.choice(["a", "a", "a", "b", "c"]), i, rng.randrange(40), rng.randrange(-9, 100))
@@ -125,16 +123,21 @@ def test_split_history_over_many_chunks(spark):
         F.date_add(F.lit("2024-01-01").cast("date"), F.col("day")).alias("date"),
         F.col("amount").cast("decimal(12,2)").alias("amount"),
     )
-    names = dict(person="person", date="date", tie_break="id", amount="amount")
-    hot = spark.createDataFrame([("a",), ("b",)], "person string")
-    split = ordered_history(rows, **names, hot_persons=hot, chunks=11).collect()
-    plain = ordered_history(rows, **names).collect()
-    assert sorted(map(str, split)) == sorted(map(str, plain))
+    found = ordered_history(rows, person="person", date="date", tie_break="id", amount="amount")
+    sequence = Window.partitionBy("person").orderBy("date", "id")
+    plain = rows.select(
+        "*",
+        F.sum("amount").over(sequence.rowsBetween(Window.unboundedPreceding, 0)).alias("cumulative_amount"),
+        F.lag("date").over(sequence).alias("previous_date"),
+        F.lead("date").over(sequence).alias("next_date"),
+    )
+    names = plain.columns
+    assert sorted(map(str, found.select(names).collect())) == sorted(map(str, plain.collect()))
 
 
 def test_results_do_not_depend_on_partitioning(spark, skewed):
     def results():
-        analytics = Analytics(spread(skewed), AnalysisConfig(single_task_rows=0))
+        analytics = Analytics(spread(skewed))
         return [
             sorted(map(str, getattr(analytics, report)().collect()))
             for report in ("customer_clv", "rfm_customers", "churn_by_segment", "growth_rollup")
@@ -151,4 +154,4 @@ def test_results_do_not_depend_on_partitioning(spark, skewed):
 
 def test_chunks_do_not_depend_on_the_session():
     assert [chunk_count(n) for n in (0, 1, 10**6, 10**6 + 1)] == [1, 1, 1, 2]
-    assert chunk_count(10**12) == 20_000
+    assert chunk_count(10**12) == 10**6

@@ -146,6 +146,17 @@ def test_settled_rows_live_in_the_shared_folder(spark, tmp_path, monkeypatch):
     assert not folder.exists() and not written
 
 
+def test_local_session_without_shared_folder_uses_its_own_storage(spark, monkeypatch):
+    persisted = []
+    monkeypatch.setattr("clientele.operators.settling._persisted", persisted)
+    monkeypatch.setattr("clientele.operators.settling._written", [])
+    monkeypatch.setattr("clientele.operators.settling.shared_folder", lambda spark: None)
+    frame = settle(spark.range(10).filter("id > 2"))
+    assert frame.is_cached and frame.count() == 7
+    discard_settled(spark)
+    assert not frame.is_cached and not persisted
+
+
 def test_cluster_without_shared_folder_is_refused():
     session = SimpleNamespace(
         conf=SimpleNamespace(get=lambda key, default: default),
