@@ -54,31 +54,69 @@ def orphaned_keys(child: DataFrame, parent: DataFrame, key: str) -> DataFrame:
     """Key values of ``child`` that ``parent`` lacks, with the number of rows.
 
     Child rows are counted per key before the join, so a frequent key is one row
-    in it; DISTINCT on the parent uses the shuffle of the join.  A missing value
-    refers to nothing and is not an orphan.
+    in it; DISTINCT on the parent uses the shuffle of the join.
     """
     counted = child.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("rows"))
     return counted.join(parent.select(key).distinct(), key, "left_anti")
 
 
+def _children() -> dict[str, list[tuple[str, str]]]:
+    """Parent table: its child tables and the column they share."""
+    found: dict[str, list[tuple[str, str]]] = {}
+    for child, key, parent in FOREIGN_KEYS:
+        found.setdefault(parent, []).append((child, key))
+    return found
+
+
+def _key_family(frames: dict[str, DataFrame], parent: str, primary: bool) -> DataFrame:
+    """Rules of one key in its table and in all tables that refer to it.
+
+    Each of these tables is read once: their keys are put together with a count of
+    one for the table they come from, and the counts are summed by key.  A frequent
+    key is combined before the shuffle, and no join can be skewed by it.  A missing
+    value refers to nothing, so it is no orphan.
+    """
+    children = _children()[parent]
+    key = children[0][1]
+    names = [parent, *(child for child, _ in children)]
+    rows = _together(
+        frames[name]
+        .filter(F.lit(name == parent) | F.col(key).isNotNull())
+        .select(F.col(key).alias("key"), *[F.lit(int(name == n)).cast("bigint").alias(n) for n in names])
+        for name in names
+    )
+    per_key = rows.groupBy("key").agg(*[F.sum(name).alias(name) for name in names])
+    extra = F.sum(F.greatest(F.col(parent) - 1, F.lit(0)))
+    findings = [_finding(parent, f"primary key ({key})", extra)] if primary else []
+    for child, _ in children:
+        orphans = F.sum(F.when(F.col(parent) == 0, F.col(child)))
+        findings.append(_finding(child, f"foreign key ({key}) to {parent}", orphans))
+    return per_key.agg(F.array(*[F.struct(f) for f in findings]).alias("findings")).select(
+        F.inline("findings")
+    )
+
+
+def _primary_key(frames: dict[str, DataFrame], name: str) -> DataFrame:
+    key = PRIMARY_KEYS[name]
+    extra = repeated_keys(frames[name], key).agg(F.sum(F.col("rows") - 1).alias("extra"))
+    return extra.select(_finding(name, f"primary key ({', '.join(key)})", F.col("extra")))
+
+
 def pk_violations(tables: Tables) -> DataFrame:
     frames = tables.named()
-    return _together(
-        repeated_keys(frames[name], key)
-        .agg(F.sum(F.col("rows") - 1).alias("extra"))
-        .select(_finding(name, f"primary key ({', '.join(key)})", F.col("extra")))
-        for name, key in PRIMARY_KEYS.items()
-    )
+    return _together(_primary_key(frames, name) for name in PRIMARY_KEYS)
 
 
 def fk_violations(tables: Tables) -> DataFrame:
     frames = tables.named()
-    return _together(
-        orphaned_keys(frames[child], frames[parent], key)
-        .agg(F.sum("rows").alias("orphans"))
-        .select(_finding(child, f"foreign key ({key}) to {parent}", F.col("orphans")))
-        for child, key, parent in FOREIGN_KEYS
-    )
+    return _together(_key_family(frames, parent, primary=False) for parent in _children())
+
+
+def key_violations(tables: Tables) -> DataFrame:
+    """Primary and foreign keys together, with one scan per table and key."""
+    frames, families = tables.named(), _children()
+    others = [_primary_key(frames, name) for name in PRIMARY_KEYS if name not in families]
+    return _together([_key_family(frames, parent, primary=True) for parent in families] + others)
 
 
 def null_and_range_violations(tables: Tables) -> DataFrame:
@@ -109,9 +147,7 @@ def null_and_range_violations(tables: Tables) -> DataFrame:
 
 def check_tables(tables: Tables) -> DataFrame:
     """All row-level rules; a clean data set has 0 violations throughout."""
-    return _together(
-        [pk_violations(tables), fk_violations(tables), null_and_range_violations(tables)]
-    )
+    return _together([key_violations(tables), null_and_range_violations(tables)])
 
 
 def schema_report(spark: SparkSession, frames: dict[str, DataFrame]) -> DataFrame:

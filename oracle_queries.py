@@ -361,6 +361,16 @@ FROM {SOURCES[table]} AS s WHERE {column} IS NULL"""
        count(*) FILTER (WHERE score NOT BETWEEN 1 AND 5) AS violations
 FROM (SELECT 5 AS score FROM {REVIEWS})""",
 )
+# The same rules on tables without some parents and with some missing values.
+BROKEN_TABLES = f"""
+WITH customer AS (SELECT * FROM main.customer WHERE c_mktsegment <> 'BUILDING'),
+orders AS (SELECT * FROM main.orders WHERE o_orderstatus <> 'P'),
+part AS (SELECT * FROM main.part WHERE p_type <> 'PROMO'),
+lineitem AS (
+  SELECT * REPLACE (CASE WHEN l_linenumber <> 3 THEN l_partkey END AS l_partkey)
+  FROM main.lineitem
+)
+{union(PK_VIOLATIONS, FK_VIOLATIONS, VALUE_VIOLATIONS)}"""
 ROW_COUNTS = union(
     *[
         f"SELECT '{table}' AS table_name, count(*) AS row_count FROM {source} AS s"
@@ -459,6 +469,7 @@ SELECT count(*) AS active_customer_months FROM (
     "fk_violations": FK_VIOLATIONS,
     "null_and_range_violations": VALUE_VIOLATIONS,
     "check_tables": union(PK_VIOLATIONS, FK_VIOLATIONS, VALUE_VIOLATIONS),
+    "check_broken_tables": BROKEN_TABLES,
     "insert_ignore": INSERT_IGNORE,
     "derived_payments": DERIVED_PAYMENTS,
     "derived_reviews": DERIVED_REVIEWS,

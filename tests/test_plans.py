@@ -83,3 +83,9 @@ def test_every_ordered_report_sorts(spark):
         rows = in_report_order(name, getattr(analytics, name)())
         assert len(report_order(name)) >= 1
         assert plan_nodes(rows, "Sort") >= 1
+
+
+def test_checks_read_each_table_once_per_key(spark):
+    """Six key families and keys, and one scan per table for its values."""
+    frame = Analytics(star_tables(spark, DATA), STAR_CONFIG).check_tables()
+    assert plan_nodes(frame, "Scan") <= 17
