@@ -98,11 +98,28 @@ DIVISOR = "(16 * span + 487)"
 KEPT = 10**12
 
 
+def path(person: str = "c_custkey") -> str:
+    """CTE path: the projection month by month, as a fraction num / den.
+
+    A month adds revenue / orders * orders / (days / (487/16) + 1), which is
+    487 * revenue / den.
+    """
+    recursive = history(person).replace("WITH paid", "WITH RECURSIVE paid")
+    return f"""{recursive}, path AS (
+  SELECT person, 0 AS k, CAST(u AS HUGEINT) * {DIVISOR} AS num, {DIVISOR} AS den FROM person
+  UNION ALL
+  SELECT p.person, p.k + 1, p.num + 487 * CAST(a.u AS HUGEINT), p.den
+  FROM path AS p JOIN person AS a ON a.person = p.person WHERE p.k < 12
+)"""
+
+
 def clv(person: str = "c_custkey") -> str:
-    at_horizon = f"u * {KEPT} * ({DIVISOR} + 487 * CASE WHEN u < 0 THEN 0 ELSE 12 END)"
-    rounded = f"(2 * abs({at_horizon}) + {DIVISOR}) // (2 * {DIVISOR})"
-    return f"""{history(person)}, valued AS (
-  SELECT *, CAST(sign(u) AS HUGEINT) * ({rounded}) AS v FROM person
+    rounded = f"(2 * abs(num) * {KEPT} + den) // (2 * den)"
+    return f"""{path(person)}, highest AS (
+  SELECT person, max(num) AS num, any_value(den) AS den FROM path GROUP BY person
+), valued AS (
+  SELECT person.*, CAST(sign(num) AS HUGEINT) * ({rounded}) AS v
+  FROM person JOIN highest ON highest.person = person.person
 ), ranked AS (
   SELECT *, ntile(4) OVER (ORDER BY v DESC, person) AS q FROM valued
 ), tiered AS (
@@ -130,11 +147,10 @@ SELECT CAST(q AS BIGINT) AS clv_quartile, tier AS clv_tier, count(*) AS customer
        {ratio("sum(v)", f"count(*)::HUGEINT * {KEPT * MONEY}", 2)} AS projected_clv_average
 FROM tiered GROUP BY q, tier"""
 
-CLV_PATH = f"""{history()}
-SELECT person AS customer_unique_id, k AS projection_month,
-       {ratio(f"u * ({DIVISOR} + 487 * k)", f"{MONEY} * {DIVISOR}", 2)}
-         AS cumulative_projected_clv
-FROM person, generate_series(0, 12) AS months(k)"""
+CLV_PATH = f"""{path()}
+SELECT person AS customer_unique_id, CAST(k AS BIGINT) AS projection_month,
+       {ratio("num", f"{MONEY} * den", 2)} AS cumulative_projected_clv
+FROM path"""
 
 
 def rfm(best_is_high: bool = False, percent_rank: bool = False) -> str:
