@@ -12,61 +12,66 @@ from clientele.operators.inserts import insert_ignore
 from clientele.sources.derived import payments_from_items, reviews_from_orders
 from clientele.sources.schemas import PRIMARY_KEYS, SCHEMAS, Tables
 
-# The rows of the sample data set.
-CUSTOMERS = """
-c001 u001 SP sao paulo
-c002 u002 RJ rio de janeiro
-c003 u003 PR curitiba
-c004 u004 BA salvador
-c005 u005 MG belo horizonte
-c006 u006 PE recife
-c007 u007 CE fortaleza
-c008 u008 SP campinas
-"""
-PRODUCTS = """
-p001 electronics
-p002 bed_bath_table
-p003 sports_leisure
-p004 health_beauty
-p005 toys
-"""
-# Order, customer, state, purchase time, and its only item with price and freight.
-ORDERS = """
-o001 c001 delivered 2024-01-10T09:00 p001 100.00 10.00
-o002 c001 delivered 2024-02-12T10:00 p002 80.00 8.00
-o003 c001 delivered 2024-04-20T11:00 p003 150.00 15.00
-o004 c002 delivered 2024-01-15T12:00 p004 50.00 7.00
-o005 c002 delivered 2024-03-18T13:00 p001 120.00 12.00
-o006 c003 delivered 2024-02-05T14:00 p005 40.00 6.00
-o007 c003 delivered 2024-02-25T15:00 p003 90.00 9.00
-o008 c003 delivered 2024-05-02T16:00 p001 200.00 18.00
-o009 c004 delivered 2024-03-11T09:30 p002 75.00 8.00
-o010 c005 delivered 2024-03-19T10:30 p004 60.00 7.00
-o011 c005 delivered 2024-04-22T11:30 p004 110.00 10.00
-o012 c006 delivered 2024-04-03T12:30 p005 45.00 6.00
-o013 c007 delivered 2024-04-10T13:30 p003 70.00 8.00
-o014 c008 delivered 2024-05-09T14:30 p001 130.00 12.00
-o015 c008 canceled 2024-05-20T15:30 p002 90.00 9.00
-"""
-
-
-def _lines(text: str, width: int) -> list[list[str]]:
-    return [line.split(maxsplit=width - 1) for line in text.strip().splitlines()]
+# The rows of the sample data set, columns in the order of the schemas.
+CUSTOMERS = [
+    ("c001", "u001", None, "sao paulo", "SP"),
+    ("c002", "u002", None, "rio de janeiro", "RJ"),
+    ("c003", "u003", None, "curitiba", "PR"),
+    ("c004", "u004", None, "salvador", "BA"),
+    ("c005", "u005", None, "belo horizonte", "MG"),
+    ("c006", "u006", None, "recife", "PE"),
+    ("c007", "u007", None, "fortaleza", "CE"),
+    ("c008", "u008", None, "campinas", "SP"),
+]
+PRODUCTS = [
+    ("p001", "electronics"),
+    ("p002", "bed_bath_table"),
+    ("p003", "sports_leisure"),
+    ("p004", "health_beauty"),
+    ("p005", "toys"),
+]
+ORDERS = [
+    ("o001", "c001", "delivered", datetime(2024, 1, 10, 9, 0), None, None),
+    ("o002", "c001", "delivered", datetime(2024, 2, 12, 10, 0), None, None),
+    ("o003", "c001", "delivered", datetime(2024, 4, 20, 11, 0), None, None),
+    ("o004", "c002", "delivered", datetime(2024, 1, 15, 12, 0), None, None),
+    ("o005", "c002", "delivered", datetime(2024, 3, 18, 13, 0), None, None),
+    ("o006", "c003", "delivered", datetime(2024, 2, 5, 14, 0), None, None),
+    ("o007", "c003", "delivered", datetime(2024, 2, 25, 15, 0), None, None),
+    ("o008", "c003", "delivered", datetime(2024, 5, 2, 16, 0), None, None),
+    ("o009", "c004", "delivered", datetime(2024, 3, 11, 9, 30), None, None),
+    ("o010", "c005", "delivered", datetime(2024, 3, 19, 10, 30), None, None),
+    ("o011", "c005", "delivered", datetime(2024, 4, 22, 11, 30), None, None),
+    ("o012", "c006", "delivered", datetime(2024, 4, 3, 12, 30), None, None),
+    ("o013", "c007", "delivered", datetime(2024, 4, 10, 13, 30), None, None),
+    ("o014", "c008", "delivered", datetime(2024, 5, 9, 14, 30), None, None),
+    ("o015", "c008", "canceled", datetime(2024, 5, 20, 15, 30), None, None),
+]
+ORDER_ITEMS = [
+    ("o001", 1, "p001", Decimal("100.00"), Decimal("10.00")),
+    ("o002", 1, "p002", Decimal("80.00"), Decimal("8.00")),
+    ("o003", 1, "p003", Decimal("150.00"), Decimal("15.00")),
+    ("o004", 1, "p004", Decimal("50.00"), Decimal("7.00")),
+    ("o005", 1, "p001", Decimal("120.00"), Decimal("12.00")),
+    ("o006", 1, "p005", Decimal("40.00"), Decimal("6.00")),
+    ("o007", 1, "p003", Decimal("90.00"), Decimal("9.00")),
+    ("o008", 1, "p001", Decimal("200.00"), Decimal("18.00")),
+    ("o009", 1, "p002", Decimal("75.00"), Decimal("8.00")),
+    ("o010", 1, "p004", Decimal("60.00"), Decimal("7.00")),
+    ("o011", 1, "p004", Decimal("110.00"), Decimal("10.00")),
+    ("o012", 1, "p005", Decimal("45.00"), Decimal("6.00")),
+    ("o013", 1, "p003", Decimal("70.00"), Decimal("8.00")),
+    ("o014", 1, "p001", Decimal("130.00"), Decimal("12.00")),
+    ("o015", 1, "p002", Decimal("90.00"), Decimal("9.00")),
+]
 
 
 def seed_rows() -> dict[str, list[tuple]]:
-    orders = _lines(ORDERS, 7)
     return {
-        "customers": [(c, u, None, city, state) for c, u, state, city in _lines(CUSTOMERS, 4)],
-        "products": [tuple(row) for row in _lines(PRODUCTS, 2)],
-        "orders": [
-            (o, c, state, datetime.fromisoformat(when), None, None)
-            for o, c, state, when, *_ in orders
-        ],
-        "order_items": [
-            (o, 1, product, Decimal(price), Decimal(freight))
-            for o, _, _, _, product, price, freight in orders
-        ],
+        "customers": CUSTOMERS,
+        "products": PRODUCTS,
+        "orders": ORDERS,
+        "order_items": ORDER_ITEMS,
     }
 
 
