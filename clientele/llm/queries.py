@@ -8,7 +8,15 @@ from pyspark.sql import functions as F
 from clientele.llm.exact_dedup import exact_groups
 from clientele.llm.html_text import main_text
 from clientele.llm.language_model import score_documents
-from clientele.llm.licenses import document_path, scan_licenses, template_table
+from clientele.llm.licenses import (
+    CUE,
+    LEAST_COSINE,
+    LEAST_SHARE,
+    TEMPLATES,
+    document_path,
+    scan_licenses,
+    template_table,
+)
 from clientele.llm.mixing import mix_schedule
 from clientele.llm.packing import pack_documents
 from clientele.llm.shingle_join import near_duplicates
@@ -101,6 +109,47 @@ ORACLE = {
                doc_id = max(doc_id) OVER w AS kept, sha256(norm) AS text_sha256
         FROM t WINDOW w AS (PARTITION BY norm)
     """,
+    "op3_license_scan": rf"""
+        WITH templates(license, line) AS (VALUES {", ".join(f"('{n}', '{t}')" for n, t in TEMPLATES)}),
+        files AS (SELECT doc_id, coalesce(text, '') AS text,
+                coalesce(source, 'none') || '/' || coalesce(lang, 'none') || '/'
+                || regexp_replace(doc_id::VARCHAR, '(.)', '\1/', 'g') || doc_id || '.txt' AS path
+            FROM documents),
+        cued AS (SELECT path, text, list_filter(string_split_regex(text, '[\r\n]+'),
+                lambda x: regexp_matches(x, '{CUE}')) AS lines
+            FROM files WHERE regexp_matches(text, '{CUE}')),
+        headers AS (SELECT path, trim(regexp_replace(unnest(lines), '\s+', ' ', 'g')) AS line,
+                len(list_filter(string_split_regex(array_to_string(lines, ' '), '\s+'), lambda w: w <> ''))
+                / greatest(1, len(list_filter(string_split_regex(text, '\s+'), lambda w: w <> '')))
+                >= {LEAST_SHARE} AS is_file
+            FROM cued),
+        units AS (SELECT 0 AS kind, line AS unit, line FROM (SELECT DISTINCT line FROM headers)
+            UNION ALL SELECT 1, license, line FROM templates),
+        counts AS (SELECT kind, unit, term, count(*) AS tf FROM (SELECT kind, unit,
+                unnest(regexp_extract_all(lower(line), '[a-z0-9]+')) AS term FROM units) GROUP BY ALL),
+        idf AS (SELECT term, ln((1 + (SELECT count(*) FROM units)) / (1 + count(*))) + 1 AS idf
+            FROM counts GROUP BY term),
+        weights AS (SELECT kind, unit, term, tf * idf AS w,
+                sqrt(sum((tf * idf) ** 2) OVER (PARTITION BY kind, unit)) AS size
+            FROM counts JOIN idf USING (term)),
+        matched AS (SELECT a.unit AS line, b.unit AS license, round(sum(a.w / a.size * b.w / b.size), 6) AS cosine
+            FROM weights a JOIN weights b ON a.kind = 0 AND b.kind = 1 AND a.term = b.term GROUP BY ALL),
+        own AS (SELECT path, license, cosine, is_file FROM headers JOIN matched USING (line)
+            WHERE cosine >= {LEAST_COSINE}
+            QUALIFY row_number() OVER (PARTITION BY path ORDER BY cosine DESC, license) = 1),
+        directories AS (SELECT regexp_extract(path, '^(.*)/[^/]*$', 1) AS directory, license AS inherited
+            FROM own WHERE is_file
+            QUALIFY row_number() OVER (PARTITION BY directory ORDER BY cosine DESC, license) = 1),
+        nearest AS (SELECT path, inherited, directory
+            FROM files JOIN directories ON starts_with(path, directory || '/')
+            WHERE path NOT IN (SELECT path FROM own)
+            QUALIFY row_number() OVER (PARTITION BY path ORDER BY length(directory) DESC) = 1)
+        SELECT doc_id, path, license AS own_license, cosine AS own_cosine,
+            coalesce(license, inherited) AS license, directory AS license_directory,
+            CASE WHEN license IS NOT NULL THEN CASE WHEN is_file THEN 'file' ELSE 'header' END
+                WHEN inherited IS NOT NULL THEN 'directory' END AS origin
+        FROM files LEFT JOIN own USING (path) LEFT JOIN nearest USING (path)
+    """,
     "op5_exact_top_k": """
         WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e
             FROM embeddings WHERE embedding IS NOT NULL
