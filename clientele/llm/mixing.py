@@ -28,7 +28,8 @@ def source_targets(
     targets share ``share`` times all sizes by weight, but none exceeds ``most``
     times its source's size; what that cuts off is shared among the others.  The
     one level at which everything is shared out is found by lifting it while some
-    source is above its limit; only sums reach the driver.
+    source is above its limit; only sums reach the driver.  The sources, a row each,
+    are numbered by one task.
     """
     order = Window.orderBy(F.col("source").asc_nulls_last())
     weight = F.element_at(
