@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Callable
 
@@ -15,43 +16,101 @@ from clientele.llm.common import Scratch, text_or_empty
 CAPACITY = 4096
 END_ID = 1
 # Words whose ids a task remembers at once.
-CACHED_WORDS = 400_000
+CACHED_WORDS = 800_000
 # Items that one leaf packs at a time, and open bins that go up from one group.
 LEAF_ITEMS = 50_000
 OPEN_BINS = 4_000
 FAN_IN = 8
 
 
+# A word of letters that the tokenizer lower-cases sign by sign, with signs behind it
+# that are a piece of their own.
+_PLAIN = re.compile(r"([^\W\d_]+)([.,;:!?*$%#&]*)")
+_LAST_SIMPLE, _DOTTED_I = "\u024f", "\u0130"
+
+
 class WordIds(dict):
     """Ids of whitespace-separated words as little-endian 32-bit bytes.
 
-    The tokenizer drops white space and never joins what it separates, so a
-    text's ids are those of its words in turn.
+    The tokenizer drops white space, lower-cases, and cuts letters from other signs;
+    it never joins what it has cut.  So a text's ids are those of its words in turn,
+    and those of a plain word are its letters' and its signs'.  Anything else, such
+    as digits, apostrophes or special tokens, is left to the tokenizer as a whole.
     """
 
-    def __init__(self, tokenizer):
+    def __init__(self, tokenizer, plain: bool):
         super().__init__()
+        from tokenizers import pre_tokenizers
+
         self.tokenizer = tokenizer
+        self.plain = plain
+        self.parts: dict[str, bytes] = {}
+        self.tokenize = tokenizer.model.tokenize
+        self.to_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+
+    def _whole(self, text: str) -> bytes:
+        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return np.array(ids, "<u4").tobytes()
+
+    def _letters(self, word: str) -> bytes:
+        mapped = word if word.isascii() else self.to_bytes(word)[0][0]
+        return np.array([t.id for t in self.tokenize(mapped)], "<u4").tobytes()
+
+    def _part(self, text: str, ids: Callable[[str], bytes]) -> bytes:
+        known = self.parts.get(text)
+        if known is None:
+            known = self.parts[text] = ids(text)
+        return known
 
     def __missing__(self, word: bytes) -> bytes:
-        ids = self.tokenizer.encode(word.decode(), add_special_tokens=False).ids
-        self[word] = packed = np.array(ids, "<u4").tobytes()
+        text = word.decode()
+        match = _PLAIN.fullmatch(text) if self.plain else None
+        if match and match[1].isalpha() and max(text) <= _LAST_SIMPLE and _DOTTED_I not in text:
+            packed = self._part(match[1].lower(), self._letters)
+            if match[2]:
+                packed += self._part(match[2], self._whole)
+        else:
+            packed = self._whole(text)
+        self[word] = packed
         return packed
 
     def encode(self, text: str) -> bytes:
         if len(self) > CACHED_WORDS:
             self.clear()
+        if len(self.parts) > CACHED_WORDS:
+            self.parts.clear()
         return b"".join(map(self.__getitem__, text.encode().split()))
 
 
+def _cuts_words(tokenizer) -> bool:
+    """Whether the tokenizer treats plain words as WordIds assumes."""
+    probe = ["Straße", "ÀÉ", "word", "Ñandú"]
+    words = WordIds(tokenizer, True)
+    return all(
+        words[f"{w}{s}".encode()] == words._whole(f"{w}{s}") for w in probe for s in ("", ".", "?!", "**")
+    )
+
+
+def word_ids(path: str) -> WordIds:
+    """The ids of one vocabulary file; a worker process keeps them from task to task."""
+    import sys
+
+    from tokenizers import Tokenizer
+
+    kept = sys.__dict__.setdefault("_clientele_word_ids", {})
+    if path not in kept:
+        tokenizer = Tokenizer.from_file(path)
+        kept[path] = WordIds(tokenizer, _cuts_words(tokenizer))
+    return kept[path]
+
+
 def _pieces(path: Callable[[], str], capacity: int, end_id: int):
     """Pieces of each document: (id, piece, start, length, crc32 of the ids)."""
 
     def run(batches):
         import pyarrow as pa
-        from tokenizers import Tokenizer
 
-        words = WordIds(Tokenizer.from_file(path()))
+        words = word_ids(path())
         end = np.array([end_id], "<u4").tobytes()
         width = 4 * capacity
         for batch in batches:
