@@ -69,14 +69,15 @@ LAYOUT: dict[str, tuple[str, str, tuple[str, ...]]] = {
 def save_bucketed(tables: Tables, database: str, buckets: int) -> None:
     """Save the tables so that joins on their keys need no shuffle.
 
-    Each bucket is written by one task, which keeps the file count at
-    ``buckets``.  Choose it so that a bucket of the largest table fits a task.
+    A bucket is written by one task, which keeps the files few; one that is much
+    larger than the others, as with a customer who has a large share of all
+    orders, is split by adaptive execution over several tasks and files.
     """
     frames = tables.named()
     for table, (source, bucket, order) in LAYOUT.items():
         (
             frames[source]
-            .repartition(buckets, bucket)
+            .hint("rebalance", buckets, bucket)
             .write.bucketBy(buckets, bucket)
             .sortBy(*order)
             .mode("overwrite")

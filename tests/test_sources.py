@@ -1,3 +1,4 @@
+from dataclasses import replace
 from datetime import datetime
 from decimal import Decimal
 from pathlib import Path
@@ -5,6 +6,7 @@ from types import SimpleNamespace
 
 import pytest
 from helpers import make_tables
+from pyspark.sql import functions as F
 
 from clientele import Analytics, read_tables
 from clientele.__main__ import main
@@ -134,6 +136,24 @@ def test_derived_payments_take_the_first_item(spark):
     ]
 
 
+def test_a_hot_customer_gets_several_files(spark):
+    orders = [(f"o{i:05d}", "hot" if i % 2 else f"c{i}", "2024-01-05T10:00:00") for i in range(6000)]
+    tables = make_tables(spark, orders=orders)
+    tables = replace(tables, orders=tables.orders.repartition(8))
+    spark.sql("CREATE DATABASE IF NOT EXISTS hot_layout")
+    limits = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k"}
+    for key, value in limits.items():
+        spark.conf.set(key, value)
+    try:
+        save_bucketed(tables, "hot_layout", buckets=4)
+    finally:
+        for key in limits:
+            spark.conf.unset(key)
+    saved = spark.table("hot_layout.orders_by_customer")
+    files = saved.filter("customer_id = 'hot'").select(F.input_file_name().alias("f")).distinct().count()
+    assert files > 1 and saved.count() == 6000
+
+
 def test_settled_rows_live_in_the_shared_folder(spark, tmp_path, monkeypatch):
     written = []
     monkeypatch.setattr("clientele.operators.settling._written", written)
