@@ -75,7 +75,7 @@ def result(frame):
 def test_odd_files(spark):
     files = [
         ("a/LICENSE", "MIT License text: Released under the MIT License."), ("a/b/c.py", "code"), ("a/b/d.py", None),
-        ("a/b/e.py", "x\n# Licensed under the Apache License, Version 2.0.\ny and much more text that is not a licence"),
+        ("a/b/e.py", "x\n# Licensed under the Apache License, Version 2.0.\ny and much more text that says nothing of the kind, none at all"),
         ("f.txt", "nothing"), ("g/COPYING", "Licensed under CC BY-NC 4.0."), ("g/NOTICE", "Licensed under CC BY 4.0."),
         ("g/h/i/j", ""), ("k/l", "copyright by somebody else altogether, no template"), (None, "Released under the MIT License."),
         ("a/b/c.py", "code"), ("m/n", "Licensed under CC BY-NC 4.0.\n" * 3000 + "w " * 90_000),
