@@ -12,15 +12,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clientele.llm.common import Scratch, mix, text_or_empty, word_hashes
+from clientele.llm.common import Scratch, mix, text_bytes, text_or_empty, word_hashes
 from clientele.llm.components import components
 
 WORDS = 5
 PERCENT = 75
 # Text that one range of hash values is meant to hold, and entries of one block.
 RANGE_BYTES = 24_000_000
-BLOCK_ENTRIES = 2_000_000
-SLICE_BYTES = 8_000_000
+BLOCK_ENTRIES = 1_000_000
+SLICE_BYTES = 4_000_000
 # Documents that one task searches against each other.
 TILE = 128
 
@@ -34,7 +34,7 @@ _STEP = np.array(
 def _slices(batch):
     """Parts of an Arrow batch with about SLICE_BYTES of text each."""
     at = 0
-    sizes = np.cumsum([len(x) for x in batch.column("__text").cast("binary").to_pylist()])
+    sizes = np.cumsum(np.diff(text_bytes(batch.column("__text"))[1]))
     while at < batch.num_rows:
         base = sizes[at - 1] if at else 0
         to = max(at + 1, int(np.searchsorted(sizes, base + SLICE_BYTES, side="right")))

@@ -16,7 +16,7 @@ from clientele.llm.common import text_or_empty
 # Labelled rows that the classifier learns from, at most.
 TRAINING_ROWS = 20_000
 # Words whose weight a task remembers at once.
-CACHED_WORDS = 500_000
+CACHED_WORDS = 200_000
 
 # What a sign may stand for in disguised words.
 LEET = {
@@ -350,13 +350,26 @@ def toxicity(
     )
 
 
+def _keep_clean(model: ToxicityModel, text_col: str, rows: int = 500):
+    def run(batches):
+        import pyarrow.compute as pc
+
+        scorer = Scorer(model.letters, model.weights)
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                part = batch.slice(at, rows)
+                texts = pc.fill_null(part.column(text_col), "")
+                found = np.array([scorer.statistics(t.as_py()) for t in texts]).reshape(-1, 3)
+                yield part.filter(pc.less(predict(found, model.calibration), 0.5))
+
+    return run
+
+
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents with a score below 0.5, with all their columns."""
-    names = docs.columns
+    """The documents with a score below 0.5, with all their columns.
+
+    Rows are scored as in ``toxicity`` and leave the tasks unchanged or not at all.
+    """
     known = labels.select(F.col("doc_id").alias("id"), "toxic").filter(~held_out(F.col("id")))
     model = train(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), known)
-    whole = docs.select(
-        F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), F.col(text_col).alias("text")
-    )
-    kept = score_texts(whole, model).filter("score < 0.5")
-    return kept.select(*(F.col(f"row.`{c}`").alias(c) for c in names))
+    return docs.mapInArrow(_keep_clean(model, text_col), docs.schema)
