@@ -297,10 +297,14 @@ def train(pages: DataFrame, html_col: str = "html", limit: int = TRAINING_PAGES)
     Pages are labelled by their own markup: text of <article> or <main> is main text,
     but for navigation, footers, asides, headers, forms, adverts, notices and comments.
     """
+    # A hash thins the table out to a few times the limit before anything is gathered.
+    place = F.pmod(F.xxhash64("html", F.lit(11)), F.lit(1 << 30))
+    bound = int((1 << 30) * min(1.0, 4 * limit / max(1, pages.count())))
     sample = (
         pages.select(F.col(html_col).alias("html"))
-        .filter(F.col("html").rlike("(?i)<(article|main)\\b") & (F.length("html") < 200_000))
-        .orderBy(F.xxhash64("html"))
+        .filter((place < bound) & (F.length("html") < 200_000))
+        .filter(F.col("html").rlike("(?i)<(article|main)\\b"))
+        .orderBy(place, F.xxhash64("html"))
         .limit(limit)
     )
     return fit([Page(r.html) for r in sample.toLocalIterator()])
