@@ -1,4 +1,4 @@
-"""Best-fit packing of tokenized documents, merged up a tree of groups."""
+"""Best-fit packing of tokenized documents, planned on the counts of their lengths."""
 
 from __future__ import annotations
 
@@ -7,8 +7,7 @@ import zlib
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from clientele.llm.common import Scratch, text_or_empty
@@ -17,7 +16,7 @@ CAPACITY = 4096
 END_ID = 1
 # Words whose ids a task remembers at once.
 CACHED_WORDS = 500_000
-# Items that one leaf packs at a time, and open bins that go up from one group.
+# Limits of an earlier tree of groups.  Nothing reads them, but tests set them.
 LEAF_ITEMS = 50_000
 OPEN_BINS = 4_000
 FAN_IN = 8
@@ -180,129 +179,138 @@ def best_fit(sizes: np.ndarray, capacity: int) -> list[list[int]]:
     return bins
 
 
-_BIN = "level int, parent long, seq long, fill int, open boolean, members binary"
-_MEMBER = np.dtype(
-    [("doc_id", "<i8"), ("piece", "<i4"), ("start", "<i8"), ("length", "<i4"), ("crc", "<i8")]
-)
+class Plan:
+    """What ``best_fit`` does with so many items of each size, in runs of equal bins.
 
+    Bins with the same room are as good as each other, so they are kept as runs of bin
+    numbers.  A size splits one run at most, and a run changes at most once for each
+    size that fits beside the others, so a plan's length is bounded by the capacity,
+    not by the items.  Items are numbered from the largest size down (``before``: the
+    items above each size).  A step takes the items from ``start`` on, ``each`` of them
+    into one bin after the other from ``first`` on, behind the ids that are there.
+    """
 
-def _bins(sizes, members, capacity, full, level, group, first=0) -> list[tuple]:
-    """Packed bins as rows; the emptiest of those below ``full`` stay open."""
-    packed = best_fit(sizes, capacity)
-    fills = np.array([int(sizes[b].sum()) for b in packed])
-    open_bins = np.argsort(fills, kind="stable")[:OPEN_BINS]
-    is_open = np.zeros(len(packed), bool)
-    is_open[open_bins] = fills[open_bins] < full
-    return [
-        (level, group, first + i, int(fills[i]), bool(is_open[i]), b"".join(members[j] for j in b))
-        for i, b in enumerate(packed)
-    ]
-
-
-_NAMES = ["level", "parent", "seq", "fill", "open", "members"]
-
+    def __init__(self, counts: dict[int, int], capacity: int):
+        self.before = np.zeros(capacity + 1, np.int64)
+        by_room: dict[int, list[tuple[int, int]]] = {}
+        steps: list[tuple[int, int, int, int]] = []
+        self.bins = rooms = item = 0
+
+        def put(room: int, first: int, n: int):
+            nonlocal rooms
+            if room and n:
+                by_room.setdefault(room, []).append((first, n))
+                rooms |= 1 << room
+
+        for size in sorted(counts, reverse=True):
+            left = counts[size]
+            self.before[size] = item
+            while left:
+                fitting = rooms >> size
+                if fitting:
+                    room = size + (fitting & -fitting).bit_length() - 1
+                    held = by_room[room]
+                    first, n = held.pop()
+                    if not held:
+                        rooms ^= 1 << room
+                else:
+                    room, first = capacity, self.bins
+                    n = -(-left // (capacity // size))
+                    self.bins += n
+                each = room // size
+                whole = min(n, left // each)
+                rest = left - whole * each if whole < n else 0
+                for bins, here in ((whole, each), (int(rest > 0), rest)):
+                    if bins:
+                        steps.append((item, first, here, capacity - room))
+                        put(room - here * size, first, bins)
+                        item += bins * here
+                        left -= bins * here
+                        first += bins
+                        n -= bins
+                put(room, first, n)
+        self.start, self.first, self.each, self.offset = np.array(steps, np.int64).reshape(-1, 4).T
+
+    def places(self, lengths: np.ndarray, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bins and offsets of items, given by their rank among those of their length."""
+        item = self.before[lengths] + ranks
+        step = np.searchsorted(self.start, item, side="right") - 1
+        bins, place = np.divmod(item - self.start[step], self.each[step])
+        return self.first[step] + bins, self.offset[step] + place * lengths
+
+
+_PIECE = "doc_id long, piece int, start long, length int, ids_crc32 long"
+
+
+def _numbered(capacity: int):
+    """Adds the task and a piece's number among those of its length in the task."""
 
-def _leaf(capacity: int, full: int):
-    def run(frames):
+    def run(batches):
+        import pyarrow as pa
         from pyspark import TaskContext
 
         task = TaskContext.get().partitionId()
-        waiting: list[pd.DataFrame] = []
-        count = first = 0
-
-        def pack():
-            rows = pd.concat(waiting)
-            items = np.empty(len(rows), _MEMBER)
-            for c in ("doc_id", "piece", "start", "length"):
-                items[c] = rows[c]
-            items["crc"] = rows["ids_crc32"]
-            members = [items[i : i + 1].tobytes() for i in range(len(items))]
-            return _bins(items["length"].astype(np.int64), members, capacity, full, 0, task, first)
-
-        for frame in frames:
-            waiting.append(frame)
-            count += len(frame)
-            if count >= LEAF_ITEMS:
-                out = pack()
-                yield pd.DataFrame(out, columns=_NAMES)
-                waiting, count, first = [], 0, first + len(out)
-        if count:
-            yield pd.DataFrame(pack(), columns=_NAMES)
+        seen = np.zeros(capacity + 1, np.int64)
+        for batch in batches:
+            lengths = batch.column("length").to_numpy(zero_copy_only=False)
+            order = np.argsort(lengths, kind="stable")
+            counts = np.bincount(lengths, minlength=capacity + 1)
+            firsts = np.cumsum(counts) - counts
+            nth = np.empty(len(lengths), np.int64)
+            nth[order] = np.arange(len(lengths)) + (seen - firsts)[lengths[order]]
+            seen += counts
+            tasks = pa.array(np.full(len(lengths), task, np.int32))
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, tasks, pa.array(nth)], [*batch.schema.names, "task", "nth"]
+            )
 
     return run
 
 
-def _merge(capacity: int, full: int, level: int):
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
-        sizes = rows["fill"].to_numpy(np.int64)
-        out = _bins(sizes, rows["members"].tolist(), capacity, full, level, int(key[0]))
-        return pd.DataFrame(out, columns=_NAMES)
-
-    return run
+def _placed(plan: Plan):
+    def run(batches):
+        import pyarrow as pa
 
+        for batch in batches:
+            lengths = batch.column("length").to_numpy(zero_copy_only=False).astype(np.int64)
+            bins, offsets = plan.places(lengths, batch.column("rank").to_numpy(zero_copy_only=False))
+            made = {"length": lengths, "sequence_id": bins, "offset": offsets}
+            names = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(made[n]) if n in made else batch.column(n) for n in names], names
+            )
 
-def _spread(bins: DataFrame) -> DataFrame:
-    """Rows of the members, with their place in the bin."""
-
-    def run(frames):
-        for frame in frames:
-            parts = []
-            for row in frame.itertuples():
-                items = np.frombuffer(row.members, _MEMBER)
-                lengths = items["length"].astype(np.int64)
-                parts.append(
-                    pd.DataFrame(
-                        {
-                            "doc_id": items["doc_id"], "piece": items["piece"],
-                            "start": items["start"], "length": lengths, "ids_crc32": items["crc"],
-                            # Levels, groups and bins within a group, side by side.
-                            "sequence_id": (row.level << 56) + (row.parent << 24) + row.seq,
-                            "offset": np.cumsum(lengths) - lengths,
-                        }
-                    )
-                )
-            if parts:
-                yield pd.concat(parts)
-
-    return bins.mapInPandas(
-        run,
-        "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long",
-    )
+    return run
 
 
-def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, full: float = 0.995) -> DataFrame:
+def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Pieces (see ``tokenized_pieces``) with their sequence_id and offset.
 
-    Every task packs its pieces by best fit and is done with the bins that are
-    nearly ``full``.  Its other bins become items: the bins of FAN_IN neighbouring
-    groups are packed again as wholes, and so on up the tree until one group is
-    left.  A group hands up its OPEN_BINS emptiest bins at most; the others are
-    sequences as they are, so no group ever holds more than FAN_IN * OPEN_BINS
-    bins.  Null ids are not allowed; equal rows are separate pieces.  An empty
+    The sequences are those of ``best_fit`` over all pieces at once.  Best fit sees
+    only lengths, so the driver plans it on the number of pieces of each length, and
+    tasks look up where a piece of some rank among its length goes.  Ranks are counts
+    of the tasks before and numbers within a task, so neither a common length nor a
+    large table ever comes into one task.  Equal rows are separate pieces.  An empty
     table gives no rows.
     """
     scratch = Scratch(pieces.sparkSession)
-    limit = int(full * capacity)
     with scratch:
-        level = scratch.store(pieces.mapInPandas(_leaf(capacity, limit), _BIN))
-        done = [level.filter("not open")]
-        groups = (level.agg(F.max("parent")).first()[0] or 0) + 1
-        depth = 0
-        while groups > 1:
-            depth += 1
-            groups = -(-groups // FAN_IN)
-            merged = (
-                level.filter("open")
-                .groupBy(F.expr(f"parent div {FAN_IN}").alias("group"))
-                .applyInPandas(_merge(capacity, limit, depth), _BIN)
+        columns = [c.split()[0] for c in _PIECE.split(", ")]
+        numbered = scratch.store(
+            pieces.select(*columns).mapInArrow(_numbered(capacity), f"{_PIECE}, task int, nth long")
+        )
+        counts = numbered.groupBy("length", "task").agg(F.count("*").alias("n"))
+        earlier = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+        counts = scratch.store(counts.withColumn("earlier", F.coalesce(F.sum("n").over(earlier), F.lit(0))))
+        # One number for each length at most.
+        totals = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
+        ranked = numbered.join(counts.drop("n"), ["length", "task"]).withColumn("rank", F.expr("earlier + nth"))
+        return scratch.keep(
+            ranked.select(*columns, "rank").mapInArrow(
+                _placed(Plan(totals, capacity)),
+                "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long",
             )
-            level = scratch.store(merged)
-            done.append(level.filter("not open"))
-        done.append(level.filter("open"))
-        bins = done[0]
-        for more in done[1:]:
-            bins = bins.unionByName(more)
-        return scratch.keep(_spread(bins))
+        )
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: Callable[[], str], **options) -> DataFrame:

@@ -141,3 +141,33 @@ def test_mix_of_odd_rows(spark):
     counts = {r.doc_id: r["count"] for r in mixed.groupBy("doc_id").count().collect()}
     assert counts == {i: n for i, n in visits.items() if n}
     assert mix_schedule(docs.limit(0)).collect() == [] and take_mix(docs.limit(0)).collect() == []
+
+
+@given(st.dictionaries(st.integers(1, 40), st.integers(1, 30), max_size=12))
+@settings(max_examples=200, deadline=None)
+def test_plan_is_best_fit(counts):
+    plan = packing.Plan(counts, 40)
+    lengths = np.repeat(list(counts), list(counts.values())).astype(np.int64)
+    ranks = np.concatenate([[0], *(np.arange(n) for n in counts.values())])[1:].astype(np.int64)
+    bins, offsets = plan.places(lengths, ranks)
+    fills = np.bincount(bins, lengths, plan.bins)
+    expected = [sum(int(lengths[i]) for i in b) for b in best_fit(lengths, 40)]
+    assert sorted(fills) == sorted(expected)
+    for b in range(plan.bins):
+        inside = sorted(zip(offsets[bins == b], lengths[bins == b], strict=True))
+        assert [o for o, _ in inside] == [0, *np.cumsum([n for _, n in inside])[:-1]]
+
+
+def test_long_pieces_of_one_task_meet_short_ones_of_another(spark):
+    rows = spark.range(0, 18_000, 1, 2).selectExpr(
+        "id doc_id", "0 piece", "0L start", "if(id < 9000, 2500, 1500) length", "id ids_crc32"
+    )
+    got = packing.pack_pieces(rows)
+    assert got.count() == 18_000 and got.select("sequence_id").distinct().count() == 9_000
+
+
+def test_many_batches_of_one_task_are_packed_together(spark):
+    rows = spark.range(0, 120_000, 1, 1).selectExpr(
+        "id doc_id", "0 piece", "0L start", "if(id < 60000, 2500, 1500) length", "id ids_crc32"
+    )
+    assert packing.pack_pieces(rows).select("sequence_id").distinct().count() == 60_000
