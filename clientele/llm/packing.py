@@ -290,8 +290,8 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     only lengths, so the driver plans it on the number of pieces of each length, and
     tasks look up where a piece of some rank among its length goes.  Ranks are counts
     of the tasks before and numbers within a task, so neither a common length nor a
-    large table ever comes into one task.  Equal rows are separate pieces.  An empty
-    table gives no rows.
+    large table ever comes into one task.  Null ids stay null; equal rows are separate
+    pieces.  An empty table gives no rows.
     """
     scratch = Scratch(pieces.sparkSession)
     with scratch:

@@ -171,3 +171,14 @@ def test_many_batches_of_one_task_are_packed_together(spark):
         "id doc_id", "0 piece", "0L start", "if(id < 60000, 2500, 1500) length", "id ids_crc32"
     )
     assert packing.pack_pieces(rows).select("sequence_id").distinct().count() == 60_000
+
+
+def test_null_ids_are_packed_and_change_no_other_id(spark, tokenizer):
+    big = 2**53 + 1
+    docs = spark.createDataFrame(
+        [(None, "a b"), (big, "c d"), (None, None), (-1, "e")], "doc_id long, text string"
+    ).coalesce(1)
+    rows = pack_documents(docs, tokenizer_path).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in rows) == [(False, -1), (False, big), (True, 0), (True, 0)]
+    (empty,) = [r for r in rows if r.doc_id is None and r.length == 1]
+    assert pieces_of(tokenizer, None) == [(empty.piece, empty.start, empty.length, empty.ids_crc32)]
