@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import os
 import re
 from collections import Counter, defaultdict
 
@@ -27,8 +28,6 @@ WILDCARDS = "*#%"
 SEPARATORS = ".-_'~,·"
 EDGE = ".,;:?!\"'()[]{}<>*#%&$…-_|~"
 OPENING = ".,;:?\"'()[]{}<>*#%&-_~"
-# Longer tokens are addresses, keys and the like, and are taken as written.
-LONGEST = 40
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 SPACED = re.compile(r"(?<!\S)\S(?:[ \t]\S){3,}(?!\S)")
 ODD = re.compile(r"[^\W\d_][\d@$!|+(€£*#%.\-_'~,·]+[^\W\d_]|^[\d@$!|+(€£][^\W\d_]{2}|([^\W\d_])\1\1")
@@ -127,6 +126,7 @@ def decode(word: str, model: CharacterModel, spaced: bool = False) -> str:
     between which the original may have had spaces.
     """
     states = {"  ": (0.0, "")}
+    settled: list[str] = []
     for i in range(len(word)):
         following: dict[str, tuple[float, str]] = {}
         for letters, cost in _arcs(word, i, spaced):
@@ -140,8 +140,13 @@ def decode(word: str, model: CharacterModel, spaced: bool = False) -> str:
         # Far worse beginnings cannot win any more.
         top = max(v for v, _ in following.values())
         states = {s: x for s, x in following.items() if x[0] > top - 15}
+        # What all states have in common is settled, so a path stays short on a long word.
+        if i % 64 == 63:
+            common = len(os.path.commonprefix([made for _, made in states.values()]))
+            settled.append(next(iter(states.values()))[1][:common])
+            states = {s: (v, made[common:]) for s, (v, made) in states.items()}
     ends = ((v + model.logp(s + " "), made) for s, (v, made) in states.items())
-    return max(ends)[1]
+    return "".join(settled) + max(ends)[1]
 
 
 def restored_words(token: str, model: CharacterModel) -> list[str]:
@@ -149,7 +154,7 @@ def restored_words(token: str, model: CharacterModel) -> list[str]:
     low = token.lower().rstrip(EDGE)
     plain = low.lstrip(EDGE)
     found = [plain] if plain else []
-    if len(low) <= LONGEST and (ODD.search(low) or len(PAIR.findall(low)) > 2):
+    if ODD.search(low) or len(PAIR.findall(low)) > 2:
         found += [w for w in decode(low.lstrip(OPENING), model).split() if w != plain]
     return found
 
@@ -186,7 +191,7 @@ class Scorer:
             if w:
                 found.append(w)
         for run in SPACED.findall(text):
-            for word in decode(re.sub(r"\s", "", run).lower()[:400], self.model, True).split():
+            for word in decode(re.sub(r"\s", "", run).lower(), self.model, True).split():
                 w = self.weight(word)
                 if w:
                     found.append(w)
@@ -208,7 +213,7 @@ def _feature_counts(model: CharacterModel):
                 text = text.as_py()
                 words = {w for t in set(text.split()) for w in restored_words(t, model)}
                 for run_ in SPACED.findall(text):
-                    words.update(decode(re.sub(r"\s", "", run_).lower()[:400], model, True).split())
+                    words.update(decode(re.sub(r"\s", "", run_).lower(), model, True).split())
                 for f in {f for w in words for f in features(w)}:
                     counts[f][toxic] += 1
         yield pa.RecordBatch.from_arrays(

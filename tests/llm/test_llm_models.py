@@ -65,6 +65,15 @@ def test_spaced_letters(letters):
     assert toxicity.SPACED.findall("you i d i o t now") == ["i d i o t"]
 
 
+def test_long_runs_and_long_tokens_are_decoded_to_their_end(letters):
+    written = "theand" * 100 + "idiot"
+    assert decode(written, letters, True).replace(" ", "") == written
+    scorer = toxicity.Scorer(letters, {"=idiot": 3.0})
+    assert scorer.statistics(" ".join(written))[0] == 3.0
+    for token in ("i" * 60 + "diot", "i" + "." * 20 + "d" + "-" * 30 + "iot", "idio" + "o" * 3000 + "t"):
+        assert "idiot" in restored_words(token, letters)
+
+
 def toxic_table(spark):
     words = ["paper winter summer"[i % 2 :] + f" word{i % 17}" for i in range(400)]
     bad = ["idiot", "1d10t", "i d i o t", "idiiiiot"]
