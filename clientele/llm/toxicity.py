@@ -28,9 +28,13 @@ WILDCARDS = "*#%"
 SEPARATORS = ".-_'~,·"
 EDGE = ".,;:?!\"'()[]{}<>*#%&$…-_|~"
 OPENING = ".,;:?\"'()[]{}<>*#%&-_~"
+# Punctuation that stands for no letter and joins none.
+MARKS = "".join(c for c in EDGE if c not in LEET and c not in WILDCARDS)
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 SPACED = re.compile(r"(?<!\S)\S(?:[ \t]\S){3,}(?!\S)")
-ODD = re.compile(r"[^\W\d_][\d@$!|+(€£*#%.\-_'~,·]+[^\W\d_]|^[\d@$!|+(€£][^\W\d_]{2}|([^\W\d_])\1\1")
+SIGNS = re.escape("".join(LEET) + WILDCARDS + SEPARATORS)
+# A letter and, at any place, a sign that may stand for something; or three such signs.
+ODD = re.compile(rf"(?=.*[^\W\d_]).*[{SIGNS}]|^[{SIGNS}]{{3,}}$|([^\W\d_])\1\1", re.S)
 PAIR = re.compile(r"([^\W\d_])\1")
 
 # Logarithms of what the writer of a disguised word does to one sign.
@@ -127,7 +131,13 @@ def decode(word: str, model: CharacterModel, spaced: bool = False) -> str:
     """
     states = {"  ": (0.0, "")}
     settled: list[str] = []
+    tail = len(word.rstrip(SEPARATORS + WILDCARDS))
+    bound = -math.inf
     for i in range(len(word)):
+        # From here on all signs may be left out; what is worse already cannot win.
+        if i >= tail:
+            left = DROP * (len(word) - i) - 1e-9
+            bound = max(v + left + model.logp(s + " ") for s, (v, _) in states.items())
         following: dict[str, tuple[float, str]] = {}
         for letters, cost in _arcs(word, i, spaced):
             for state, (score, made) in states.items():
@@ -139,7 +149,8 @@ def decode(word: str, model: CharacterModel, spaced: bool = False) -> str:
                     following[last] = (value, made + letters)
         # Far worse beginnings cannot win any more.
         top = max(v for v, _ in following.values())
-        states = {s: x for s, x in following.items() if x[0] > top - 15}
+        least = max(top - 15, bound)
+        states = {s: x for s, x in following.items() if x[0] > least}
         # What all states have in common is settled, so a path stays short on a long word.
         if i % 64 == 63:
             common = len(os.path.commonprefix([made for _, made in states.values()]))
@@ -150,12 +161,17 @@ def decode(word: str, model: CharacterModel, spaced: bool = False) -> str:
 
 
 def restored_words(token: str, model: CharacterModel) -> list[str]:
-    """The words that a token may stand for: as written, and decoded where it looks odd."""
-    low = token.lower().rstrip(EDGE)
-    plain = low.lstrip(EDGE)
+    """The words that a token may stand for: as written, and decoded where it looks odd.
+
+    Signs at its ends may be punctuation or stand for letters, so it is decoded with and
+    without them.
+    """
+    low = token.lower().strip(MARKS)
+    plain = low.strip(EDGE)
     found = [plain] if plain else []
-    if ODD.search(low) or len(PAIR.findall(low)) > 2:
-        found += [w for w in decode(low.lstrip(OPENING), model).split() if w != plain]
+    for form in {back.lstrip(at_front) for back in (low, low.rstrip(EDGE)) for at_front in ("", OPENING)}:
+        if ODD.search(form) or len(PAIR.findall(form)) > 2:
+            found += [w for w in decode(form, model).split() if w not in found]
     return found
 
 

@@ -41,6 +41,19 @@ def test_disguised_words_are_restored(letters, written, meant):
     assert meant in restored_words(written, letters)
 
 
+@pytest.mark.parametrize(
+    "written, meant",
+    [("1d107", "idiot"), ("h473", "hate"), ("kil1", "kill"), ("hat3", "hate"), ("scum5", "scums"), ("455", "ass"),
+     ("a$$", "ass"), ("(1d107)", "idiot"), ("las!", "lasi"), ("scu*", "scum"), ("*diot", "idiot"), ('"h473!!"', "hate")],
+)
+def test_words_with_signs_at_any_place_are_restored(written, meant):
+    grams = Counter()
+    for word in "idiot hate kill scums scum ass lasi the and".split() * 20:
+        padded = f"  {word} "
+        grams.update(padded[i : i + 3] for i in range(len(padded) - 2))
+    assert meant in restored_words(written, CharacterModel(grams))
+
+
 def test_decoding_finds_the_best_path(letters):
     """Viterbi against all paths of the lattice."""
 
