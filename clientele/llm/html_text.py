@@ -20,6 +20,10 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 SILENT = frozenset(
     "script style noscript template svg math iframe object canvas video audio head title textarea select button".split()
 )
+# Elements whose text holds no tags: without an end tag they reach to the end of the page.
+RAW = frozenset("script style textarea title".split())
+# What shows that the element was never closed, if it comes before the end tag.
+UNCLOSED_BY = {"head": "body", "button": "button", "select": "select"}
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q ruby rt rp s samp "
     "small span strike strong sub sup time tt u var wbr".split()
@@ -43,7 +47,8 @@ TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S
 )
 NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-HIDDEN = re.compile(r"\bhidden\b|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
+ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
+NO_DISPLAY = re.compile(r"(?<![\w-])display\s*:\s*none\b", re.I)
 
 FEATURES = (
     "bias", "main_tag", "side_tag", "main_name", "side_name", "text_tag", "hidden", "no_text", "short", "middle",
@@ -58,6 +63,16 @@ PAIR_PRIOR = np.array([[[1.5, -1.5], [-1.5, 1.5]], [[0.0, 0], [0, 0]]])
 MARKED = [_AT[n] for n in ("main_tag", "side_tag", "main_name", "side_name", "hidden")]
 
 
+def _is_hidden(attributes: str) -> bool:
+    for name, value in ATTRIBUTE.findall(attributes):
+        name, value = name.lower(), value.strip("\"'")
+        if name == "hidden" or name == "aria-hidden" and value.strip().lower() == "true":
+            return True
+        if name == "style" and NO_DISPLAY.search(value):
+            return True
+    return False
+
+
 class Page:
     """Blocks of a page: parents, features, and their runs of text in page order."""
 
@@ -68,6 +83,8 @@ class Page:
         size, linked, sentence = [0], [0], [False]
         stack, runs, pieces = [0], [], []
         anchors = 0
+        # Silent elements that no end tag follows any more.
+        endless = set()
 
         def flush():
             if pieces:
@@ -107,8 +124,17 @@ class Page:
                 anchors = 0
                 continue
             if tag in SILENT and not rest.endswith("/"):
-                close = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(source, at)
-                at = close.end() if close else len(source)
+                other = rf"|<{UNCLOSED_BY[tag]}\b" if tag in UNCLOSED_BY else ""
+                close = None
+                if tag not in endless:
+                    close = re.compile(rf"(</{re.escape(tag)}\b[^>]*>){other}", re.I).search(source, at)
+                    if not close:
+                        endless.add(tag)
+                if close and close.group(1):
+                    at = close.end()
+                elif tag in RAW:
+                    at = len(source)
+                # Any other element without its end tag hides nothing.
                 continue
             if tag in VOID:
                 continue
@@ -120,7 +146,7 @@ class Page:
             words = " ".join(x for m in NAMED.findall(rest) for x in m).lower() if rest else ""
             known = words and tag not in ("html", "body")
             names.append(frozenset(re.split(r"[^a-z]+", words)) if known else frozenset())
-            hidden.append(bool(rest) and HIDDEN.search(rest) is not None)
+            hidden.append(bool(rest) and _is_hidden(rest))
             for values in (size, linked):
                 values.append(0)
             sentence.append(False)
@@ -315,7 +341,8 @@ def main_text(pages: DataFrame, html_col: str = "html") -> DataFrame:
 
     Null or empty sources give an empty text, as do pages without main text.
     Character references are decoded, white space within a block becomes one space, and
-    blocks stand on lines of their own in page order.  Nothing is cut, however long.
+    blocks stand on lines of their own in page order.  Nothing is cut, however long; only an
+    unclosed script, style, textarea or title hides the rest of its page, as in browsers.
     Rows that repeat are extracted each; a column named ``text`` is replaced.
     """
     weights, pair = train(pages, html_col)

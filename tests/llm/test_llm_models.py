@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from clientele.llm import language_model, toxicity
+from clientele.llm import html_text, language_model, toxicity
 from clientele.llm.html_text import PAIR_PRIOR, PRIOR, Forest, Page, extract, fit, main_text
 from clientele.llm.language_model import score_documents
 from clientele.llm.toxicity import CharacterModel, decode, restored_words
@@ -256,3 +256,23 @@ def test_html_of_odd_rows(spark):
     got = [(r.page_id, len(r.text)) for r in main_text(pages).collect()]
     assert sorted(got) == [(1, 0), (2, 0), (3, 0), (3, 499_999)]
     assert main_text(pages.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("unclosed", ["head", "button", "select", "object", "svg", "math", "canvas"])
+def test_an_unclosed_element_does_not_hide_the_rest(unclosed):
+    page = html_text.Page(f"<html><{unclosed}><body><article><p>Kept text.</p></article></body></html>")
+    assert "Kept text." in [text for _, text in page.runs]
+    twice = html_text.Page(f"<{unclosed}><p>Kept text.</p><{unclosed}>x</{unclosed}>")
+    assert unclosed not in ("button", "select") or "Kept text." in [text for _, text in twice.runs]
+    raw = html_text.Page("<p>Before.</p><script>if (a) { <p>not text</p>")
+    assert [text for _, text in raw.runs] == ["Before."]
+
+
+@pytest.mark.parametrize(
+    "attributes, hidden",
+    [('class="overflow-hidden"', False), ('style="overflow:hidden"', False), ("data-hidden=1", False), ("hidden", True),
+     ('HIDDEN=""', True), ("aria-hidden='true'", True), ('aria-hidden="false"', False), ('style="display: none"', True)],
+)
+def test_hidden_is_read_from_attributes_only(attributes, hidden):
+    page = html_text.Page(f"<div {attributes}>Some text.</div>")
+    assert (html_text._AT["hidden"] in page.features[1]) == hidden
