@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from functools import cache
 
 import numpy as np
 from pyspark.errors import AnalysisException
@@ -37,8 +38,8 @@ def ascii_lower(text: Column) -> Column:
 def shared_root(spark: SparkSession) -> str:
     """The folder for intermediate tables: spark.checkpoint.dir.
 
-    Where it is unset, a local session gets a temporary folder; a cluster must
-    name one, since its machines do not see each other's folders.
+    Where it is unset, a local session gets a temporary folder of this process; a
+    cluster must name one, since its machines do not see each other's folders.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
@@ -46,9 +47,12 @@ def shared_root(spark: SparkSession) -> str:
     master = spark.sparkContext.master
     if not master.startswith("local") or master.startswith("local-cluster"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    folder = tempfile.mkdtemp(prefix="clientele-llm-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    return _local_folder()
+
+
+@cache
+def _local_folder() -> str:
+    return tempfile.mkdtemp(prefix="clientele-llm-")
 
 
 def _delete(spark: SparkSession, path: str) -> None:
@@ -117,13 +121,37 @@ class Scratch:
             return self.spark.createDataFrame([], schema)
 
 
+def with_texts(frame: DataFrame, text_col: str, id_col: str) -> DataFrame:
+    """(__id, __text) of every row: the id as it is, the text empty where it is null."""
+    return frame.select(F.col(id_col).alias("__id"), text_or_empty(text_col).alias("__text"))
+
+
+def text_slices(batch, most: int):
+    """Parts of an Arrow batch with about ``most`` bytes of the column __text each.
+
+    A text longer than that is a part of its own; none is cut.
+    """
+    at = 0
+    sizes = np.cumsum(np.diff(text_bytes(batch.column("__text"))[1]))
+    while at < batch.num_rows:
+        base = sizes[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(sizes, base + most, side="right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
 # --- words as 64-bit numbers, for whole Arrow batches at once -----------------
 
 _rng = np.random.Generator(np.random.PCG64(20240501))
 _BYTE = _rng.integers(1, 2**64, 256, dtype=np.uint64)
+_EXACT_BYTE = _BYTE.copy()
 _BYTE[65:91] = _BYTE[97:123]  # A-Z count as a-z
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+# All of ASCII but digits and letters.
+NOT_ALPHANUMERIC = np.zeros(256, bool)
+NOT_ALPHANUMERIC[:128] = True
+NOT_ALPHANUMERIC[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B)]] = False
 _BASE = 0x9E3779B97F4A7C15 | 1
 _UNBASE = pow(_BASE, -1, 2**64)
 _CHUNK = 1 << 16
@@ -157,10 +185,10 @@ def text_bytes(column) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray):
+def word_spans(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = _SPACE):
     """Starts and ends of all words, and for each row its first word's index."""
     space = np.empty(len(data) + 1, bool)
-    np.take(_SPACE, data, out=space[:-1])
+    np.take(separators, data, out=space[:-1])
     space[-1] = True
     before = np.empty(len(data) + 1, bool)
     before[0] = True
@@ -178,15 +206,17 @@ def word_spans(data: np.ndarray, offsets: np.ndarray):
     return starts, ends, first
 
 
-def word_hashes(column):
+def word_hashes(column, separators: np.ndarray = _SPACE, lower: bool = True):
     """64-bit numbers of all words of a batch, A-Z lower-cased, and row borders.
 
     A word's number is a polynomial over its bytes modulo 2**64, then mixed; it
     depends on the word alone.  Different words share one with a probability of
-    about 2**-64 each.
+    about 2**-64 each.  ``separators``: for each byte, whether it ends a word;
+    ``lower=False`` tells A-Z from a-z.
     """
     data, offsets = text_bytes(column)
-    starts, ends, first = word_spans(data, offsets)
+    byte_value = _BYTE if lower else _EXACT_BYTE
+    starts, ends, first = word_spans(data, offsets, separators)
     out = np.zeros(len(starts), np.uint64)
     # In chunks of words, so that the work arrays stay in the cache.
     at = 0
@@ -194,7 +224,7 @@ def word_hashes(column):
         low = starts[at]
         to = max(at + 1, int(np.searchsorted(starts, low + _CHUNK)))
         high = int(ends[to - 1])
-        terms = _BYTE[data[low:high]] * _powers(_BASE, high - low)
+        terms = byte_value[data[low:high]] * _powers(_BASE, high - low)
         total = np.zeros(len(terms) + 1, np.uint64)
         np.cumsum(terms, out=total[1:])
         s, e = starts[at:to] - low, ends[at:to] - low

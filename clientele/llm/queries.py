@@ -19,6 +19,7 @@ from clientele.llm.licenses import (
 )
 from clientele.llm.mixing import mix_schedule
 from clientele.llm.packing import pack_documents
+from clientele.llm.runs import run_digests
 from clientele.llm.shingle_join import near_duplicates
 from clientele.llm.topk import exact_top_k
 from clientele.llm.toxicity import toxicity
@@ -87,6 +88,10 @@ def op8_source_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mix_schedule(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op13_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    return run_digests(_table(spark, folder, "documents").select("doc_id", "text"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_exact_dedup": op2_exact_dedup,
@@ -98,6 +103,7 @@ QUERIES = {
     "op8_source_mix": op8_source_mix,
     "op9_url_cascade": op9_url_cascade,
     "op10_shingle_join": op10_shingle_join,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 _LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
