@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from clientele.llm.exact_dedup import exact_groups
 from clientele.llm.html_text import main_text
 from clientele.llm.language_model import score_documents
+from clientele.llm.lexical import ranked_search
 from clientele.llm.licenses import (
     CUE,
     LEAST_COSINE,
@@ -88,6 +89,11 @@ def op8_source_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mix_schedule(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op12_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    return ranked_search(docs, _table(spark, folder, "benchmark").select("item_id", "text"))
+
+
 def op13_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
     return run_digests(_table(spark, folder, "documents").select("doc_id", "text"))
 
@@ -103,10 +109,13 @@ QUERIES = {
     "op8_source_mix": op8_source_mix,
     "op9_url_cascade": op9_url_cascade,
     "op10_shingle_join": op10_shingle_join,
+    "op12_ranked_search": op12_ranked_search,
     "op13_periodic_runs": op13_periodic_runs,
 }
 
 _LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+# Runs of ASCII letters and digits and of characters beyond ASCII.
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 ORACLE = {
     "op2_exact_dedup": f"""
@@ -167,6 +176,27 @@ ORACLE = {
             SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank
             FROM s) WHERE rank <= 5
     """,
+    "op12_ranked_search": rf"""
+        WITH words AS (SELECT rowid_ AS doc, doc_id, regexp_extract_all({_LOWERED}, '{_TERM}') AS w
+            FROM (SELECT *, row_number() OVER () AS rowid_ FROM documents)),
+        sizes AS (SELECT doc, doc_id, len(w)::BIGINT AS n FROM words WHERE len(w) > 0),
+        whole AS (SELECT count(*)::BIGINT AS n_docs, sum(n)::BIGINT AS n_terms FROM sizes),
+        asked AS (SELECT DISTINCT item_id, unnest(regexp_extract_all({_LOWERED}, '{_TERM}')) AS term
+            FROM benchmark),
+        held AS (SELECT doc, term, count(*)::BIGINT AS tf FROM (SELECT doc, unnest(w) AS term FROM words)
+            WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
+        weights AS (SELECT term, floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1)))::BIGINT AS w
+            FROM held, whole GROUP BY term, n_docs),
+        worth AS (SELECT doc, term, w * ((1000000000 * tf)
+                // (1000 * tf + 20 * (50 + (50 * n * n_docs) // n_terms))) AS worth
+            FROM held JOIN sizes USING (doc) JOIN weights USING (term), whole),
+        scores AS (SELECT item_id, doc, sum(worth)::BIGINT AS score FROM asked JOIN worth USING (term)
+            GROUP BY ALL HAVING sum(worth) > 0),
+        ranked AS (SELECT item_id, row_number() OVER (PARTITION BY item_id
+                ORDER BY score DESC, doc_id NULLS LAST)::INTEGER AS rank, doc_id, score
+            FROM scores JOIN sizes USING (doc))
+        SELECT * FROM ranked WHERE rank <= 50
+    """,
     "op9_url_cascade": r"""
         WITH rules(verdict, rhost, rpath) AS (VALUES
             ('allow', 'org', '/'), ('block', 'example.org', '/es/'),
