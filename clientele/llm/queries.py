@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from clientele.llm.chosen_path import chosen_path_duplicates
 from clientele.llm.exact_dedup import exact_groups
 from clientele.llm.html_text import main_text
 from clientele.llm.language_model import score_documents
@@ -89,6 +90,10 @@ def op8_source_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mix_schedule(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_chosen_path_join(spark: SparkSession, folder: str) -> DataFrame:
+    return chosen_path_duplicates(_table(spark, folder, "documents").select("doc_id", "text"))
+
+
 def op12_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents").select("doc_id", "text")
     return ranked_search(docs, _table(spark, folder, "benchmark").select("item_id", "text"))
@@ -109,6 +114,7 @@ QUERIES = {
     "op8_source_mix": op8_source_mix,
     "op9_url_cascade": op9_url_cascade,
     "op10_shingle_join": op10_shingle_join,
+    "op11_chosen_path_join": op11_chosen_path_join,
     "op12_ranked_search": op12_ranked_search,
     "op13_periodic_runs": op13_periodic_runs,
 }
@@ -117,7 +123,38 @@ _LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefg
 # Runs of ASCII letters and digits and of characters beyond ASCII.
 _TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
+
+def _linked_classes(words: int, percent: int) -> str:
+    """SQL for the size of each document's shingle set and the smallest id linked with it.
+
+    The different sets stand for their documents; links between them are followed to the end.
+    """
+    shingle = "list_transform(range(1, len(w) - {0} + 2), lambda i: array_to_string(w[i:i + {0} - 1], ' '))"
+    return rf"""
+        WITH RECURSIVE words AS MATERIALIZED (
+            SELECT doc_id, regexp_extract_all({_LOWERED}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+        sets AS MATERIALIZED (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) >= {words}
+                THEN {shingle.format(words)} WHEN len(w) > 0 THEN [array_to_string(w, ' ')]
+                ELSE [] END)) AS s FROM words),
+        classes AS MATERIALIZED (SELECT s, min(doc_id) AS rep, len(s) AS n FROM sets WHERE len(s) > 0 GROUP BY s),
+        entries AS MATERIALIZED (SELECT rep, n, unnest(s) AS shingle FROM classes),
+        links AS MATERIALIZED (SELECT a.rep AS a, b.rep AS b
+            FROM entries a JOIN entries b ON a.shingle = b.shingle AND a.rep <> b.rep
+                AND 100 * least(a.n, b.n) >= {percent} * greatest(a.n, b.n)
+            GROUP BY a.rep, b.rep, a.n, b.n
+            HAVING 100 * count(*) >= {percent} * (a.n + b.n - count(*))),
+        reached(node, low) USING KEY (node) AS (SELECT rep, rep FROM classes
+            UNION (SELECT b AS node, min(reached.low) AS low FROM reached JOIN links ON a = node
+                JOIN recurring.reached AS known ON known.node = b WHERE reached.low < known.low GROUP BY b)),
+        found AS (SELECT doc_id, len(s)::BIGINT AS n_shingles, coalesce(low, doc_id) AS component_id
+            FROM sets LEFT JOIN classes USING (s) LEFT JOIN reached ON rep = node)
+    """
+
+
 ORACLE = {
+    "op10_shingle_join": f"{_linked_classes(5, 75)} SELECT * FROM found",
+    "op11_chosen_path_join": f"""{_linked_classes(2, 80)}
+        SELECT *, doc_id = component_id AS kept FROM found""",
     "op2_exact_dedup": f"""
         WITH t AS (SELECT doc_id, {_LOWERED} AS norm FROM documents)
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,

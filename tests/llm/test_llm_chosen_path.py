@@ -1,0 +1,136 @@
+"""The chosen-path join against all pairs in plain Python."""
+
+import math
+import random
+import re
+
+import numpy as np
+import pytest
+
+from clientele.llm import chosen_path as module
+from clientele.llm.chosen_path import RECALL, _alike, _paths, _sketches, chosen_path_duplicates, survival
+from clientele.llm.common import mix
+
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def shingles(text, k=2):
+    words = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(LOWER))
+    if len(words) < k:
+        return {tuple(words)} if words else set()
+    return {tuple(words[i : i + k]) for i in range(len(words) - k + 1)}
+
+
+def by_pairs(rows):
+    sets = {i: shingles(t) for i, t in rows}
+    low = {i: i for i in sets}
+
+    def root(x):
+        while low[x] != x:
+            x = low[x]
+        return x
+
+    ids = sorted(sets)
+    for n, i in enumerate(ids):
+        for j in ids[n + 1 :]:
+            both = len(sets[i] & sets[j])
+            if both and 100 * both >= 80 * len(sets[i] | sets[j]):
+                a, b = sorted((root(i), root(j)))
+                low[b] = a
+    return {i: (len(sets[i]), root(i), root(i) == i) for i in sets}
+
+
+def make_rows(seed):
+    rng = random.Random(seed)
+    words = ["w%d" % i for i in range(300)]
+    texts = []
+    for _ in range(25):
+        base = [rng.choice(words) for _ in range(rng.choice([1, 2, 5, 30, 80]))]
+        texts.append(base)
+        for _ in range(rng.choice([0, 0, 1, 4])):
+            copy = list(base)
+            for _ in range(rng.choice([0, 1, 2, 3])):
+                copy[rng.randrange(len(copy))] = rng.choice(words)
+            texts.append(copy)
+    chain = [rng.choice(words) for _ in range(60)]
+    for i in range(12):
+        chain[i * 5] = f"new{i}"
+        texts.append(list(chain))
+    # Many near copies, and many texts that share a passage but do not link.
+    common = [rng.choice(words) for _ in range(40)]
+    for i in range(60):
+        copy = list(common)
+        copy[rng.randrange(40)] = f"own{i}"
+        texts.append(copy)
+        texts.append(common[:25] + [f"tail{i}_{j}" for j in range(rng.randrange(4, 12))])
+    rng.shuffle(texts)
+    rows = [(i + 1, " ".join(t)) for i, t in enumerate(texts)]
+    n = len(rows)
+    rows += [(n + 1, None), (n + 2, ""), (n + 3, " \t\n"), (n + 4, "ONE"), (n + 5, "one"), (n + 6, "x y " * 20_000), (n + 7, "X Y")]
+    return rows
+
+
+@pytest.mark.parametrize("leaf,levels,thinning", [(48, 6, 128), (4, 2, 8)])
+def test_equal_to_all_pairs(spark, monkeypatch, leaf, levels, thinning):
+    # With small leaves the large nodes go through all their steps, tiles included.
+    monkeypatch.setattr(module, "LEAF", leaf)
+    monkeypatch.setattr(module, "MORE_LEVELS", levels)
+    monkeypatch.setattr(module, "THINNING", thinning)
+    rows = make_rows(leaf)
+    docs = spark.createDataFrame([(i, t, 0, "c") for i, t in rows], "doc_id long, text string, n long, rep string")
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in chosen_path_duplicates(docs.repartition(3)).collect()}
+    assert got == by_pairs(rows)
+
+
+def test_repeated_and_null_ids_and_empty_tables(spark):
+    a = "a b c d e f g h i j"
+    rows = [(5, a), (5, a), (7, "other words that are quite long here"), (7, a), (None, a), (None, None), (9, "z y x w")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id or 0, r.n_shingles or 0, r.component_id or 0, r.kept) for r in chosen_path_duplicates(docs).collect())
+    assert got == [(0, 0, 0, True), (0, 0, 0, True), (5, 9, 5, True), (5, 9, 5, True), (7, 9, 5, False), (7, 9, 5, False), (9, 3, 9, True)]
+    assert chosen_path_duplicates(docs.limit(0)).collect() == []
+    with pytest.raises(ValueError):
+        chosen_path_duplicates(docs, percent=50)
+
+
+def _overlapping(rng, pairs, size, share):
+    """Pairs of sets whose Jaccard similarity is ``share``."""
+    both = round(size * 2 * share / (1 + share))
+    sets = []
+    for _ in range(pairs):
+        common = rng.integers(1, 2**63, both, dtype=np.uint64)
+        for _ in range(2):
+            sets.append(np.unique(np.r_[common, rng.integers(1, 2**63, size - both, dtype=np.uint64)]))
+    return sets
+
+
+def test_trees_reach_their_recall_and_sketches_lose_nothing():
+    rng = np.random.default_rng(7)
+    sets = _overlapping(rng, 1500, 90, 0.8)
+    tokens, sizes = np.concatenate(sets), np.array([len(s) for s in sets])
+    for depth in (1, 2, 3):
+        trees = math.ceil(math.log(1 - RECALL) / math.log(1 - survival(depth, 80)))
+        owner, node = _paths(tokens, sizes, trees, depth, 80)
+        held = {}
+        for o, n in zip(owner.tolist(), node.tolist(), strict=True):
+            held.setdefault(o, set()).add(n)
+        met = np.mean([bool(held[2 * i] & held[2 * i + 1]) for i in range(1500)])
+        assert met > 0.998
+        # A set is in as many nodes as make up for the pairs that part.
+        assert abs(len(owner) / len(sets) / trees - 1.25**depth) < 0.5
+    sketches = _sketches(tokens, sizes)
+    nodes = np.repeat(np.arange(1500), 2)
+    assert len(_alike(np.arange(3000), sizes, sketches, nodes, 80)) == 1500
+    apart = _overlapping(rng, 1500, 90, 0.1)
+    sketches = _sketches(np.concatenate(apart), np.array([len(s) for s in apart]))
+    assert len(_alike(np.arange(3000), np.full(3000, 90), sketches, nodes, 80)) < 30
+
+
+def test_deeper_paths_are_the_same_for_a_set_in_any_company():
+    rng = np.random.default_rng(8)
+    sets = [np.unique(mix(rng.integers(1, 2**63, n, dtype=np.uint64))) for n in (1, 5, 40, 7)]
+    sizes = np.array([len(s) for s in sets])
+    owner, node = _paths(np.concatenate(sets), sizes, 5, 3, 80)
+    for i, s in enumerate(sets):
+        alone = _paths(s, np.array([len(s)]), 5, 3, 80)[1]
+        assert sorted(alone.tolist()) == sorted(node[owner == i].tolist())
