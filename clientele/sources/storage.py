@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from clientele.sources.csv_records import csv_fields, typed_and_rejected
 from clientele.sources.schemas import SCHEMAS, Tables
 
 
@@ -32,18 +33,24 @@ def read_csv(spark: SparkSession, path: str, table: str) -> DataFrame:
     Published files carry further columns and their own column order, which a
     declared schema would match by position.  A malformed value is an error.
     """
-    # Only free text may contain line breaks; other files stay splittable.
-    text = (
-        spark.read.option("header", True)
-        .option("escape", '"')
-        .option("multiLine", table == "reviews")
-        .csv(path)
-    )
+    # Only free text may contain line breaks.
+    if table == "reviews":
+        text = csv_fields(spark, path)
+    else:
+        text = spark.read.option("header", True).option("escape", '"').csv(path)
     return text.select(
         *[F.col(field.name).cast(field.dataType).alias(field.name) for field in SCHEMAS[table]]
     )
 
 
+def read_csv_with_rejects(spark: SparkSession, path: str, table: str) -> tuple[DataFrame, DataFrame]:
+    """The good rows of a CSV file, and (file, record, cause) of those that are not.
+
+    Nothing fails on a bad record, and none is lost: the two results hold all records.
+    """
+    return typed_and_rejected(csv_fields(spark, path), SCHEMAS[table])
+
+
 def write_tables(tables: Tables, folder: str, format: str = "parquet") -> None:
     for name, frame in tables.named().items():
         frame.write.format(format).save(f"{folder.rstrip('/')}/{name}")

@@ -441,6 +441,26 @@ FROM hist WINDOW w AS (PARTITION BY person ORDER BY d, ord)"""
 
 PAIR = "c_custkey // 2"
 
+# Documents that went through a CSV file; its fields tell an empty text from none.
+CSV_REVIEWS = """
+SELECT CAST(doc_id AS VARCHAR) AS review_id, 'o' || doc_id AS order_id,
+       1 + doc_id % 5 AS review_score, source AS review_comment_title,
+       text AS review_comment_message FROM documents"""
+
+CSV_REJECTS = """
+WITH rows AS (
+  SELECT l_quantity, CASE
+    WHEN l_orderkey % 83 = 0 THEN 'number of fields'
+    WHEN l_orderkey % 89 = 0 THEN 'order_id: missing'
+    WHEN l_orderkey % 97 = 0 THEN 'payment_sequential: not int'
+    WHEN l_orderkey % 79 = 0 THEN 'payment_value: not decimal(12,2)'
+    ELSE 'good' END AS cause
+  FROM lineitem)
+SELECT cause, count(*) AS records,
+       CAST(sum(CAST(l_quantity AS DECIMAL(12, 2))) FILTER (cause = 'good') AS DOUBLE) AS value,
+       CASE WHEN cause = 'good' THEN 'card, "gold"' || chr(10) || 'or other' END AS payment_type
+FROM rows GROUP BY cause"""
+
 ORACLE: dict[str, str] = {
     "order_revenue": f"""SELECT l_orderkey AS order_id, {money(f"sum({PAID})")} AS order_revenue
 FROM lineitem GROUP BY l_orderkey""",
@@ -486,6 +506,8 @@ SELECT count(*) AS active_customer_months FROM (
     "null_and_range_violations": VALUE_VIOLATIONS,
     "check_tables": union(PK_VIOLATIONS, FK_VIOLATIONS, VALUE_VIOLATIONS),
     "check_broken_tables": BROKEN_TABLES,
+    "csv_reviews": CSV_REVIEWS,
+    "csv_rejects": CSV_REJECTS,
     "insert_ignore": INSERT_IGNORE,
     "derived_payments": DERIVED_PAYMENTS,
     "derived_reviews": DERIVED_REVIEWS,
