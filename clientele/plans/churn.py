@@ -74,7 +74,7 @@ def churn_flags(
 
 def customer_status(summary: DataFrame, config: AnalysisConfig) -> DataFrame:
     """Segment and churn state of each person side by side."""
-    return score_customers(summary, config).select(
+    return score_customers(summary, config, frequency="order_count").select(
         PERSON,
         "customer_segment",
         churn_status(config).alias("churn_status"),
@@ -88,7 +88,7 @@ def customer_status(summary: DataFrame, config: AnalysisConfig) -> DataFrame:
 def churn_by_segment(summary: DataFrame, config: AnalysisConfig) -> DataFrame:
     """Persons, revenue, and mean recency per segment and churn state."""
     return (
-        score_customers(summary, config)
+        score_customers(summary, config, frequency="order_count")
         .groupBy("customer_segment", churn_status(config).alias("churn_status"))
         .agg(
             F.count("*").alias("customer_count"),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from clientele.config import AnalysisConfig
 from clientele.functions import calendar_month, money, money_units
-from clientele.operators import ordered_history, settle
+from clientele.operators import ordered_history, range_cuts, settle
 from clientele.sources.schemas import Tables
 
 PERSON = "customer_unique_id"
@@ -42,11 +42,12 @@ def order_revenue(tables: Tables) -> DataFrame:
     )
 
 
-def _paid_orders(tables: Tables, config: AnalysisConfig) -> DataFrame:
-    """Distinct qualified orders with their revenue, still by customer record.
+def _person_orders(tables: Tables, config: AnalysisConfig) -> DataFrame:
+    """Distinct (person, order, date, revenue) of the qualified orders.
 
-    Payments are summed before the join, so an order never multiplies.  The
-    join leaves its rows partitioned by order, and DISTINCT reuses that.
+    Payments are summed before the join, so an order never multiplies.  That join comes
+    last and leaves the rows partitioned by order, which DISTINCT reuses; it ends repeated
+    rows, repeated customer records, and orders under several records of one person.
     """
     return (
         qualified_orders(tables, config)
@@ -55,9 +56,10 @@ def _paid_orders(tables: Tables, config: AnalysisConfig) -> DataFrame:
             "customer_id",
             F.to_date("order_purchase_timestamp").alias("order_date"),
         )
+        .join(known_persons(tables), "customer_id")
         .join(_order_units(tables), "order_id", "left")
         .select(
-            "customer_id",
+            PERSON,
             "order_id",
             "order_date",
             F.coalesce("order_units", F.lit(0)).alias("order_units"),
@@ -66,16 +68,6 @@ def _paid_orders(tables: Tables, config: AnalysisConfig) -> DataFrame:
     )
 
 
-def _person_orders(tables: Tables, config: AnalysisConfig) -> DataFrame:
-    return (
-        _paid_orders(tables, config)
-        .join(known_persons(tables), "customer_id")
-        # Ends repeated customer records; partitioned by customer or order already.
-        .distinct()
-        .select(PERSON, "order_id", "order_date", "order_units")
-    )
-
-
 def customer_orders(tables: Tables, config: AnalysisConfig) -> DataFrame:
     """The qualified order history of every person; unpaid orders are worth 0."""
     return _person_orders(tables, config).select(
@@ -86,28 +78,27 @@ def customer_orders(tables: Tables, config: AnalysisConfig) -> DataFrame:
 def customer_summary(tables: Tables, config: AnalysisConfig) -> DataFrame:
     """One settled row per person: order_count, first and last date, revenue_units.
 
-    Orders are totalled per customer record before they meet the customer
-    table.  A customer with a large share of all orders is therefore one row in
-    that join, and the shuffles carry partial totals only.
+    ``order_count`` counts rows of the history, ``distinct_orders`` order ids: they differ
+    where an id stands for several orders.  A person's orders are totalled by order first,
+    where DISTINCT has left them, and then partly before the shuffle by person, so a person
+    with a large share of all orders leaves each task as one row.
 
     CLV, segments, and churn all start from this table, so it is written once.
     """
-    per_customer = (
-        _paid_orders(tables, config)
-        .groupBy("customer_id")
+    per_order = (
+        _person_orders(tables, config)
+        .groupBy(PERSON, "order_id")
         .agg(
-            F.count("*").alias("order_count"),
+            F.count("*").alias("rows"),
             F.min("order_date").alias("first_order_date"),
             F.max("order_date").alias("last_order_date"),
             F.sum("order_units").alias("revenue_units"),
         )
     )
     return settle(
-        per_customer.join(known_persons(tables), "customer_id")
-        .distinct()
-        .groupBy(PERSON)
-        .agg(
-            F.sum("order_count").alias("order_count"),
+        per_order.groupBy(PERSON).agg(
+            F.sum("rows").alias("order_count"),
+            F.count("*").alias("distinct_orders"),
             F.min("first_order_date").alias("first_order_date"),
             F.max("last_order_date").alias("last_order_date"),
             F.sum("revenue_units").alias("revenue_units"),
@@ -122,6 +113,7 @@ def _history(tables: Tables, config: AnalysisConfig) -> DataFrame:
         date="order_date",
         tie_break="order_id",
         amount="order_units",
+        cuts=range_cuts(tables.orders, "order_id"),
     )
 
 

@@ -53,7 +53,7 @@ def with_analysis_date(summary: DataFrame) -> DataFrame:
     )
 
 
-def score_customers(summary: DataFrame, config: AnalysisConfig) -> DataFrame:
+def score_customers(summary: DataFrame, config: AnalysisConfig, frequency: str = "distinct_orders") -> DataFrame:
     """Add the three scores, their sum, and the segment to the summary."""
     if config.rfm_scoring not in ("ntile", "percent_rank"):
         raise ValueError(f"unknown rfm_scoring: {config.rfm_scoring!r}")
@@ -68,7 +68,7 @@ def score_customers(summary: DataFrame, config: AnalysisConfig) -> DataFrame:
         PERSON,
         [
             score("recency_score", "recency_days", descending=high),
-            score("frequency_score", "order_count", descending=not high),
+            score("frequency_score", frequency, descending=not high),
             score("monetary_score", "revenue_units", descending=not high),
         ],
     )
@@ -81,7 +81,7 @@ def rfm_customers(summary: DataFrame, config: AnalysisConfig) -> DataFrame:
     return score_customers(summary, config).select(
         PERSON,
         "recency_days",
-        F.col("order_count").alias("frequency"),
+        F.col("distinct_orders").alias("frequency"),
         cents(F.col("revenue_units")).alias("monetary_value"),
         "recency_score",
         "frequency_score",

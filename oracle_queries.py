@@ -478,20 +478,15 @@ SELECT count(*) AS active_customer_months FROM (
     "cohort_retention_person_variant": retention_long(PAIR),
     "cohort_retention_matrix": RETENTION_MATRIX,
     "running_revenue": RUNNING,
-    "running_revenue_split_persons": RUNNING,
     "order_gaps": GAPS,
-    "order_gaps_split_persons": GAPS,
     "clv_projection_path": CLV_PATH,
     "customer_clv": customer_clv(),
-    "customer_clv_by_cuts": customer_clv(),
     "customer_clv_person_variant": customer_clv(PAIR),
     "clv_tier_summary": CLV_TIERS,
     "rfm_customers": rfm_customers(),
-    "rfm_customers_by_cuts": rfm_customers(),
     "rfm_customers_corrected": rfm_customers(best_is_high=True),
     "rfm_segment_summary": RFM_SEGMENTS,
     "percent_rank_scores": rfm_customers(percent_rank=True),
-    "percent_rank_scores_by_cuts": rfm_customers(percent_rank=True),
     "churn_flags": churn(*OWN_GAP),
     "fixed_window_churn": churn("90", "1"),
     "churn_by_segment": CHURN_SEGMENTS,

@@ -240,3 +240,23 @@ def test_unknown_scoring_is_refused(spark):
         Analytics(
             make_tables(spark, dates(1)), AnalysisConfig(rfm_scoring="median")
         ).rfm_customers()
+
+
+def test_orders_under_two_records_of_a_person_and_with_two_dates(spark):
+    """DISTINCT is by person, order, date and revenue; frequency counts order ids."""
+    tables = make_tables(
+        spark,
+        orders=[
+            ("o1", "c1", "2024-01-01"), ("o1", "c2", "2024-01-01"),
+            ("o2", "c1", "2024-02-01"), ("o2", "c1", "2024-02-05"), ("o3", "d", "2024-03-01"),
+        ],
+        customers=[("c1", "u"), ("c2", "u"), ("d", "v")],
+        payments=[("o1", 1, "10.00"), ("o2", 1, "5.00")],
+    )
+    analytics = Analytics(tables)
+    assert analytics.customer_orders().count() == 4
+    clv = by_key(analytics.customer_clv(), "customer_unique_id", "order_count", "historical_revenue")
+    assert {k: (n, str(v)) for k, (n, v) in clv.items()} == {"u": (3, "20.00"), "v": (1, "0.00")}
+    rfm = by_key(analytics.rfm_customers(), "customer_unique_id", "frequency", "monetary_value")
+    assert {k: (n, str(v)) for k, (n, v) in rfm.items()} == {"u": (2, "20.00"), "v": (1, "0.00")}
+    assert by_key(analytics.customer_status(), "customer_unique_id", "frequency") == {"u": 3, "v": 1}

@@ -71,7 +71,7 @@ def test_no_python_and_no_unbounded_step(spark, name):
 
 
 def test_cuts_leave_no_single_task_step(spark):
-    frame = QUERIES["rfm_customers_by_cuts"](spark, DATA)
+    frame = QUERIES["rfm_customers"](spark, DATA)
     assert plan_nodes(frame, "Window") == plan_nodes(frame, "Exchange") == 0
     # The analysis date is all that is brought together.
     assert plan_text(frame).count("Arguments: SinglePartition") == 1

@@ -11,7 +11,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from clientele import AnalysisConfig, Analytics
-from clientele.operators import chunk_count, ordered_history
+from clientele.operators import chunk_count, ordered_history, range_cuts
+from clientele.operators.sequences import CHUNKS, chunk_of
 from clientele.plans import growth, orders
 from clientele.plans.measure import plan_text
 
@@ -92,8 +93,7 @@ def test_join_on_a_hot_key_is_split(spark, skewed, small_skew_limits, query, exp
     assert splits == expected and none == 0
 
 
-def test_hot_customer_is_one_row_per_task_in_summary_join(spark, skewed):
-    """Totals are taken before the shuffle on the customer."""
+def test_summary_of_a_hot_customer_equals_its_orders(spark, skewed):
     counts = Counter(
         r.customer_unique_id for r in orders.customer_orders(skewed, CONFIG).collect()
     )
@@ -123,7 +123,8 @@ def test_history_equals_plain_windows(spark):
         F.date_add(F.lit("2024-01-01").cast("date"), F.col("day")).alias("date"),
         F.col("amount").cast("decimal(12,2)").alias("amount"),
     )
-    found = ordered_history(rows, person="person", date="date", tie_break="id", amount="amount")
+    cuts = range_cuts(rows, "id", chunks=7, sample=100)
+    found = ordered_history(rows, "person", "date", "id", "amount", cuts)
     sequence = Window.partitionBy("person").orderBy("date", "id")
     plain = rows.select(
         "*",
@@ -135,6 +136,39 @@ def test_history_equals_plain_windows(spark):
     assert sorted(map(str, found.select(names).collect())) == sorted(map(str, plain.collect()))
 
 
+def test_a_hot_day_of_a_person_is_ordered_in_chunks(spark):
+    """Half of all rows on one day of one person: no group to order holds more than a chunk."""
+    day = F.to_date(F.lit("2024-01-01"))
+    rows = spark.range(20_000).select(
+        F.when(F.col("id") % 2 == 0, "hot").otherwise(F.col("id").cast("string")).alias("person"),
+        F.concat(F.lit("o"), F.xxhash64("id").cast("string")).alias("order"),
+        F.when(F.col("id") % 2 == 0, day).otherwise(F.date_add(day, (F.col("id") % 9).cast("int"))).alias("date"),
+        (F.col("id") % 10).cast("decimal(12,2)").alias("amount"),
+    )
+    cuts = range_cuts(rows, "order")
+    assert len(cuts) == CHUNKS - 1
+    groups = rows.groupBy("person", "date", chunk_of(F.col("order"), cuts).alias("chunk")).count()
+    assert groups.agg(F.max("count")).first()[0] < 2 * 10_000 / CHUNKS
+    found = ordered_history(rows, "person", "date", "order", "amount", cuts)
+    keys = re.findall(r"Arguments: hashpartitioning\(([^)]*), \d+\)", plan_text(found))
+    assert any("__chunk" in k and "date" in k for k in keys)
+    hot = found.filter("person = 'hot'").orderBy("order").collect()
+    total, previous = 0, None
+    for i, r in enumerate(hot):
+        total += r.amount
+        assert (r.cumulative_amount, r.previous_date) == (total, previous)
+        assert (r.next_date is None) == (i == len(hot) - 1)
+        previous = r.date
+
+
+def test_cuts_of_few_or_no_keys(spark):
+    none = spark.createDataFrame([], "k string")
+    assert range_cuts(none, "k") == []
+    few = spark.createDataFrame([("b",), ("a",), (None,), ("b",)], "k string")
+    cuts = range_cuts(few, "k", chunks=2)
+    assert [r[0] for r in few.select(chunk_of(F.col("k"), cuts)).collect()] == [1, 0, 1, 1]
+
+
 def test_results_do_not_depend_on_partitioning(spark, skewed):
     def results():
         analytics = Analytics(spread(skewed))
