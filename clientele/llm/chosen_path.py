@@ -9,15 +9,16 @@ down, while less similar ones part.  Several independent trees raise the share o
 that meet in a leaf to ``RECALL``.
 
 Small nodes are leaves: all their pairs are compared.  Near copies in great number never
-part, so a large node first compares all its documents with one of them; if links then
-connect them all, nothing is left to find in it, and otherwise it goes on to branch.  At
-last depth it is compared exhaustively, in tiles.  Compared pairs are first judged by
+part, so a large node first compares all its documents with one of them.  If links then
+connect all but a few, these few are compared with all and nothing is left to find in it;
+otherwise it goes on to branch.  At the last depth it is compared exhaustively, in tiles.  Compared pairs are first judged by
 sketches; what may link is confirmed on the full sets.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -37,7 +38,9 @@ LEAF = 48
 # which nodes are looked at first.
 THINNING = 128
 # Levels below that depth on which large nodes branch before they are compared in tiles.
-MORE_LEVELS = 6
+MORE_LEVELS = 3
+# Members outside a large node's main component that are compared with all of it, at most.
+OUTSIDE = 128
 # Bytes of a sketch, each of one minwise token; and how many must agree.  Pairs of the
 # least similarity fall below that once in 800,000.
 SKETCH, AGREE = 32, 14
@@ -197,6 +200,33 @@ def _with_pivot(percent: int):
     return run
 
 
+def _with_outsiders(percent: int):
+    """Pairs of members of nodes with those outside the node's main component."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        # A few rows at a time, as each carries a list.
+        for part in (b.slice(i, 1000) for b in batches for i in range(0, b.num_rows, 1000)):
+            lists = part.column("members")
+            owner = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+            lists = lists.flatten()
+            a, n, comp = (part.column(c).to_numpy()[owner] for c in ("rep", "n", "comp"))
+            b, m, other = (lists.field(c).to_numpy(zero_copy_only=False) for c in ("rep", "n", "comp"))
+            near = (comp != other) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
+            one, two = (
+                np.frombuffer(b"".join(x.to_pylist()), np.uint8).reshape(-1, SKETCH)
+                for x in (part.column("sketch"), lists.field("sketch"))
+            )
+            near = np.flatnonzero(near)
+            near = near[(one[owner[near]] == two[near]).sum(axis=1) >= AGREE]
+            a, b = a[near], b[near]
+            pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+    return run
+
+
 def _sets(words: int):
     def run(batches):
         import pyarrow as pa
@@ -220,17 +250,17 @@ def _branch(percent: int):
         import pyarrow as pa
 
         for batch in batches:
-            sets = [np.frombuffer(h, np.uint64) for h in batch.column("hashes").to_pylist()]
-            if not sets:
-                continue
-            sizes = np.array([len(s) for s in sets], np.int64)
-            paths = batch.column("path").to_numpy().view(np.uint64)
-            owner, child = _children(np.concatenate(sets), sizes, paths, percent)
-            take = pa.array(owner)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(child.view(np.int64))] + [batch.column(c).take(take) for c in ("rep", "n", "sketch")],
-                ["path", "rep", "n", "sketch"],
-            )
+            # One document at a time: its set is asked once for every node that it is in.
+            for i in range(batch.num_rows):
+                tokens = np.frombuffer(batch.column("hashes")[i].as_buffer(), np.uint64)
+                paths = np.array(batch.column("paths")[i].as_py(), np.int64).view(np.uint64)
+                repeated = np.tile(tokens, len(paths))
+                child = _children(repeated, np.full(len(paths), len(tokens)), paths, percent)[1]
+                same = pa.array(np.full(len(child), i))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(child.view(np.int64))] + [batch.column(c).take(same) for c in ("rep", "n", "sketch")],
+                    ["path", "rep", "n", "sketch"],
+                )
 
     return run
 
@@ -271,6 +301,8 @@ class _Search:
         # (rep, comp) of all documents that have links.
         self.comps: DataFrame | None = None
         self.sets: DataFrame | None = None
+        # Pairs whose full sets have been compared.
+        self.tested: list[DataFrame] = []
 
     def placed(self, rows: DataFrame) -> DataFrame:
         """Rows with the component that the links found so far put them in."""
@@ -286,7 +318,7 @@ class _Search:
             .groupBy("rep", F.xxhash64("hashes"))
             .agg(F.first("hashes").alias("hashes"))
         )
-        self.sets = self.scratch.store(found.select("rep", "hashes"))
+        self.sets = self.scratch.store_bucketed(found.select("rep", "hashes"), "rep")
 
     def divided(self, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Rows of small and of large nodes; a node of one component has nothing to find."""
@@ -316,8 +348,12 @@ class _Search:
         First every document is compared with the smallest of its partners; then only
         pairs that this has not connected.
         """
+        if self.tested:
+            known = reduce(DataFrame.unionByName, self.tested)
+            pairs = self.scratch.store(pairs.join(known, ["a", "b"], "left_anti"))
         if pairs.isEmpty():
             return
+        self.tested.append(pairs)
         first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
         for chosen in (first, None):
             if chosen is None:
@@ -342,6 +378,26 @@ class _Search:
         found = components(links, self.scratch)
         self.comps = found.withColumnsRenamed({"node": "rep", "component": "comp"})
 
+    def closing(self, large: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(open pairs of nodes with one main component, rows of the other nodes).
+
+        Where at most OUTSIDE members are outside the main component, each of them is compared
+        with all members, and nothing is left to find in the node.
+        """
+        parts = large.groupBy("path", "comp").agg(F.count(F.lit(1)).alias("members"))
+        nodes = parts.groupBy("path").agg(
+            F.sum("members").alias("members"), F.max(F.struct("members", "comp")).alias("main")
+        )
+        close = self.scratch.store(
+            nodes.filter(F.col("members") - F.col("main.members") <= OUTSIDE).select("path", F.col("main.comp").alias("main"))
+        )
+        rows = large.join(close, "path")
+        members = F.collect_list(F.struct("rep", "n", "sketch", "comp")).alias("members")
+        outside = rows.filter("comp != main").groupBy("path").agg(members)
+        found = rows.join(outside, "path").select("rep", "n", "sketch", "comp", "members")
+        found = found.mapInArrow(_with_outsiders(self.percent), "a long, b long")
+        return self.scratch.store(found.distinct()), large.join(close, "path", "left_anti")
+
     def tiles(self, large: DataFrame) -> DataFrame:
         """All pairs of large nodes that may link, tile by tile."""
         sizes = large.groupBy("path").agg(F.ceil(F.count(F.lit(1)) / (LEAF // 2)).cast("int").alias("wide"))
@@ -407,13 +463,18 @@ def chosen_path_duplicates(
         search.confirm(pairs)
         for level in range(MORE_LEVELS + 1):
             large = search.divided(large.select("path", "rep", "n", "sketch"))[1]
+            if large.isEmpty():
+                break
+            open_pairs, large = search.closing(large)
+            search.confirm(open_pairs)
             if large.isEmpty():
                 break
             if level == MORE_LEVELS:
                 search.confirm(search.tiles(large))
                 break
-            below = large.join(search.sets, "rep").select("path", "rep", "n", "sketch", "hashes")
-            small, large = search.divided(below.mapInArrow(_branch(percent), _ROW))
+            member = F.collect_list("path").alias("paths")
+            below = large.groupBy("rep", "n", "sketch").agg(member).join(search.sets, "rep")
+            small, large = search.divided(scratch.store(below.mapInArrow(_branch(percent), _ROW)))
             search.confirm(search.pairs(small, large))
         # The sets of an id that is on several rows hang together.
         owned = profiles.select("id", "digest").join(classes.select("digest", "rep", "n"), "digest")

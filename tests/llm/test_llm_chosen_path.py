@@ -70,10 +70,11 @@ def make_rows(seed):
     return rows
 
 
-@pytest.mark.parametrize("leaf,levels,thinning", [(48, 6, 128), (4, 2, 8)])
+@pytest.mark.parametrize("leaf,levels,thinning", [(48, 3, 128), (4, 2, 8)])
 def test_equal_to_all_pairs(spark, monkeypatch, leaf, levels, thinning):
     # With small leaves the large nodes go through all their steps, tiles included.
     monkeypatch.setattr(module, "LEAF", leaf)
+    monkeypatch.setattr(module, "OUTSIDE", leaf)
     monkeypatch.setattr(module, "MORE_LEVELS", levels)
     monkeypatch.setattr(module, "THINNING", thinning)
     rows = make_rows(leaf)
