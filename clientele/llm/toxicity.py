@@ -6,6 +6,7 @@ import math
 import os
 import re
 from collections import Counter, defaultdict
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -160,17 +161,19 @@ def decode(word: str, model: CharacterModel, spaced: bool = False) -> str:
     return "".join(settled) + max(ends)[1]
 
 
-def restored_words(token: str, model: CharacterModel) -> list[str]:
+def restored_words(
+    token: str, model: CharacterModel, wanted: Callable[[str], bool] = lambda form: True
+) -> list[str]:
     """The words that a token may stand for: as written, and decoded where it looks odd.
 
     Signs at its ends may be punctuation or stand for letters, so it is decoded with and
-    without them.
+    without them.  Forms that are not ``wanted`` are left as written.
     """
     low = token.lower().strip(MARKS)
     plain = low.strip(EDGE)
     found = [plain] if plain else []
     for form in {back.lstrip(at_front) for back in (low, low.rstrip(EDGE)) for at_front in ("", OPENING)}:
-        if ODD.search(form) or len(PAIR.findall(form)) > 2:
+        if (ODD.search(form) or len(PAIR.findall(form)) > 2) and wanted(form):
             found += [w for w in decode(form, model).split() if w not in found]
     return found
 
@@ -186,12 +189,36 @@ class Scorer:
     def __init__(self, model: CharacterModel, weights: dict[str, float]):
         self.model, self.weights = model, weights
         self.cache: dict[str, float] = {}
+        # A trie of all weighty words and beginnings, as the set of what they begin with.
+        self.whole = {f[1:] for f in weights if f[:1] == "="}
+        self.opening = {f for f in weights if f[:1] != "="}
+        self.begun = {w[:n] for w in self.whole | self.opening for n in range(len(w) + 1)}
+
+    def may_weigh(self, word: str) -> bool:
+        """Whether any path through the lattice of a word spells something weighty.
+
+        All that ``decode`` can return is among these paths; most words end after a letter
+        or two, as nothing weighty begins like that.
+        """
+        spelt = {""}
+        for i in range(len(word)):
+            further = set()
+            for letters, _ in _arcs(word, i, False):
+                for made in spelt:
+                    made += letters
+                    if made in self.begun:
+                        if made in self.opening:
+                            return True
+                        further.add(made)
+            if not further:
+                return False
+            spelt = further
+        return not spelt.isdisjoint(self.whole)
 
     def weight(self, token: str) -> float:
         get = self.weights.get
-        return max(
-            (get(f, 0.0) for w in restored_words(token, self.model) for f in features(w)), default=0.0
-        )
+        words = restored_words(token, self.model, self.may_weigh)
+        return max((get(f, 0.0) for w in words for f in features(w)), default=0.0)
 
     def statistics(self, text: str) -> tuple[float, float, float]:
         """Largest weight, sum of the five largest, share of weighty words."""
@@ -371,17 +398,13 @@ def toxicity(
     )
 
 
-def _keep_clean(model: ToxicityModel, text_col: str, rows: int = 500):
-    def run(batches):
-        import pyarrow.compute as pc
-
+def _is_clean(model: ToxicityModel):
+    @F.pandas_udf("boolean")
+    def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         scorer = Scorer(model.letters, model.weights)
-        for batch in batches:
-            for at in range(0, batch.num_rows, rows):
-                part = batch.slice(at, rows)
-                texts = pc.fill_null(part.column(text_col), "")
-                found = np.array([scorer.statistics(t.as_py()) for t in texts]).reshape(-1, 3)
-                yield part.filter(pc.less(predict(found, model.calibration), 0.5))
+        for part in texts:
+            found = np.array([scorer.statistics(t) for t in part]).reshape(-1, 3)
+            yield pd.Series(predict(found, model.calibration) < 0.5)
 
     return run
 
@@ -389,8 +412,8 @@ def _keep_clean(model: ToxicityModel, text_col: str, rows: int = 500):
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents with a score below 0.5, with all their columns.
 
-    Rows are scored as in ``toxicity`` and leave the tasks unchanged or not at all.
+    Rows are scored as in ``toxicity``; tasks get the texts only, and rows stay in Spark.
     """
     known = labels.select(F.col("doc_id").alias("id"), "toxic").filter(~held_out(F.col("id")))
     model = train(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), known)
-    return docs.mapInArrow(_keep_clean(model, text_col), docs.schema)
+    return docs.filter(_is_clean(model)(text_or_empty(text_col)))
