@@ -18,7 +18,7 @@ from clientele.llm.components import components
 WORDS = 5
 PERCENT = 75
 # Text that one range of hash values is meant to hold, and entries of one block.
-RANGE_BYTES = 24_000_000
+RANGE_BYTES = 8_000_000
 BLOCK_ENTRIES = 1_000_000
 SLICE_BYTES = 4_000_000
 # Documents that one task searches against each other.
