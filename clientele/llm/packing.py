@@ -1,4 +1,4 @@
-"""Best-fit packing of tokenized documents, planned on the counts of their lengths."""
+"""Best-fit packing of tokenized documents: leaves pack by themselves, a tree packs what they leave."""
 
 from __future__ import annotations
 
@@ -7,7 +7,8 @@ import zlib
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clientele.llm.common import Scratch, text_or_empty
@@ -16,10 +17,11 @@ CAPACITY = 4096
 END_ID = 1
 # Words whose ids a task remembers at once.
 CACHED_WORDS = 500_000
-# Limits of an earlier tree of groups.  Nothing reads them, but tests set them.
-LEAF_ITEMS = 50_000
-OPEN_BINS = 4_000
+# Pieces of a leaf on average, and nodes that meet in one of the next level.
+LEAF_ITEMS = 100_000
 FAN_IN = 8
+# A sequence whose room is at most this share of its length is nearly full.
+NEARLY_FULL = 0.005
 
 
 # A word of letters that the tokenizer lower-cases sign by sign, with signs behind it
@@ -148,39 +150,10 @@ def tokenized_pieces(
     )
 
 
-def best_fit(sizes: np.ndarray, capacity: int) -> list[list[int]]:
-    """Bins of item indexes: largest item first, each into the fullest bin with room.
-
-    Bins are kept by their room, and one integer has a bit for every room that
-    some bin has, so the best bin is found without going through them.
-    """
-    by_room: dict[int, list[int]] = {}
-    rooms = 0
-    bins: list[list[int]] = []
-    for item in np.argsort(-sizes, kind="stable").tolist():
-        size = int(sizes[item])
-        fitting = rooms >> size
-        if fitting:
-            room = size + (fitting & -fitting).bit_length() - 1
-            held = by_room[room]
-            target = held.pop()
-            if not held:
-                rooms ^= 1 << room
-            bins[target].append(item)
-        else:
-            room, target = capacity, len(bins)
-            bins.append([item])
-        left = room - size
-        if left:
-            held = by_room.setdefault(left, [])
-            if not held:
-                rooms |= 1 << left
-            held.append(target)
-    return bins
-
-
 class Plan:
-    """What ``best_fit`` does with so many items of each size, in runs of equal bins.
+    """Best fit of so many items of each size, in runs of equal bins.
+
+    The largest item goes first, each into the fullest bin that has room.
 
     Bins with the same room are as good as each other, so they are kept as runs of bin
     numbers.  A size splits one run at most, and a run changes at most once for each
@@ -188,12 +161,15 @@ class Plan:
     not by the items.  Items are numbered from the largest size down (``before``: the
     items above each size).  A step takes the items from ``start`` on, ``each`` of them
     into one bin after the other from ``first`` on, behind the ids that are there.
+
+    A bin with more room than ``spare`` is underfull.  The items of underfull bins are
+    numbered anew among those of their size, so that another plan can take them.
     """
 
-    def __init__(self, counts: dict[int, int], capacity: int):
+    def __init__(self, counts: dict[int, int], capacity: int, spare: int = 0):
         self.before = np.zeros(capacity + 1, np.int64)
         by_room: dict[int, list[tuple[int, int]]] = {}
-        steps: list[tuple[int, int, int, int]] = []
+        steps: list[tuple[int, ...]] = []
         self.bins = rooms = item = 0
 
         def put(room: int, first: int, n: int):
@@ -222,63 +198,122 @@ class Plan:
                 rest = left - whole * each if whole < n else 0
                 for bins, here in ((whole, each), (int(rest > 0), rest)):
                     if bins:
-                        steps.append((item, first, here, capacity - room))
+                        steps.append((item, first, here, capacity - room, bins, size))
                         put(room - here * size, first, bins)
                         item += bins * here
                         left -= bins * here
                         first += bins
                         n -= bins
                 put(room, first, n)
-        self.start, self.first, self.each, self.offset = np.array(steps, np.int64).reshape(-1, 4).T
-
-    def places(self, lengths: np.ndarray, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Bins and offsets of items, given by their rank among those of their length."""
+        table = np.array(steps, np.int64).reshape(-1, 6).T
+        self.start, self.first, self.each, self.offset, bins, self.size = table
+        runs = sorted(run for room, held in by_room.items() if room > spare for run in held)
+        self._run, self._run_bins = np.array(runs, np.int64).reshape(-1, 2).T
+        self._runs_before = np.concatenate([[0], np.cumsum(self._run_bins)])
+        self._left = self.each * (self._underfull_before(self.first + bins) - self._underfull_before(self.first))
+        before = np.cumsum(self._left) - self._left
+        self._left_before = before - before[np.searchsorted(-self.size, -self.size)] if len(before) else before
+
+    def _underfull_before(self, bins: np.ndarray) -> np.ndarray:
+        """How many underfull bins have a smaller number."""
+        if not len(self._run):
+            return np.zeros_like(bins)
+        run = np.searchsorted(self._run, bins, side="left") - 1
+        inside = np.minimum(bins - self._run[run], self._run_bins[run])
+        return np.where(run < 0, 0, self._runs_before[run] + inside)
+
+    def _steps(self, lengths: np.ndarray, ranks: np.ndarray):
         item = self.before[lengths] + ranks
         step = np.searchsorted(self.start, item, side="right") - 1
         bins, place = np.divmod(item - self.start[step], self.each[step])
-        return self.first[step] + bins, self.offset[step] + place * lengths
+        return step, self.first[step] + bins, place
+
+    def places(self, lengths: np.ndarray, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bins and offsets of items, given by their rank among those of their length."""
+        step, bins, place = self._steps(lengths, ranks)
+        return bins, self.offset[step] + place * lengths
+
+    def left(self) -> dict[int, int]:
+        """How many items of each size lie in underfull bins."""
+        sizes, at = np.unique(self.size, return_inverse=True)
+        counts = np.bincount(at, self._left, len(sizes)).astype(np.int64)
+        return {s: n for s, n in zip(sizes.tolist(), counts.tolist(), strict=True) if n}
+
+    def left_ranks(self, lengths: np.ndarray, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether each item lies in an underfull bin, and its rank among those of its length there."""
+        step, bins, place = self._steps(lengths, ranks)
+        before = self._underfull_before(bins)
+        rank = self._left_before[step] + self.each[step] * (before - self._underfull_before(self.first[step])) + place
+        return self._underfull_before(bins + 1) > before, rank
 
 
 _PIECE = "doc_id long, piece int, start long, length int, ids_crc32 long"
+_PLACED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
+# A sequence's number: its node, 4 bits for the node's level, its number in the node.
+_NODE_BITS, _LEVEL_BITS = 40, 36
 
 
-def _numbered(capacity: int):
-    """Adds the task and a piece's number among those of its length in the task."""
+def _left_by(capacity: int, spare: int):
+    """What the plan of a node, given as counts by size, leaves in underfull sequences."""
 
-    def run(batches):
-        import pyarrow as pa
-        from pyspark import TaskContext
+    def run(key, rows):
+        left = Plan(dict(zip(rows["size"].tolist(), rows["n"].tolist(), strict=True)), capacity, spare).left()
+        return pd.DataFrame({"node": int(key[0]), "size": list(left), "n": list(left.values())})
 
-        task = TaskContext.get().partitionId()
-        seen = np.zeros(capacity + 1, np.int64)
-        for batch in batches:
-            lengths = batch.column("length").to_numpy(zero_copy_only=False)
-            order = np.argsort(lengths, kind="stable")
-            counts = np.bincount(lengths, minlength=capacity + 1)
-            firsts = np.cumsum(counts) - counts
-            nth = np.empty(len(lengths), np.int64)
-            nth[order] = np.arange(len(lengths)) + (seen - firsts)[lengths[order]]
-            seen += counts
-            tasks = pa.array(np.full(len(lengths), task, np.int32))
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, tasks, pa.array(nth)], [*batch.schema.names, "task", "nth"]
-            )
+    return run
+
+
+def _shares(fan_in: int):
+    """Per child and size of a node: all items of that size, and those of the children before."""
+
+    def run(key, rows):
+        sizes = np.unique(rows["size"])
+        counts = np.zeros((fan_in, len(sizes)), np.int64)
+        counts[rows["node"] % fan_in, np.searchsorted(sizes, rows["size"])] = rows["n"]
+        earlier = np.cumsum(counts, axis=0) - counts
+        return pd.DataFrame(
+            {
+                "node": np.repeat(int(key[0]) * fan_in + np.arange(fan_in), len(sizes)),
+                "size": np.tile(sizes, fan_in),
+                "n": np.tile(counts.sum(axis=0), fan_in),
+                "earlier": earlier.ravel(),
+            }
+        )
 
     return run
 
 
-def _placed(plan: Plan):
-    def run(batches):
+def _placed(capacity: int, spare: int, fan_in: int, levels: int):
+    """Places of a leaf's pieces: by its own plan, or by the node above that takes them."""
+
+    def run(key, pieces, shares):
         import pyarrow as pa
 
-        for batch in batches:
-            lengths = batch.column("length").to_numpy(zero_copy_only=False).astype(np.int64)
-            bins, offsets = plan.places(lengths, batch.column("rank").to_numpy(zero_copy_only=False))
-            made = {"length": lengths, "sequence_id": bins, "offset": offsets}
-            names = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(made[n]) if n in made else batch.column(n) for n in names], names
-            )
+        node = key[0].as_py()
+        lengths = pieces.column("length").to_numpy().astype(np.int64)
+        sequences, offsets = np.zeros((2, len(lengths)), np.int64)
+        counts = np.bincount(lengths, minlength=capacity + 1)
+        moving = np.argsort(lengths, kind="stable")
+        ranks = np.arange(len(lengths)) - (np.cumsum(counts) - counts)[lengths[moving]]
+        at, size, n, earlier = (shares.column(c).to_numpy() for c in ("level", "size", "n", "earlier"))
+        for level in range(levels + 1):
+            here = at == level
+            if level:
+                counts, before = np.zeros((2, capacity + 1), np.int64)
+                counts[size[here]], before[size[here]] = n[here], earlier[here]
+                ranks = ranks + before[lengths[moving]]
+            if not len(moving):
+                break
+            sizes = np.flatnonzero(counts)
+            plan = Plan(dict(zip(sizes.tolist(), counts[sizes].tolist(), strict=True)), capacity, spare)
+            bins, offsets[moving] = plan.places(lengths[moving], ranks)
+            sequences[moving] = (node << _NODE_BITS) + (level << _LEVEL_BITS) + bins
+            underfull, ranks = plan.left_ranks(lengths[moving], ranks)
+            moving, ranks = moving[underfull], ranks[underfull]
+            node //= fan_in
+        made = {"length": lengths, "sequence_id": sequences, "offset": offsets}
+        names = [c.split()[0] for c in _PLACED.split(", ")]
+        return pa.table({c: pa.array(made[c]) if c in made else pieces.column(c) for c in names})
 
     return run
 
@@ -286,31 +321,51 @@ def _placed(plan: Plan):
 def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Pieces (see ``tokenized_pieces``) with their sequence_id and offset.
 
-    The sequences are those of ``best_fit`` over all pieces at once.  Best fit sees
-    only lengths, so the driver plans it on the number of pieces of each length, and
-    tasks look up where a piece of some rank among its length goes.  Ranks are counts
-    of the tasks before and numbers within a task, so neither a common length nor a
-    large table ever comes into one task.  Null ids stay null; equal rows are separate
-    pieces.  An empty table gives no rows.
+    The pieces are dealt evenly over leaves of about ``LEAF_ITEMS``.  A leaf packs its
+    own by best fit and emits sequences that are nearly full (``NEARLY_FULL``).  The
+    pieces of all its other sequences are the items of the next node, in which
+    ``FAN_IN`` leaves meet; it packs them by best fit, emits, and hands on the rest, and
+    so on up to one root, which emits all.  An underfull sequence is opened again on its
+    way up: taken as one item, two of over half the length could never be improved.
+
+    Best fit sees only lengths, so what goes up is the number of pieces of each length,
+    at most ``capacity`` numbers a node, however many sequences are underfull.  Each leaf
+    then gets the counts of the nodes above it and looks up where its pieces went; so
+    no piece travels up the tree, and nothing is sealed early for want of room in a node.
+    The number of a sequence tells its node, the node's level and its number there.
+
+    Null ids stay null; equal rows are separate pieces, dealt over all leaves like any
+    others.  An empty table gives no rows.
     """
-    scratch = Scratch(pieces.sparkSession)
+    spark = pieces.sparkSession
+    spare = int(capacity * NEARLY_FULL)
+    scratch = Scratch(spark)
     with scratch:
         columns = [c.split()[0] for c in _PIECE.split(", ")]
-        numbered = scratch.store(
-            pieces.select(*columns).mapInArrow(_numbered(capacity), f"{_PIECE}, task int, nth long")
-        )
-        counts = numbered.groupBy("length", "task").agg(F.count("*").alias("n"))
-        earlier = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
-        counts = scratch.store(counts.withColumn("earlier", F.coalesce(F.sum("n").over(earlier), F.lit(0))))
-        # One number for each length at most.
-        totals = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-        ranked = numbered.join(counts.drop("n"), ["length", "task"]).withColumn("rank", F.expr("earlier + nth"))
-        return scratch.keep(
-            ranked.select(*columns, "rank").mapInArrow(
-                _placed(Plan(totals, capacity)),
-                "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long",
+        stored = scratch.store(pieces.select(*columns, F.monotonically_increasing_id().alias("at")))
+        leaves = max(1, -(-stored.count() // LEAF_ITEMS))
+        leaf = F.pmod(F.xxhash64("at"), F.lit(leaves))
+        dealt = stored.select(*columns, leaf.alias("leaf"))
+        levels, nodes = 0, leaves
+        counts = dealt.groupBy(F.col("leaf").alias("node"), F.col("length").cast("long").alias("size"))
+        counts = counts.agg(F.count("*").alias("n"))
+        shares = spark.range(0).selectExpr("id leaf", "0 level", "id size", "id n", "id earlier")
+        while nodes > 1:
+            below = FAN_IN**levels
+            levels, nodes = levels + 1, -(-nodes // FAN_IN)
+            left = counts.groupBy("node").applyInPandas(_left_by(capacity, spare), "node long, size long, n long")
+            left = scratch.store(left).withColumn("parent", F.expr(f"node div {FAN_IN}"))
+            here = left.groupBy("parent").applyInPandas(
+                _shares(FAN_IN), "node long, size long, n long, earlier long"
             )
-        )
+            under = f"sequence(node * {below}L, least((node + 1) * {below}L, {leaves}L) - 1)"
+            here = here.filter(f"node * {below}L < {leaves}L").selectExpr(
+                f"explode({under}) leaf", f"{levels} level", "size", "n", "earlier"
+            )
+            shares = shares.unionByName(scratch.store(here))
+            counts = left.groupBy(F.col("parent").alias("node"), "size").agg(F.sum("n").alias("n"))
+        grouped = dealt.groupBy("leaf").cogroup(shares.groupBy("leaf"))
+        return scratch.keep(grouped.applyInArrow(_placed(capacity, spare, FAN_IN, levels), _PLACED))
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: Callable[[], str], **options) -> DataFrame:

@@ -13,12 +13,43 @@ from tokenizers import Tokenizer
 
 from clientele.llm import packing
 from clientele.llm.mixing import mix_schedule, take_mix
-from clientele.llm.packing import WordIds, _cuts_words, best_fit, pack_documents
+from clientele.llm.packing import WordIds, _cuts_words, pack_documents
 from clientele.llm.queries import tokenizer_path
 
 DATA = "/root/testdata/sf0.01"
 
 
+def best_fit(sizes: np.ndarray, capacity: int) -> list[list[int]]:
+    """Bins of item indexes: largest item first, each into the fullest bin with room.
+
+    Bins are kept by their room, and one integer has a bit for every room that
+    some bin has, so the best bin is found without going through them.
+    """
+    by_room: dict[int, list[int]] = {}
+    rooms = 0
+    bins: list[list[int]] = []
+    for item in np.argsort(-sizes, kind="stable").tolist():
+        size = int(sizes[item])
+        fitting = rooms >> size
+        if fitting:
+            room = size + (fitting & -fitting).bit_length() - 1
+            held = by_room[room]
+            target = held.pop()
+            if not held:
+                rooms ^= 1 << room
+            bins[target].append(item)
+        else:
+            room, target = capacity, len(bins)
+            bins.append([item])
+        left = room - size
+        if left:
+            held = by_room.setdefault(left, [])
+            if not held:
+                rooms |= 1 << left
+            held.append(target)
+    return bins
+
+
 @pytest.fixture(scope="module")
 def tokenizer():
     return Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
@@ -74,7 +105,6 @@ def test_whole_table(spark, tokenizer):
 
 def test_odd_texts_and_a_deep_tree(spark, tokenizer, monkeypatch):
     monkeypatch.setattr(packing, "LEAF_ITEMS", 7)
-    monkeypatch.setattr(packing, "OPEN_BINS", 3)
     monkeypatch.setattr(packing, "FAN_IN", 2)
     texts = [None, "", " ", "a", "word " * 4095, "word " * 4096, "word " * 9000] + ["b c " * (n * 40) for n in range(40)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(6)
@@ -173,6 +203,51 @@ def test_many_batches_of_one_task_are_packed_together(spark):
     assert packing.pack_pieces(rows).select("sequence_id").distinct().count() == 60_000
 
 
+def test_what_a_plan_leaves_is_numbered_by_size():
+    rng = np.random.default_rng(5)
+    for _ in range(200):
+        counts = {int(s): int(n) for s, n in zip(rng.integers(1, 41, 8), rng.integers(1, 60, 8), strict=True)}
+        plan = packing.Plan(counts, 40, spare=3)
+        lengths = np.repeat(list(counts), list(counts.values())).astype(np.int64)
+        ranks = np.concatenate([np.arange(n) for n in counts.values()]).astype(np.int64)
+        bins, _ = plan.places(lengths, ranks)
+        fills = np.bincount(bins, lengths, plan.bins)
+        underfull, again = plan.left_ranks(lengths, ranks)
+        assert (underfull == (fills[bins] < 37)).all()
+        left = {s: int((lengths[underfull] == s).sum()) for s in counts}
+        assert plan.left() == {s: n for s, n in left.items() if n}
+        for s, n in left.items():
+            assert sorted(again[underfull & (lengths == s)]) == list(range(n))
+
+
+def test_leaves_emit_and_two_levels_of_merges_take_the_rest(spark, monkeypatch):
+    monkeypatch.setattr(packing, "LEAF_ITEMS", 500)
+    monkeypatch.setattr(packing, "FAN_IN", 4)
+    # A third of the rows is one row again and again.
+    rows = spark.range(0, 8_000, 1, 3).selectExpr(
+        "if(id % 3 = 0, 7, id) doc_id", "0 piece", "0L start",
+        "if(id % 3 = 0, 1700, 1 + pmod(hash(id), 4096)) length", "id ids_crc32",
+    )
+    got = packing.pack_pieces(rows).collect()
+    assert sorted(r.ids_crc32 for r in got) == list(range(8_000))
+    bins = {}
+    for r in got:
+        bins.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    by_level, nodes = {}, {}
+    for number, members in bins.items():
+        offsets = [o for o, _ in sorted(members)]
+        assert offsets == [0, *np.cumsum([n for _, n in sorted(members)])[:-1]]
+        fill, level = sum(n for _, n in members), number >> 36 & 15
+        assert fill <= 4096 and (level == 2 or fill >= 4096 - 20)
+        by_level[level] = by_level.get(level, 0) + 1
+        nodes.setdefault(level, set()).add(number >> 40)
+    # 16 leaves, 4 nodes above them, one root.
+    assert [len(nodes[level]) for level in range(3)] == [16, 4, 1]
+    assert by_level[0] > by_level[1] > 0
+    alone = len(best_fit(np.array([r.length for r in got]), 4096))
+    assert len(bins) <= 1.01 * alone
+
+
 def test_null_ids_are_packed_and_change_no_other_id(spark, tokenizer):
     big = 2**53 + 1
     docs = spark.createDataFrame(
