@@ -34,17 +34,23 @@ MARKS = "".join(c for c in EDGE if c not in LEET and c not in WILDCARDS)
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 SPACED = re.compile(r"(?<!\S)\S(?:[ \t]\S){3,}(?!\S)")
 SIGNS = re.escape("".join(LEET) + WILDCARDS + SEPARATORS)
-# A letter and, at any place, a sign that may stand for something; or three such signs.
-ODD = re.compile(rf"(?=.*[^\W\d_]).*[{SIGNS}]|^[{SIGNS}]{{3,}}$|([^\W\d_])\1\1", re.S)
+LETTER = re.compile(r"[^\W\d_]")
+SIGN = re.compile(f"[{SIGNS}]")
+ONLY_SIGNS = re.compile(f"^[{SIGNS}]{{3,}}$")
 PAIR = re.compile(r"([^\W\d_])\1")
+TRIPLE = re.compile(r"([^\W\d_])\1\1")
 
 # Logarithms of what the writer of a disguised word does to one sign.
 SWAP, DROP, DOUBLE, BREAK, ANY = -1.0, -1.5, -3.0, -2.0, -2.5
 
 
+# Letters below are of Latin scripts.
+LATIN_END = 0x250
+
+
 def _class(c: str) -> str:
     """Letters of Latin scripts are themselves; all other signs are one class."""
-    return c if c.isalpha() and ord(c) < 0x250 else "?"
+    return c if c.isalpha() and ord(c) < LATIN_END else "?"
 
 
 def trigram_counts(batches):
@@ -55,13 +61,23 @@ def trigram_counts(batches):
     grams: Counter = Counter()
 
     def fold():
-        for word, n in words.items():
-            word = word.strip(EDGE).lower()
-            if word.isalpha():
-                word = "  " + "".join(map(_class, word)) + " "
-                for i in range(len(word) - 2):
-                    grams[word[i : i + 3]] += n
+        # All words in one string, each with two spaces before and one behind it.
+        kept = [(w, n) for w, n in ((w.strip(EDGE).lower(), n) for w, n in words.items()) if w.isalpha()]
         words.clear()
+        signs = np.frombuffer("".join(f"  {w} " for w, _ in kept).encode("utf-32-le"), "<u4").astype(np.int64)
+        signs = np.where(signs < LATIN_END, signs, ord("?"))
+        sizes = np.array([len(w) + 3 for w, _ in kept], np.int64)
+        weights = np.repeat(np.array([n for _, n in kept], np.int64), sizes)
+        # A trigram that begins at a word's last two signs would reach into the next word.
+        inside = np.ones(len(signs), bool)
+        ends = np.cumsum(sizes)
+        inside[ends - 1] = inside[ends - 2] = False
+        at = np.flatnonzero(inside)
+        keys = (signs[at] * LATIN_END + signs[at + 1]) * LATIN_END + signs[at + 2]
+        keys, which = np.unique(keys, return_inverse=True)
+        for key, n in zip(keys.tolist(), np.bincount(which, weights[at]).tolist(), strict=True):
+            first, rest = divmod(key, LATIN_END * LATIN_END)
+            grams[chr(first) + chr(rest // LATIN_END) + chr(rest % LATIN_END)] += int(n)
 
     for batch in batches:
         for text in batch.column("text"):
@@ -161,6 +177,17 @@ def decode(word: str, model: CharacterModel, spaced: bool = False) -> str:
     return "".join(settled) + max(ends)[1]
 
 
+def _odd(form: str) -> bool:
+    """Whether a token may be disguised.
+
+    It has a letter and, at any place, a sign that may stand for something, or consists of
+    three such signs or more, or repeats letters: one three times, or more than two twice.
+    """
+    if SIGN.search(form) and (LETTER.search(form) or ONLY_SIGNS.search(form)):
+        return True
+    return bool(PAIR.search(form)) and (bool(TRIPLE.search(form)) or len(PAIR.findall(form)) > 2)
+
+
 def restored_words(
     token: str, model: CharacterModel, wanted: Callable[[str], bool] = lambda form: True
 ) -> list[str]:
@@ -170,10 +197,12 @@ def restored_words(
     without them.  Forms that are not ``wanted`` are left as written.
     """
     low = token.lower().strip(MARKS)
+    if low.isalpha() and not PAIR.search(low):
+        return [low]
     plain = low.strip(EDGE)
     found = [plain] if plain else []
     for form in {back.lstrip(at_front) for back in (low, low.rstrip(EDGE)) for at_front in ("", OPENING)}:
-        if (ODD.search(form) or len(PAIR.findall(form)) > 2) and wanted(form):
+        if _odd(form) and wanted(form):
             found += [w for w in decode(form, model).split() if w not in found]
     return found
 
@@ -201,9 +230,13 @@ class Scorer:
         or two, as nothing weighty begins like that.
         """
         spelt = {""}
-        for i in range(len(word)):
+        for i, sign in enumerate(word):
             further = set()
-            for letters, _ in _arcs(word, i, False):
+            if sign.isalpha() and word[i - 1 : i] != sign:
+                arcs = ((sign, 0.0),)
+            else:
+                arcs = _arcs(word, i, False)
+            for letters, _ in arcs:
                 for made in spelt:
                     made += letters
                     if made in self.begun:
