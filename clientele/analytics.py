@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 
 from clientele.config import AnalysisConfig
 from clientele.operators import discard_settled, settled_so_far
-from clientele.plans import churn, clv, growth, orders, quality, retention, rfm
+from clientele.plans import churn, clv, growth, keys, orders, quality, retention, rfm
 from clientele.plans.ordering import in_report_order
 from clientele.session import PLAN_SETTINGS, apply_settings
 from clientele.sources.schemas import Tables
@@ -18,6 +18,8 @@ from clientele.sources.schemas import Tables
 REPORTS = (
     "table_row_counts",
     "check_tables",
+    "key_candidates",
+    "key_inclusions",
     "customer_orders",
     "customer_monthly_orders",
     "cohort_retention_long",
@@ -143,3 +145,9 @@ class Analytics:
 
     def check_tables(self) -> DataFrame:
         return quality.check_tables(self.tables)
+
+    def key_candidates(self) -> DataFrame:
+        return keys.key_candidates(self.tables)
+
+    def key_inclusions(self) -> DataFrame:
+        return keys.key_inclusions(self.tables)

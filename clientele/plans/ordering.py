@@ -42,6 +42,8 @@ def report_order(report: str) -> list[Column]:
         "category_extremes": [F.col("product_category")],
         "table_row_counts": [F.col("table_name")],
         "check_tables": [F.col("table_name"), F.col("rule")],
+        "key_candidates": [F.col("table_name"), F.col("key_columns")],
+        "key_inclusions": [F.col(c) for c in ("child_table", "child_columns", "parent_table", "parent_columns")],
     }
     return orders[report]
 

@@ -378,7 +378,7 @@ FROM {SOURCES[table]} AS s WHERE {column} IS NULL"""
 FROM (SELECT 5 AS score FROM {REVIEWS})""",
 )
 # The same rules on tables without some parents and with some missing values.
-BROKEN_TABLES = f"""
+WITH_BROKEN = """
 WITH customer AS (SELECT * FROM main.customer WHERE c_mktsegment <> 'BUILDING'),
 orders AS (SELECT * FROM main.orders WHERE o_orderstatus <> 'P'),
 part AS (SELECT * FROM main.part WHERE p_type <> 'PROMO'),
@@ -386,7 +386,77 @@ lineitem AS (
   SELECT * REPLACE (CASE WHEN l_linenumber <> 3 THEN l_partkey END AS l_partkey)
   FROM main.lineitem
 )
-{union(PK_VIOLATIONS, FK_VIOLATIONS, VALUE_VIOLATIONS)}"""
+"""
+BROKEN_TABLES = WITH_BROKEN + union(PK_VIOLATIONS, FK_VIOLATIONS, VALUE_VIOLATIONS)
+
+# (table, columns, SQL of the columns); within a list all have the same types.
+COMPARABLE_KEYS = [
+    [
+        ("customers", "customer_id", "c_custkey"),
+        ("customers", "customer_unique_id", "c_custkey"),
+        ("orders", "order_id", "o_orderkey"),
+        ("orders", "customer_id", "o_custkey"),
+        ("products", "product_id", "p_partkey"),
+        ("order_items", "order_id", "l_orderkey"),
+        ("order_items", "product_id", "l_partkey"),
+        ("payments", "order_id", "l_orderkey"),
+        ("reviews", "order_id", "ord"),
+    ],
+    [("order_items", "order_item_id", "l_linenumber")],
+    [("reviews", "review_id", "review")],
+    [
+        ("order_items", "order_id, order_item_id", "l_orderkey, l_linenumber"),
+        ("payments", "order_id, payment_sequential", "l_orderkey, l_linenumber"),
+    ],
+]
+
+
+def filled(columns: str) -> str:
+    return " AND ".join(f"{column} IS NOT NULL" for column in columns.split(", "))
+
+
+def repeated(table: str, columns: str) -> str:
+    """Rows with a missing key, and rows beyond the first of each key."""
+    return f"""(SELECT count(*) - (SELECT count(*) FROM (SELECT DISTINCT {columns} FROM {SOURCES[table]} AS d
+  WHERE {filled(columns)})) FROM {SOURCES[table]} AS r)"""
+
+
+def declared_key(table: str, names: str) -> str:
+    return str(KEYS[table][0] == names)
+
+
+def key_candidate(table: str, names: str, columns: str) -> str:
+    there = f"SELECT * FROM {SOURCES[table]} AS s WHERE {filled(columns)}"
+    return f"""SELECT '{table}' AS table_name, '{names}' AS key_columns,
+       (SELECT count(*) FROM {SOURCES[table]} AS s) AS row_count,
+       (SELECT count(*) FROM {SOURCES[table]} AS s WHERE NOT ({filled(columns)})) AS missing,
+       (SELECT count(*) FROM (SELECT DISTINCT {columns} FROM ({there}))) AS distinct_values,
+       (SELECT CAST(coalesce(sum(k - 1), 0) AS BIGINT)
+        FROM (SELECT count(*) AS k FROM ({there}) GROUP BY {columns})) AS repeated_rows,
+       {repeated(table, columns)} = 0 AS is_key, {declared_key(table, names)} AS declared"""
+
+
+def key_inclusion(child: tuple[str, str, str], parent: tuple[str, str, str]) -> str:
+    referred = any((child[0], child[1], parent[0], parent[1]) == (c, n, p, n) for c, n, _, p, _ in PARENTS)
+    lost = f"""FROM {SOURCES[child[0]]} AS s WHERE {filled(child[2])} AND ({child[2]}) NOT IN
+  (SELECT {f"({parent[2]})" if ", " in parent[2] else parent[2]} FROM {SOURCES[parent[0]]} AS p WHERE {filled(parent[2])})"""
+    return f"""SELECT '{child[0]}' AS child_table, '{child[1]}' AS child_columns,
+       '{parent[0]}' AS parent_table, '{parent[1]}' AS parent_columns,
+       (SELECT count(*) FROM (SELECT DISTINCT {child[2]} {lost})) AS lost_values,
+       (SELECT count(*) {lost}) AS lost_rows, (SELECT count(*) {lost}) = 0 AS holds,
+       {repeated(parent[0], parent[2])} = 0 AS parent_is_key, {referred} AS declared"""
+
+
+KEY_CANDIDATES = union(*[key_candidate(*key) for group in COMPARABLE_KEYS for key in group])
+KEY_INCLUSIONS = union(
+    *[
+        key_inclusion(child, parent)
+        for group in COMPARABLE_KEYS
+        for child in group
+        for parent in group
+        if child[0] != parent[0]
+    ]
+)
 ROW_COUNTS = union(
     *[
         f"SELECT '{table}' AS table_name, count(*) AS row_count FROM {source} AS s"
@@ -501,6 +571,10 @@ SELECT count(*) AS active_customer_months FROM (
     "null_and_range_violations": VALUE_VIOLATIONS,
     "check_tables": union(PK_VIOLATIONS, FK_VIOLATIONS, VALUE_VIOLATIONS),
     "check_broken_tables": BROKEN_TABLES,
+    "key_candidates": KEY_CANDIDATES,
+    "key_inclusions": KEY_INCLUSIONS,
+    "key_candidates_of_broken_tables": WITH_BROKEN + KEY_CANDIDATES,
+    "key_inclusions_of_broken_tables": WITH_BROKEN + KEY_INCLUSIONS,
     "csv_reviews": CSV_REVIEWS,
     "csv_rejects": CSV_REJECTS,
     "insert_ignore": INSERT_IGNORE,
