@@ -23,6 +23,15 @@ START = (0.6, 0.2, 0.4)
 ROUNDS = 2
 STEP = 0.4
 SMOOTHING = 20.0
+# Hash values of the word before and of the word itself, for the choice within a class.
+BEFORE = 512
+SLOTS = 64
+# Its gradient rounds, which need no pass over the texts, their step, and the prior's weight.
+WORD_ROUNDS = 12
+WORD_STEP = 0.6
+RIDGE = 2.0
+# Marks words without training tokens, beside their context.
+UNKNOWN = np.uint16(0x8000)
 BLOCK_TOKENS = 2_000_000
 SLICE_BYTES = 8_000_000
 TASK_TOKENS = 4_000_000
@@ -49,6 +58,11 @@ def _tokens(column):
     return out, kind, lengths + 1
 
 
+def _context(hashes: np.ndarray) -> np.ndarray:
+    """Hash value of a word as a context; 0 is the beginning of a text."""
+    return (1 + mix(hashes) % np.uint64(BUCKETS - 1)).astype(np.uint16)
+
+
 def _range_of(hashes: np.ndarray, ranges: int) -> np.ndarray:
     return ((hashes >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
 
@@ -117,8 +131,8 @@ def _to_blocks(ranges: int):
 def _count_words(rows: pd.DataFrame) -> pd.DataFrame:
     """Corpus counts of a range's words, for each block that has them, and sums.
 
-    The row with block -1 holds the range's tokens and distinct words by ending, and
-    its most frequent words.
+    The row with block -1 holds the range's tokens and distinct words by ending, its
+    distinct words by ending and slot, and its most frequent words.
     """
     values = [np.frombuffer(v, np.uint64) for v in rows["vocabulary"]]
     counts = np.concatenate([np.frombuffer(c, np.uint32) for c in rows["counts"]]).astype(np.int64)
@@ -133,18 +147,40 @@ def _count_words(rows: pd.DataFrame) -> pd.DataFrame:
     sums = np.stack(
         [np.bincount(by_ending, total, ENDINGS), np.bincount(by_ending, total > 0, ENDINGS)]
     ).astype(np.int64)
+    known = total > 0
+    cells = np.bincount(_cell(by_ending[known], _context(words[known])), minlength=ENDINGS * SLOTS)
     out = pd.DataFrame({"block": rows["block"], "range": rows["range"], "counts": per_block})
-    out["top"] = None
+    out["top"], out["cells"] = None, None
     head = np.stack([words[top].view(np.int64), total[top], by_ending[top].astype(np.int64)])
     return pd.concat(
-        [out, pd.DataFrame([(-1, int(rows["range"].iloc[0]), sums.tobytes(), head.tobytes())], columns=out.columns)]
+        [
+            out,
+            pd.DataFrame(
+                [(-1, int(rows["range"].iloc[0]), sums.tobytes(), head.tobytes(), cells.astype(np.int64).tobytes())],
+                columns=out.columns,
+            ),
+        ]
     )
 
 
+def _cell(endings: np.ndarray, contexts: np.ndarray) -> np.ndarray:
+    """Number of an ending and the slot of a word in it."""
+    return endings.astype(np.int64) * SLOTS + contexts % SLOTS
+
+
+def _add_cells(frames):
+    """Sums of many ranges' cells, a row per task."""
+    total = np.zeros(ENDINGS * SLOTS, np.int64)
+    for frame in frames:
+        for cells in frame["cells"]:
+            total += np.frombuffer(cells, np.int64)
+    yield pd.DataFrame({"cells": [total.tobytes()]})
+
+
 class Vocabulary:
     """What holds for all words: counts of tokens and words, classes."""
 
-    def __init__(self, summaries: list):
+    def __init__(self, summaries: list, cells: list):
         sums = np.zeros((2, ENDINGS), np.int64)
         heads = []
         for row in summaries:
@@ -154,14 +190,12 @@ class Vocabulary:
         heads = np.concatenate(heads, axis=1) if heads else np.zeros((3, 0), np.int64)
         heads = heads[:, heads[1] > 0]
         best = heads[:, np.lexsort((heads[0], -heads[1]))[:TOP_WORDS]]
-        np.subtract.at(sums[0], best[2], best[1])
-        np.subtract.at(sums[1], best[2], 1)
+        # Distinct words by ending and slot, without those that are classes of their own.
+        self.cell_words = sum((np.frombuffer(row.cells, np.int64) for row in cells), np.zeros(ENDINGS * SLOTS, np.int64))
+        np.subtract.at(self.cell_words, _cell(best[2], _context(best[0].view(np.uint64))), 1)
         order = np.argsort(best[0].view(np.uint64))
         self.top = best[0].view(np.uint64)[order]
         self.top_class = order.astype(np.int64)
-        self.class_tokens = np.r_[np.zeros(TOP_WORDS, np.int64), sums[0]]
-        self.class_tokens[: best.shape[1]] = best[1]
-        self.class_words = sums[1]
 
     def classes(self, hashes: np.ndarray, endings: np.ndarray) -> np.ndarray:
         out = TOP_WORDS + endings.astype(np.int64)
@@ -171,11 +205,12 @@ class Vocabulary:
             out[is_top] = self.top_class[at[is_top]]
         return out
 
-    def log_within(self, classes: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """log10 P(word | class); all words of a class and one unknown word share it."""
-        ending = np.maximum(classes - TOP_WORDS, 0)
-        whole = self.class_tokens[classes] + self.class_words[ending] + 1
-        return np.where(classes < TOP_WORDS, 0.0, np.log10((counts + 1) / whole))
+    def log_weight(self, classes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """log10 of a word's weight in the softmax of its class, whatever stands before it.
+
+        Counts plus one are the weights that fit without a context; an unknown word has 1.
+        """
+        return np.where(classes < TOP_WORDS, 0.0, np.log10(counts + 1))
 
 
 _DOCS = (
@@ -199,15 +234,15 @@ def _resolve(vocabulary: Vocabulary):
             kind = vocabulary.classes(hashes, np.frombuffer(row.endings, np.uint8))
             whole = vocabulary.tokens + vocabulary.distinct + 1
             base = np.log10((seen + 1) / whole)
-            within = vocabulary.log_within(kind, seen)
-            context = 1 + mix(hashes) % np.uint64(BUCKETS - 1)
+            within = vocabulary.log_weight(kind, seen)
+            context = _context(hashes) | np.where(seen > 0, np.uint16(0), UNKNOWN)
             words = np.frombuffer(row.words, np.uint32)
             lengths = np.frombuffer(row.lengths, np.int64)
             starts = np.cumsum(lengths) - lengths
             sums = [np.add.reduceat(x[words], starts).astype(float).tobytes() for x in (seen > 0, base, within)]
             out.append((
                 row.ids, row.held, row.lengths, *sums,
-                kind.astype(np.uint8)[words].tobytes(), context.astype(np.uint16)[words].tobytes(),
+                kind.astype(np.uint8)[words].tobytes(), context[words].tobytes(),
             ))
         columns = ["ids", "held", "lengths", "known", "base", "within", "classes", "contexts"]
         return pd.DataFrame(out, columns=columns)
@@ -229,14 +264,23 @@ def _features(contexts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 def _portions(row):
-    """Classes, features and training marks of a block, a bounded number of tokens at once."""
+    """Classes, features, slots and training marks of a block, a bounded number of tokens at once."""
     lengths = np.frombuffer(row.lengths, np.int64)
     classes = np.frombuffer(row.classes, np.uint8).astype(np.int64)
-    found = _features(np.frombuffer(row.contexts, np.uint16), lengths)
+    contexts = np.frombuffer(row.contexts, np.uint16)
+    slots = np.where(contexts & UNKNOWN, SLOTS, contexts % SLOTS)
+    found = _features(contexts & ~UNKNOWN, lengths)
     learn = np.repeat(np.frombuffer(row.held, np.uint8) == 0, lengths)
     for at in range(0, len(classes), BLOCK_TOKENS):
         to = at + BLOCK_TOKENS
-        yield classes[at:to], found[:, at:to], learn[at:to]
+        yield classes[at:to], found[:, at:to], slots[at:to], learn[at:to]
+
+
+def _choices(classes: np.ndarray, found: np.ndarray, slots: np.ndarray):
+    """Tokens whose class has several words, and the weights that choose among these."""
+    at = np.flatnonzero(classes >= TOP_WORDS)
+    row = found[0][at] % BEFORE * ENDINGS + classes[at] - TOP_WORDS
+    return at, row * (SLOTS + 1) + slots[at]
 
 
 def _contexts(found: np.ndarray):
@@ -256,15 +300,18 @@ def _contexts(found: np.ndarray):
 
 
 def _observed(frames):
-    """How often each feature meets each class, in training texts."""
+    """How often each feature meets each class, and each word before each word, in training texts."""
     total = np.zeros((FEATURES, BUCKETS * CLASSES))
+    words = np.zeros(WORD_WEIGHTS, np.int64)
     for frame in frames:
         for row in frame.itertuples():
-            for classes, found, learn in _portions(row):
+            for classes, found, slots, learn in _portions(row):
+                words += np.bincount(_choices(classes[learn], found[:, learn], slots[learn])[1], minlength=WORD_WEIGHTS)
                 for k in range(FEATURES):
                     at = found[k][learn] * CLASSES + classes[learn]
                     total[k] += np.bincount(at, minlength=BUCKETS * CLASSES)
     yield from _send(total.reshape(FEATURES, BUCKETS, CLASSES))
+    yield from _send_words(words)
 
 
 def _logits(weights: np.ndarray, found: np.ndarray) -> np.ndarray:
@@ -316,7 +363,7 @@ def _expected(model):
         total = np.zeros((FEATURES, BUCKETS, CLASSES))
         for frame in frames:
             for row in frame.itertuples():
-                for _, found, learn in _portions(row):
+                for _, found, _, learn in _portions(row):
                     # A portion's sums are short enough for 32 bits.
                     first = np.zeros((FEATURES, BUCKETS, CLASSES), np.float32)
                     for kinds, times, _ in _contexts(found[:, learn]):
@@ -332,6 +379,9 @@ def _expected(model):
 
 
 _CHUNK = 256
+# Words before x endings x slots, the last one for an unknown word.
+WORD_WEIGHTS = BEFORE * ENDINGS * (SLOTS + 1)
+_WORD_CHUNK = WORD_WEIGHTS // 16
 
 
 def _send(total: np.ndarray):
@@ -344,22 +394,43 @@ def _send(total: np.ndarray):
     yield pd.DataFrame(out, columns=["kind", "at", "sums"])
 
 
+def _send_words(total: np.ndarray):
+    """Counts of a task that are not 0, with their places, as rows of a stretch of places each."""
+    out = []
+    for at in range(0, WORD_WEIGHTS, _WORD_CHUNK):
+        part = total[at : at + _WORD_CHUNK]
+        places = np.flatnonzero(part)
+        out.append((FEATURES, at, np.stack([places, part[places]]).astype(np.uint32).tobytes()))
+    yield pd.DataFrame(out, columns=["kind", "at", "sums"])
+
+
 def _add(rows: pd.DataFrame) -> pd.DataFrame:
+    first = rows.iloc[0]
+    if first.kind == FEATURES:
+        total = np.zeros(_WORD_CHUNK)
+        for sums in rows["sums"]:
+            places, counts = np.frombuffer(sums, np.uint32).reshape(2, -1)
+            total[places] += counts
+        return pd.DataFrame([(first.kind, first["at"], total.tobytes())], columns=rows.columns)
     total = np.zeros(_CHUNK * CLASSES)
     for sums in rows["sums"]:
         total += np.frombuffer(sums, np.float32)
-    first = rows.iloc[0]
     return pd.DataFrame([(first.kind, first["at"], total.tobytes())], columns=rows.columns)
 
 
-def _summed(rows: DataFrame, task) -> np.ndarray:
-    """Sum over all tasks; its size is that of the model."""
+def _summed(rows: DataFrame, task) -> tuple[np.ndarray, np.ndarray]:
+    """Sums over all tasks by feature and class, and by words; their size is that of the model."""
     kind = "kind int, at int, sums binary"
     parts = rows.mapInPandas(task, kind).groupBy("kind", "at").applyInPandas(_add, kind).collect()
     out = np.zeros((FEATURES, BUCKETS, CLASSES))
+    words = np.zeros(WORD_WEIGHTS)
     for part in parts:
-        out[part.kind, part["at"] : part["at"] + _CHUNK] = np.frombuffer(part.sums).reshape(_CHUNK, CLASSES)
-    return out
+        sums = np.frombuffer(part.sums)
+        if part.kind == FEATURES:
+            words[part["at"] : part["at"] + _WORD_CHUNK] = sums
+        else:
+            out[part.kind, part["at"] : part["at"] + _CHUNK] = sums.reshape(_CHUNK, CLASSES)
+    return out, words
 
 
 def _with_bias(weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
@@ -368,8 +439,38 @@ def _with_bias(weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
     return whole
 
 
-def train(rows: DataFrame, rounds: int = ROUNDS) -> np.ndarray:
-    """Weights (features x buckets x classes) from all training texts.
+def train_words(observed: np.ndarray, cell_words: np.ndarray) -> np.ndarray:
+    """What the context adds to the log of a word's weight, less the log of its class's sum.
+
+    P(word | class, word before) is a softmax over all words of the class and an unknown
+    one.  Its features are the word, whose weight is its count plus one, and the word
+    before with the word, hashed: words of a slot share a weight, so a sum over slots is
+    the sum over all words.  The gradient (observed less expected, less the prior's pull)
+    needs only how often each word before meets each slot.
+    """
+    observed = observed.reshape(BEFORE, ENDINGS, SLOTS + 1)
+    mass = np.ones((ENDINGS, SLOTS + 1))
+    mass[:, :SLOTS] = observed.sum(0)[:, :SLOTS] + cell_words.reshape(ENDINGS, SLOTS)
+    with np.errstate(divide="ignore"):
+        base = np.log(mass)
+    seen = observed.sum(2, keepdims=True)
+    weights = np.zeros(observed.shape)
+    for step in range(WORD_ROUNDS + 1):
+        z = weights + base
+        top = z.max(2, keepdims=True)
+        whole = top + np.log(np.exp(z - top).sum(2, keepdims=True))
+        if step == WORD_ROUNDS:
+            return (weights - whole).astype(np.float32).ravel()
+        share = np.exp(z - whole)
+        expected = seen * share
+        curve = expected * np.maximum(1 - share, 0.05) + RIDGE
+        # The unknown word has no feature with the word before.
+        move = WORD_STEP * np.clip((observed - expected - RIDGE * weights) / curve, -2, 2)
+        weights[:, :, :SLOTS] += move[:, :, :SLOTS]
+
+
+def train(rows: DataFrame, cell_words: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
+    """Weights (features x buckets x classes) and those of words, from all training texts.
 
     Every token has one value of the first feature, whose weights hold the bias.
 
@@ -377,7 +478,8 @@ def train(rows: DataFrame, rounds: int = ROUNDS) -> np.ndarray:
     expected counts of all tasks, and every weight takes a step along its gradient
     (observed less expected), scaled by its curvature.
     """
-    observed = _summed(rows, _observed)
+    observed, words = _summed(rows, _observed)
+    of_words = train_words(words, cell_words)
     per_class = observed[0].sum(0) + 0.5
     prior = per_class / per_class.sum()
     bias = np.log(prior)
@@ -387,12 +489,12 @@ def train(rows: DataFrame, rounds: int = ROUNDS) -> np.ndarray:
     context = rows.sparkSession.sparkContext
     for _ in range(rounds):
         model = context.broadcast(_with_bias(weights, bias))
-        expected = _summed(rows, _expected(model))
+        expected, _ = _summed(rows, _expected(model))
         share = expected / np.maximum(seen, 1)
         curve = expected * np.maximum(1 - share, 0.05) + SMOOTHING
         weights = weights + STEP * np.clip((observed - expected) / curve, -2, 2)
         model.destroy()
-    return _with_bias(weights, bias)
+    return _with_bias(weights, bias), of_words
 
 
 _SCORES = "id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
@@ -400,18 +502,20 @@ _SCORES = "id long, held_out boolean, n_tokens long, n_known long, base_score do
 
 def _score(model):
     def run(frames):
-        weights = model.value
+        weights, of_words = model.value
         for frame in frames:
             for row in frame.itertuples():
                 parts = []
-                for classes, found, _ in _portions(row):
+                for classes, found, slots, _ in _portions(row):
                     values = np.empty(len(classes))
                     for kinds, times, places in _contexts(found):
                         logp = log_probabilities(weights, kinds)
                         values[places] = logp[np.repeat(np.arange(len(times)), times), classes[places]]
+                    several, choice = _choices(classes, found, slots)
+                    values[several] += of_words[choice]
                     parts.append(values)
                 lengths = np.frombuffer(row.lengths, np.int64)
-                of_class = np.add.reduceat(np.concatenate(parts), np.cumsum(lengths) - lengths)
+                chosen = np.add.reduceat(np.concatenate(parts), np.cumsum(lengths) - lengths)
                 yield pd.DataFrame(
                     {
                         "id": pd.array(list(row.ids), "Int64"),
@@ -419,7 +523,7 @@ def _score(model):
                         "n_tokens": lengths,
                         "n_known": np.frombuffer(row.known).astype(np.int64),
                         "base_score": np.frombuffer(row.base),
-                        "score": of_class / math.log(10) + np.frombuffer(row.within),
+                        "score": chosen / math.log(10) + np.frombuffer(row.within),
                     }
                 )
 
@@ -437,9 +541,10 @@ def score_documents(
 
     Tokens are the words (A-Z lower-cased) and one end.  The base is the add-one
     unigram model of all texts that are not held out.  The score is the model's log10
-    probability: P(class | the two words before) * P(word | class), where a class is
-    one of the most frequent words or an ending, the first factor a softmax over
-    hashed n-gram and skip features, and the second add-one counts within the class.
+    probability: P(class | the two words before) * P(word | class, the word before),
+    where a class is one of the most frequent words or an ending, the first factor a
+    softmax over hashed n-gram and skip features, and the second one over all words of
+    the class and an unknown one, by the word itself and hashed word pairs.
 
     Null texts are empty (the end alone), a null id is not held out, rows that repeat
     count and are scored each; without training texts every word is unknown.  Words
@@ -447,7 +552,7 @@ def score_documents(
 
     1. Blocks of texts are numbered by a vocabulary of their own; its words go to
        ranges of hash values, which answer with counts over the whole corpus.
-    2. Blocks, now classes and contexts, train the softmax by summed gradients.
+    2. Blocks, now classes and contexts, train both softmaxes by summed gradients.
     3. Every block is scored, a softmax per different context.
     """
     spark = docs.sparkSession
@@ -463,11 +568,13 @@ def score_documents(
         words = made.filter("range >= 0").select("range", "block", "vocabulary", "endings", "counts")
         counted = scratch.store(
             words.groupBy("range").applyInPandas(
-                _count_words, "block long, range int, counts binary, top binary"
+                _count_words, "block long, range int, counts binary, top binary, cells binary"
             )
         )
         # A row per range, each of fixed size.
-        vocabulary = Vocabulary(counted.filter("block = -1").select("counts", "top").collect())
+        summaries = counted.filter("block = -1")
+        cells = summaries.select("cells").mapInPandas(_add_cells, "cells binary").collect()
+        vocabulary = Vocabulary(summaries.select("counts", "top").collect(), cells)
         blocks = made.filter("range = -1").select(
             "block", "ids", "held", "lengths", "words", "vocabulary", "endings"
         )
@@ -477,7 +584,7 @@ def score_documents(
             compression="zstd",
         )
         tasks = max(1, math.ceil(size / 6 / TASK_TOKENS))
-        model = spark.sparkContext.broadcast(train(ready.coalesce(tasks)))
+        model = spark.sparkContext.broadcast(train(ready.coalesce(tasks), vocabulary.cell_words))
         scored = ready.mapInPandas(_score(model), _SCORES)
         return scratch.keep(
             scored.select(

@@ -177,6 +177,29 @@ def test_probabilities_add_up(spark):
     assert sum(10 ** got[i] for i, _ in probes) < 1.0
 
 
+def test_the_word_before_chooses_among_the_words_of_a_class(spark):
+    filler = " ".join(f"f{i}" for i in range(40))
+    texts = [filler] * 500 + ["left p1zz"] * 300 + ["right q2zz"] * 300
+    probes = {-1: "left p1zz", -2: "left q2zz", -3: "right q2zz", -4: "right p1zz", -5: "left unseenzz"}
+    docs = spark.createDataFrame([*enumerate(texts), *probes.items()], "doc_id long, text string")
+    got = {r.doc_id: r.score for r in score_documents(docs, held=F.col("doc_id") < 0).collect()}
+    # All three words have one ending, and p1zz and q2zz are equally frequent.
+    assert got[-1] > got[-2] + 0.5 and got[-3] > got[-4] + 0.5
+    assert got[-2] > got[-5]
+
+
+def test_words_of_a_class_and_an_unknown_one_share_all_its_probability():
+    rng = np.random.default_rng(5)
+    shape = (language_model.BEFORE, language_model.ENDINGS, language_model.SLOTS + 1)
+    observed = rng.poisson(0.3, shape).astype(float)
+    observed[:, :, -1] = 0
+    cells = rng.integers(0, 5, shape[1:])[:, :-1].ravel()
+    weights = language_model.train_words(observed.ravel(), cells).reshape(shape)
+    # A slot's words have its tokens plus one each as their weights, the unknown word one.
+    mass = np.concatenate([observed.sum(0)[:, :-1] + cells.reshape(shape[1], -1), np.ones((shape[1], 1))], axis=1)
+    assert (mass * np.exp(weights)).sum(2) == pytest.approx(1, rel=1e-5)
+
+
 # --- HTML -------------------------------------------------------------------------
 
 
