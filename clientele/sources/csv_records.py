@@ -3,8 +3,8 @@
 A reader that follows the quotes from the start of a file needs one task for it.  Here
 the lines of all splits are read at once.  A line break ends a record if the quotes
 before it are even in number, so a first pass counts the quotes of every split, and a
-prefix sum over the splits of a file tells which of them begin inside a field.  Most
-lines then are whole records; the others are put together by the line that began them.
+prefix sum over the splits of a file tells which of them begin inside a field.  Each
+task then puts the lines of its splits together, in the order in which it reads them.
 
 Fields are quoted as in RFC 4180: a quote inside a field is doubled, and a field with
 quotes is quoted.
@@ -12,6 +12,7 @@ quotes is quoted.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -27,57 +28,121 @@ def _quotes(text: Column) -> Column:
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, split, place, value, quotes) of every line; place orders a split's lines."""
+    """(file, split, value, quotes) of every line, a split's lines in order in one task."""
     return spark.read.option("lineSep", "\n").text(path).select(
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("split"),
-        F.monotonically_increasing_id().alias("place"),
         "value",
         _quotes(F.col("value")).alias("quotes"),
     )
 
 
+class _Split:
+    """Lines of one split on their way into records."""
+
+    def __init__(self, part, inside, first):
+        self.part = part
+        # Quotes so far, those of earlier splits included; of interest is whether they are odd.
+        self.quotes = int(inside)
+        # Lines of the record that has not ended yet; whether it began in this split.
+        self.lines, self.began = [], False
+        # Whether the next record is the header.
+        self.header = first
+
+    def end(self, whole):
+        """(part, piece, record) of the lines kept; piece tells which end of the split it is."""
+        lines = [line for some in self.lines for line in some.to_pylist()]
+        self.lines = []
+        if not lines:
+            return
+        header, self.header = self.header and whole and len(lines) == 1, False
+        if not header:
+            yield self.part, None if whole and self.began else int(self.began), "\n".join(lines)
+
+    def add(self, values, quotes):
+        """Records that end before the last one that begins among these lines."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        sums = np.cumsum(quotes)
+        starts = np.flatnonzero((self.quotes + sums - quotes) % 2 == 0)
+        self.quotes += int(sums[-1])
+        if not len(starts):
+            self.lines.append(values)
+            return
+        self.lines.append(values.slice(0, starts[0]))
+        for part, piece, record in self.end(True):
+            yield [part], [piece], pa.array([record], pa.string())
+        low, high = int(starts[0]), int(starts[-1])
+        if high > low:
+            cuts = pa.array((starts - low).astype(np.int32))
+            records = pc.binary_join(pa.ListArray.from_arrays(cuts, values.slice(low, high - low)), "\n")
+            if self.header and starts[1] == low + 1:
+                records = records.slice(1)
+            self.header = False
+            yield [self.part] * len(records), [None] * len(records), records
+        self.lines, self.began = [values.slice(high)], True
+
+
+def _put_together(batches):
+    """Records of splits; those that a split has only in part, as pieces.
+
+    A split's lines come one after the other, so that what is kept is one record.
+    """
+    import pyarrow as pa
+
+    names = ["part", "piece", "record"]
+
+    def made(parts, pieces, records):
+        columns = [pa.array(parts, pa.int64()), pa.array(pieces, pa.int32()), records.cast(pa.string())]
+        return pa.RecordBatch.from_arrays(columns, names)
+
+    def ended(split):
+        for part, piece, record in split.end(split.quotes % 2 == 0) if split else ():
+            yield made([part], [piece], pa.array([record], pa.string()))
+
+    split = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        parts, quotes = (batch.column(c).to_numpy() for c in ("part", "quotes"))
+        borders = np.r_[0, np.flatnonzero(parts[1:] != parts[:-1]) + 1, len(parts)]
+        for low, high in zip(borders[:-1].tolist(), borders[1:].tolist(), strict=True):
+            if split is None or split.part != parts[low]:
+                yield from ended(split)
+                inside, first = (batch.column(c)[low].as_py() for c in ("inside", "first"))
+                split = _Split(int(parts[low]), inside, first)
+            for rows in split.add(batch.column("value").slice(low, high - low), quotes[low:high]):
+                yield made(*rows)
+    yield from ended(split)
+
+
 def csv_records(spark: SparkSession, path: str) -> DataFrame:
     """(file, record) of every record below the header of a file; blank ones are left out.
 
-    Lines are put in order within their split only, and a record's lines by record; no
-    task gets more than a split, however large the file is.
+    A task puts the lines of its splits together as it reads them; only records that
+    lie in several splits are shuffled, piece by piece.
     """
     lines = _lines(spark, path)
     by_split = Window.partitionBy("file").orderBy("split")
     before = by_split.rowsBetween(Window.unboundedPreceding, -1)
     splits = lines.groupBy("file", "split").agg(F.sum("quotes").alias("quotes"))
-    splits = splits.select("file", "split", F.coalesce(F.sum("quotes").over(before), F.lit(0)).alias("open"))
-
-    in_split = Window.partitionBy("file", "split").orderBy("place")
-    so_far = in_split.rowsBetween(Window.unboundedPreceding, -1)
-    begins = (F.col("open") + F.col("earlier")) % 2 == 0
-    numbered = lines.select(
-        "file", "split", "value", "quotes", "place",
-        F.row_number().over(in_split).alias("line"),
-        F.coalesce(F.sum("quotes").over(so_far), F.lit(0)).alias("earlier"),
-    )
-    marked = numbered.join(splits, ["file", "split"]).withColumn("begins", begins)
-    whole = F.col("begins") & (F.col("quotes") % 2 == 0)
-    started = F.last(F.when(F.col("begins"), F.col("line")), ignorenulls=True)
-    marked = marked.withColumn("whole", whole).withColumn("started", started.over(in_split))
-    marked = settle(marked.select("file", "split", "line", "value", "whole", "started"))
-
-    parts = marked.filter(~F.col("whole"))
+    inside = F.coalesce(F.sum("quotes").over(before), F.lit(0)) % 2 == 1
+    splits = splits.select("file", "split", inside.alias("inside"), (F.col("split") == 0).alias("first"))
+    splits = F.broadcast(settle(splits.withColumn("part", F.monotonically_increasing_id())))
+    # A broadcast join leaves the lines in order.
+    placed = lines.join(splits, ["file", "split"]).select("part", "inside", "first", "value", "quotes")
+    made = settle(placed.mapInArrow(_put_together, "part long, piece int, record string"))
+
     # A record that is open at the end of a split goes on in the next one.
-    last = parts.groupBy("file", "split").agg(F.max("started").alias("last"))
-    start = F.struct("split", F.col("last").alias("line"))
-    carried = last.select(
-        "file", "split",
-        F.last(F.when(F.col("last").isNotNull(), start), ignorenulls=True).over(before).alias("carried"),
-    )
-    own = F.when(F.col("started").isNotNull(), F.struct("split", F.col("started").alias("line")))
-    joined = parts.join(carried, ["file", "split"]).groupBy("file", F.coalesce(own, "carried").alias("start"))
-    pieces = F.sort_array(F.collect_list(F.struct("split", "line", "value")))
-    joined = joined.agg(F.array_join(F.transform(pieces, lambda p: p["value"]), "\n").alias("record"))
-    header = (F.col("split") == 0) & (F.col("line") == 1)
-    records = marked.filter(F.col("whole") & ~header).select("file", F.col("value").alias("record"))
-    records = records.unionByName(joined.select("file", "record"))
+    pieces = made.filter("piece is not null").join(splits.select("part", "file", "split"), "part")
+    number = F.sum("piece").over(Window.partitionBy("file").orderBy("split", "piece"))
+    numbers = pieces.select("part", "piece", number.alias("number"))
+    texts = F.sort_array(F.collect_list(F.struct("split", "piece", "record")))
+    joined = pieces.join(numbers, ["part", "piece"]).groupBy("file", "number").agg(texts.alias("texts"))
+    joined = joined.select("file", F.array_join(F.transform("texts", lambda p: p["record"]), "\n").alias("record"))
+    records = made.filter("piece is null").join(splits.select("part", "file"), "part").select("file", "record")
+    records = records.unionByName(joined)
     records = records.select("file", F.regexp_replace("record", "\r$", "").alias("record"))
     return records.filter("record != ''")
 

@@ -7,6 +7,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from clientele.operators.settling import settle
+from clientele.plans.measure import plan_nodes
+from clientele.sources import csv_records as module
 from clientele.sources.csv_records import csv_records
 from clientele.sources.storage import read_csv, read_csv_with_rejects
 
@@ -69,6 +72,18 @@ def test_lines_are_not_gathered_into_one_task(spark, tmp_path, small_splits):
     assert records.count() == 400
 
 
+def test_lines_become_records_where_they_are_read(spark, tmp_path, small_splits, monkeypatch):
+    rows = some_rows(random.Random(4), 300)
+    (tmp_path / "one.csv").write_text(as_csv(rows), newline="")
+    settled = []
+    monkeypatch.setattr(module, "settle", lambda frame: settled.append(frame) or settle(frame))
+    assert csv_records(spark, str(tmp_path)).count() == 300
+    with_texts = [frame for frame in settled if {"value", "record"} & set(frame.columns)]
+    assert with_texts
+    for frame in with_texts:
+        assert plan_nodes(frame, "Exchange") == plan_nodes(frame, "Sort") == 0
+
+
 def broken_file(rng):
     """Lines of payments, and what each record should lead to."""
     lines, causes = [], []
