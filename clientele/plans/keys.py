@@ -53,54 +53,71 @@ def _kinds(tables: Tables, candidates: Sequence[Candidate]) -> list[str]:
     return [",".join(schemas[c.table][column] for column in c.columns) for c in candidates]
 
 
+def _places(kinds: Sequence[str]) -> list[tuple[int, int]]:
+    """(number of its kind, place among the candidates of its kind) of each candidate.
+
+    A value is counted for the candidates of its kind only, so kinds share the counters.
+    """
+    order = list(dict.fromkeys(kinds))
+    return [(order.index(kind), list(kinds[:i]).count(kind)) for i, kind in enumerate(kinds)]
+
+
 def _value(columns: Sequence[str]) -> Column:
     """The value as text; null if a column is, as SQL takes a key with a missing part."""
     texts = [F.col(column).cast("string") for column in columns]
     if len(texts) == 1:
         return texts[0]
-    missing = reduce(Column.__or__, [text.isNull() for text in texts])
-    return F.when(~missing, F.to_json(F.array(*texts)))
+    # The length before each text tells where it ends, whatever it holds.
+    return F.concat(*[part for text in texts for part in (F.length(text).cast("string"), F.lit(":"), text)])
 
 
 def _occurrences(tables: Tables, candidates: Sequence[Candidate]) -> DataFrame:
-    """(kind, value, n0, n1, ...): how often each candidate has each value."""
-    kinds = _kinds(tables, candidates)
+    """(kind, value, n0, n1, ...): how often each candidate of a kind has each of its values."""
+    places = _places(_kinds(tables, candidates))
     frames = tables.named()
     parts = []
     for table in dict.fromkeys(c.table for c in candidates):
         values = [
-            F.struct(F.lit(i).alias("at"), F.lit(kinds[i]).alias("kind"), _value(c.columns).alias("value"))
+            F.struct(F.lit(places[i][1]).alias("at"), F.lit(places[i][0]).alias("kind"), _value(c.columns).alias("value"))
             for i, c in enumerate(candidates)
             if c.table == table
         ]
         parts.append(frames[table].select(F.inline(F.array(*values))))
-    counts = [F.count_if(F.col("at") == i).alias(f"n{i}") for i in range(len(candidates))]
+    counts = [F.count_if(F.col("at") == i).alias(f"n{i}") for i in range(1 + max(at for _, at in places))]
     return reduce(DataFrame.unionByName, parts).groupBy("kind", "value").agg(*counts)
 
 
 def _patterns(tables: Tables, candidates: Sequence[Candidate]) -> DataFrame:
     """Values that the same candidates have, put together.
 
-    One row per set of candidates that share values, nulls apart: ``values``, and for each
-    candidate its rows (n0, ...) and those beyond the first of each value (extra0, ...).  There
-    are few such sets, whatever the tables hold; one without rows makes empty tables count.
+    One row per kind and set of candidates that share values, nulls apart: ``values``, and for
+    each candidate of the kind its rows (n0, ...) and those beyond the first of each value
+    (extra0, ...).  There are few such sets, whatever the tables hold; one of each kind without
+    rows makes empty tables count.
     """
     found = _occurrences(tables, candidates)
-    slots = range(len(candidates))
-    nothing = found.sparkSession.range(1).select(
-        *[F.lit(None).cast("string").alias(c) for c in ("kind", "value")],
+    slots = range(len(found.columns) - 2)
+    nothing = found.sparkSession.range(len(set(_kinds(tables, candidates)))).select(
+        F.col("id").cast("int").alias("kind"),
+        F.lit(None).cast("string").alias("value"),
         *[F.lit(0).cast("bigint").alias(f"n{i}") for i in slots],
     )
     held = F.array(*[F.col(f"n{i}") > 0 for i in slots]).alias("held")
     sums = [F.sum(f"n{i}").alias(f"n{i}") for i in slots]
     extra = [F.sum(F.greatest(F.col(f"n{i}") - 1, F.lit(0))).alias(f"extra{i}") for i in slots]
     absent = F.col("value").isNull().alias("absent")
-    return found.unionByName(nothing).groupBy(absent, held).agg(F.count("*").alias("values"), *sums, *extra)
+    return found.unionByName(nothing).groupBy("kind", absent, held).agg(F.count("*").alias("values"), *sums, *extra)
+
+
+def _rows(place: tuple[int, int]) -> Column:
+    """Rows of a candidate with the values of a set."""
+    return F.when(F.col("kind") == place[0], F.col(f"n{place[1]}")).otherwise(0)
 
 
-def _unfit(i: int) -> Column:
+def _unfit(place: tuple[int, int]) -> Column:
     """Rows that keep a candidate from being a key."""
-    return F.when(F.col("absent"), F.col(f"n{i}")).otherwise(F.col(f"extra{i}"))
+    unfit = F.when(F.col("absent"), F.col(f"n{place[1]}")).otherwise(F.col(f"extra{place[1]}"))
+    return F.when(F.col("kind") == place[0], unfit).otherwise(0)
 
 
 def key_candidates(tables: Tables, candidates: Sequence[Candidate] | None = None) -> DataFrame:
@@ -110,14 +127,15 @@ def key_candidates(tables: Tables, candidates: Sequence[Candidate] | None = None
     first of each value.  An empty table has no repeated value, so its candidates are keys.
     """
     candidates = id_candidates() if candidates is None else tuple(candidates)
+    places = _places(_kinds(tables, candidates))
     names = ["table_name", "key_columns", "declared"]
     parts = [
         F.struct(
             F.lit(c.table).alias("table_name"),
             F.lit(c.label).alias("key_columns"),
             F.lit(c.declared).alias("declared"),
-            F.col(f"n{i}").alias("n"),
-            _unfit(i).alias("unfit"),
+            _rows(places[i]).alias("n"),
+            _unfit(places[i]).alias("unfit"),
         )
         for i, c in enumerate(candidates)
     ]
@@ -141,13 +159,18 @@ def key_inclusions(tables: Tables, candidates: Sequence[Candidate] | None = None
     """
     candidates = id_candidates() if candidates is None else tuple(candidates)
     kinds = _kinds(tables, candidates)
+    # What no other table has a column like is in no pair, and need not be counted.
+    users = {kind: {c.table for c, k in zip(candidates, kinds, strict=True) if k == kind} for kind in kinds}
+    candidates = tuple(c for c, kind in zip(candidates, kinds, strict=True) if len(users[kind]) > 1)
+    kinds = [kind for kind in kinds if len(users[kind]) > 1]
+    places = _places(kinds)
     names = ["child_table", "child_columns", "parent_table", "parent_columns", "declared"]
     parts = []
     for i, child in enumerate(candidates):
         for j, parent in enumerate(candidates):
             if child.table == parent.table or kinds[i] != kinds[j]:
                 continue
-            lost = ~F.col("absent") & (F.col(f"n{i}") > 0) & (F.col(f"n{j}") == 0)
+            lost = ~F.col("absent") & (_rows(places[i]) > 0) & (_rows(places[j]) == 0)
             parts.append(
                 F.struct(
                     F.lit(child.table).alias("child_table"),
@@ -156,8 +179,8 @@ def key_inclusions(tables: Tables, candidates: Sequence[Candidate] | None = None
                     F.lit(parent.label).alias("parent_columns"),
                     F.lit(child.refers_to(parent)).alias("declared"),
                     F.when(lost, F.col("values")).otherwise(0).alias("lost_values"),
-                    F.when(lost, F.col(f"n{i}")).otherwise(0).alias("lost_rows"),
-                    _unfit(j).alias("unfit"),
+                    F.when(lost, _rows(places[i])).otherwise(0).alias("lost_rows"),
+                    _unfit(places[j]).alias("unfit"),
                 )
             )
     if not parts:

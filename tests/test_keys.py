@@ -7,6 +7,7 @@ import pytest
 from helpers import make_tables
 from pyspark.sql import functions as F
 
+from clientele.plans import keys
 from clientele.plans.keys import Candidate, id_candidates, key_candidates, key_inclusions
 from clientele.plans.measure import plan_nodes
 
@@ -92,3 +93,28 @@ def test_one_grouped_pass(spark, tables, tmp_path):
         # By value, by the candidates that share it, and the totals; each after partial sums.
         assert plan_nodes(plan, "Exchange") == 3
         assert plan_nodes(plan, "SortMergeJoin") + plan_nodes(plan, "BroadcastHashJoin") == 0
+
+
+def test_only_what_pairs_need_is_counted(tables, monkeypatch):
+    """Counters of one kind of values, and no column whose type no other table has."""
+    counted = []
+    occurrences = keys._occurrences
+
+    def watched(tables, candidates):
+        counted.append((candidates, occurrences(tables, candidates)))
+        return counted[-1][1]
+
+    monkeypatch.setattr(keys, "_occurrences", watched)
+    assert key_inclusions(tables).count() > 0
+    candidates, found = counted[0]
+    assert ("order_item_id",) not in {c.columns for c in candidates}
+    single = [c for c in candidates if len(c.columns) == 1]
+    assert len(found.columns) == 2 + len(single) < 2 + len(candidates)
+
+
+def test_parts_of_a_key_are_told_apart(spark):
+    items = [("1:1", 1, "p", "1.00", "0.00"), ("1", 11, "p", "1.00", "0.00"), ("1,1", 1, "p", "1.00", "0.00")]
+    chosen = [Candidate("order_items", ("order_id", "product_id"))]
+    rows = [*items, ("1", 2, "1:p", "1.00", "0.00"), ("11:", 2, "p", "1.00", "0.00")]
+    found = key_candidates(make_tables(spark, items=rows), chosen).first()
+    assert (found.distinct_values, found.is_key) == (5, True)
