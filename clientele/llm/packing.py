@@ -16,7 +16,7 @@ from clientele.llm.common import Scratch, text_or_empty
 CAPACITY = 4096
 END_ID = 1
 # Words whose ids a task remembers at once.
-CACHED_WORDS = 500_000
+CACHED_WORDS = 250_000
 # Pieces of a leaf on average, and nodes that meet in one of the next level.
 LEAF_ITEMS = 100_000
 FAN_IN = 8

@@ -19,6 +19,8 @@ from clientele.llm.common import text_or_empty
 TRAINING_ROWS = 20_000
 # Words whose weight a task remembers at once.
 CACHED_WORDS = 200_000
+# Words whose trigrams a task counts at once: the arrays take about 1 kB a word.
+FOLDED_WORDS = 30_000
 
 # What a sign may stand for in disguised words.
 LEET = {
@@ -82,7 +84,7 @@ def trigram_counts(batches):
     for batch in batches:
         for text in batch.column("text"):
             words.update(text.as_py().split())
-            if len(words) > CACHED_WORDS:
+            if len(words) >= FOLDED_WORDS:
                 fold()
     fold()
     yield pa.RecordBatch.from_arrays(

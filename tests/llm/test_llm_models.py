@@ -3,17 +3,19 @@
 import html
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from clientele.llm import html_text, language_model, toxicity
 from clientele.llm.html_text import PAIR_PRIOR, PRIOR, Forest, Page, extract, fit, main_text
 from clientele.llm.language_model import score_documents
-from clientele.llm.toxicity import CharacterModel, decode, restored_words
+from clientele.llm.toxicity import LETTERS, CharacterModel, decode, restored_words
 
 DATA = "/root/testdata/sf0.01"
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -114,6 +116,21 @@ def test_toxicity_of_held_out_rows_and_odd_ones(spark):
     assert kept.count() == sum(1 for r in got if not r.predicted)
 
 
+def test_trigrams_are_counted_in_little_memory(monkeypatch):
+    words = [f"{a}{b}{c}{d}stems" for a in LETTERS for b in LETTERS for c in LETTERS[:10] for d in LETTERS[:20]]
+    batches = [pa.RecordBatch.from_arrays([pa.array([" ".join(words[i : i + 500])])], ["text"]) for i in range(0, len(words), 500)]
+    tracemalloc.start()
+    (found,) = toxicity.trigram_counts(batches)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 60e6
+    expected = Counter(w[i : i + 3] for w in (f"  {w} " for w in words) for i in range(len(w) - 2))
+    assert dict(zip(found["gram"].to_pylist(), found["n"].to_pylist(), strict=True)) == expected
+    monkeypatch.setattr(toxicity, "FOLDED_WORDS", 700)
+    (other,) = toxicity.trigram_counts(batches)
+    assert dict(zip(other["gram"].to_pylist(), other["n"].to_pylist(), strict=True)) == expected
+
+
 def test_toxicity_without_labels_or_rows(spark):
     docs, labels = toxic_table(spark)
     none = toxicity.toxicity(docs.limit(3), labels.limit(0)).collect()
