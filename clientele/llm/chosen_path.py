@@ -45,6 +45,9 @@ OUTSIDE = 128
 # least similarity fall below that once in 800,000.
 SKETCH, AGREE = 32, 14
 SLICE_BYTES = 1_000_000
+# Tokens of the members that a task compares with a node's outsiders at once, and of a portion
+# of a node's members.
+SLICE_TOKENS, PORTION_TOKENS = 1 << 15, 1 << 17
 
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 _AGAIN = np.uint64(0xBF58476D1CE4E5B9)
@@ -200,28 +203,44 @@ def _with_pivot(percent: int):
     return run
 
 
-def _with_outsiders(percent: int):
-    """Pairs of members of nodes with those outside the node's main component."""
+def _outsider_links(percent: int):
+    """Components that links of members with outsiders connect, by their full sets.
+
+    A row lists some members of a node and the outsiders of all its members; each pair of
+    components is given once.
+    """
 
     def run(batches):
         import pyarrow as pa
 
-        # A few rows at a time, as each carries a list.
-        for part in (b.slice(i, 1000) for b in batches for i in range(0, b.num_rows, 1000)):
-            lists = part.column("members")
-            owner = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
-            lists = lists.flatten()
-            a, n, comp = (part.column(c).to_numpy()[owner] for c in ("rep", "n", "comp"))
-            b, m, other = (lists.field(c).to_numpy(zero_copy_only=False) for c in ("rep", "n", "comp"))
-            near = (comp != other) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
-            one, two = (
-                np.frombuffer(b"".join(x.to_pylist()), np.uint8).reshape(-1, SKETCH)
-                for x in (part.column("sketch"), lists.field("sketch"))
-            )
-            near = np.flatnonzero(near)
-            near = near[(one[owner[near]] == two[near]).sum(axis=1) >= AGREE]
-            a, b = a[near], b[near]
-            pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
+        for rows in (b.column("rows")[i].values for b in batches for i in range(b.num_rows)):
+            sets, comps = rows.field("hashes").to_pylist(), rows.field("comp").to_numpy()
+            out = rows.field("out").to_numpy(zero_copy_only=False)
+            sizes = np.array([len(s) // 8 for s in sets], np.int64)
+            # No count of common tokens exceeds the largest set.
+            kind = np.uint16 if sizes.max() < 1 << 16 else np.int32
+            mine, others = np.flatnonzero(~out), np.flatnonzero(out)
+            cuts = np.flatnonzero(np.diff(np.cumsum(sizes[mine]) // SLICE_TOKENS)) + 1
+            found = [np.zeros((0, 2), np.int64)]
+            for at in range(0, len(others), 64):
+                block = others[at : at + 64]
+                tokens, place = np.unique(np.frombuffer(b"".join(sets[i] for i in block), np.uint64), return_inverse=True)
+                # Which of the block's sets hold a token; the last line is for unknown tokens.
+                holds = np.zeros((len(tokens) + 1, len(block)), kind)
+                holds[place, np.repeat(np.arange(len(block)), sizes[block])] = 1
+                for some in np.split(mine, cuts):
+                    if not len(some):
+                        continue
+                    held = np.frombuffer(b"".join(sets[i] for i in some), np.uint64)
+                    line = np.searchsorted(tokens, held)
+                    line[tokens[np.minimum(line, len(tokens) - 1)] != held] = len(tokens)
+                    n = sizes[some]
+                    both = np.add.reduceat(holds[line], np.cumsum(n) - n, axis=0, dtype=kind).astype(np.int64)
+                    linked = 100 * both >= percent * (n[:, None] + sizes[block] - both)
+                    linked &= comps[some][:, None] != comps[block]
+                    one, two = np.nonzero(linked)
+                    found.append(np.stack([comps[some][one], comps[block][two]], axis=1))
+            pairs = np.unique(np.sort(np.concatenate(found), axis=1), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
     return run
@@ -378,25 +397,43 @@ class _Search:
         found = components(links, self.scratch)
         self.comps = found.withColumnsRenamed({"node": "rep", "component": "comp"})
 
-    def closing(self, large: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """(open pairs of nodes with one main component, rows of the other nodes).
+    def close(self, large: DataFrame) -> DataFrame:
+        """Finish nodes with one main component; returns the rows of the other nodes.
 
         Where at most OUTSIDE members are outside the main component, each of them is compared
-        with all members, and nothing is left to find in the node.
+        with all members, and nothing is left to find in the node.  Members come in portions
+        with all outsiders, and only what is connected leaves the tasks, not the pairs.
         """
         parts = large.groupBy("path", "comp").agg(F.count(F.lit(1)).alias("members"))
         nodes = parts.groupBy("path").agg(
             F.sum("members").alias("members"), F.max(F.struct("members", "comp")).alias("main")
         )
-        close = self.scratch.store(
-            nodes.filter(F.col("members") - F.col("main.members") <= OUTSIDE).select("path", F.col("main.comp").alias("main"))
+        outside = (F.col("members") - F.col("main.members")).alias("outside")
+        nodes = nodes.select("path", "members", outside, F.col("main.comp").alias("main"))
+        nodes = self.scratch.store(nodes.filter(F.col("outside") <= OUTSIDE))
+        rows = self.scratch.store(large.join(nodes.select("path", "main"), "path").select("path", "main", "rep", "n", "comp"))
+        # Several trees put much the same documents together: nodes with the same main component
+        # are taken as one, unless that makes many more pairs.
+        pairs = nodes.groupBy("main").agg(F.sum(F.col("members") * F.col("outside")).alias("pairs"))
+        joint = rows.groupBy("main", "rep").agg(F.max("comp").alias("comp")).groupBy("main").agg(
+            F.count(F.lit(1)).alias("members"), F.count(F.when(F.col("comp") != F.col("main"), 1)).alias("outside")
         )
-        rows = large.join(close, "path")
-        members = F.collect_list(F.struct("rep", "n", "sketch", "comp")).alias("members")
-        outside = rows.filter("comp != main").groupBy("path").agg(members)
-        found = rows.join(outside, "path").select("rep", "n", "sketch", "comp", "members")
-        found = found.mapInArrow(_with_outsiders(self.percent), "a long, b long")
-        return self.scratch.store(found.distinct()), large.join(close, "path", "left_anti")
+        joint = joint.join(pairs, "main").filter("members * outside <= 2 * pairs").select("main", F.lit(True).alias("joint"))
+        joint = rows.join(joint, "main", "left").withColumn("joint", F.coalesce("joint", F.lit(False)))
+        node = F.when(F.col("joint"), F.col("main")).otherwise(F.col("path")).alias("node")
+        joint = joint.groupBy("joint", node, "main", "rep", "comp").agg(F.max("n").alias("n"))
+        joint = self.scratch.store(joint)
+        wide = joint.groupBy("joint", "node").agg(F.ceil(F.sum("n") / PORTION_TOKENS).cast("int").alias("wide"))
+        joint = joint.join(wide, ["joint", "node"])
+        portion = F.pmod(F.xxhash64("rep"), F.col("wide")).cast("int").alias("portion")
+        members = joint.select("joint", "node", portion, "rep", "comp", F.lit(False).alias("out"))
+        every = F.explode(F.sequence(F.lit(0), F.col("wide") - 1)).alias("portion")
+        others = joint.filter("comp != main").select("joint", "node", every, "rep", "comp", F.lit(True).alias("out"))
+        listed = F.collect_list(F.struct("comp", "out", "hashes")).alias("rows")
+        found = members.unionByName(others).join(self.sets, "rep").groupBy("joint", "node", "portion").agg(listed)
+        found = found.select("rows").mapInArrow(_outsider_links(self.percent), "a long, b long")
+        self.connect(self.scratch.store(found.distinct()))
+        return large.join(nodes, "path", "left_anti")
 
     def tiles(self, large: DataFrame) -> DataFrame:
         """All pairs of large nodes that may link, tile by tile."""
@@ -465,8 +502,7 @@ def chosen_path_duplicates(
             large = search.divided(large.select("path", "rep", "n", "sketch"))[1]
             if large.isEmpty():
                 break
-            open_pairs, large = search.closing(large)
-            search.confirm(open_pairs)
+            large = search.close(large)
             if large.isEmpty():
                 break
             if level == MORE_LEVELS:

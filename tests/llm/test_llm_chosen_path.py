@@ -5,10 +5,11 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from clientele.llm import chosen_path as module
-from clientele.llm.chosen_path import RECALL, _alike, _paths, _sketches, chosen_path_duplicates, survival
+from clientele.llm.chosen_path import RECALL, _alike, _outsider_links, _paths, _sketches, chosen_path_duplicates, survival
 from clientele.llm.common import mix
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -135,3 +136,50 @@ def test_deeper_paths_are_the_same_for_a_set_in_any_company():
     for i, s in enumerate(sets):
         alone = _paths(s, np.array([len(s)]), 5, 3, 80)[1]
         assert sorted(alone.tolist()) == sorted(node[owner == i].tolist())
+
+
+def test_members_and_outsiders_give_each_pair_of_components_once(monkeypatch):
+    monkeypatch.setattr(module, "SLICE_TOKENS", 200)
+    rng = np.random.default_rng(9)
+    base = rng.integers(1, 2**63, 60, dtype=np.uint64)
+    sets = [np.unique(np.r_[base[rng.integers(0, 8) :], rng.integers(1, 2**63, rng.integers(1, 9), dtype=np.uint64)]) for _ in range(160)]
+    comps = [int(c) for c in rng.integers(0, 12, 160)]
+    rows = [{"comp": c, "out": out, "hashes": s.tobytes()} for s, c in zip(sets, comps, strict=True) for out in (False, c > 3)[: 1 + (c > 3)]]
+    kind = pa.list_(pa.struct([("comp", pa.int64()), ("out", pa.bool_()), ("hashes", pa.binary())]))
+    batch = pa.RecordBatch.from_arrays([pa.array([rows[:3], rows], kind).slice(1)], ["rows"])
+    (found,) = _outsider_links(80)([batch])
+    expected = set()
+    for s, c in zip(sets, comps, strict=True):
+        for t, d in zip(sets, comps, strict=True):
+            both = len(np.intersect1d(s, t))
+            if d > 3 and c != d and 100 * both >= 80 * (len(s) + len(t) - both):
+                expected.add((min(c, d), max(c, d)))
+    pairs = list(zip(found["a"].to_pylist(), found["b"].to_pylist(), strict=True))
+    assert len(pairs) == len(set(pairs)) and set(pairs) == expected
+
+
+def test_near_copies_that_do_not_link_leave_no_pairs(spark, monkeypatch):
+    # 400 near copies and 60 texts that share two thirds of them and link with nothing.
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(120)]
+    texts = []
+    for i in range(400):
+        copy = list(base)
+        copy[rng.randrange(120)] = f"own{i}"
+        texts.append(copy)
+    for i in range(60):
+        texts.append(base[:100] + [f"tail{i}_{j}" for j in range(20)])
+    rows = [(i + 1, " ".join(t)) for i, t in enumerate(texts)]
+    stored = []
+    store = module.Scratch.store
+
+    def counted(self, frame, **options):
+        table = store(self, frame, **options)
+        stored.append((sorted(table.columns), table.count()))
+        return table
+
+    monkeypatch.setattr(module.Scratch, "store", counted)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in chosen_path_duplicates(docs).collect()}
+    assert got == by_pairs(rows)
+    assert max(n for columns, n in stored if columns == ["a", "b"]) < 20 * len(rows), stored
