@@ -9,9 +9,9 @@ down, while less similar ones part.  Several independent trees raise the share o
 that meet in a leaf to ``RECALL``.
 
 Small nodes are leaves: all their pairs are compared.  Near copies in great number never
-part, so a large node first compares all its documents with one of them.  If links then
-connect all but a few, these few are compared with all and nothing is left to find in it;
-otherwise it goes on to branch.  At the last depth it is compared exhaustively, in tiles.  Compared pairs are first judged by
+part, so a large node first compares all its documents with one of them.  If at most some
+thousands are not connected by links then, these are compared with all and nothing is left
+to find in it; otherwise it goes on to branch.  At the last depth it is compared exhaustively, in tiles.  Compared pairs are first judged by
 sketches; what may link is confirmed on the full sets.
 """
 
@@ -39,15 +39,16 @@ LEAF = 48
 THINNING = 128
 # Levels below that depth on which large nodes branch before they are compared in tiles.
 MORE_LEVELS = 3
-# Members outside a large node's main component that are compared with all of it, at most.
-OUTSIDE = 128
+# Members outside a large node's main component that are compared with all of it, at most, and
+# their tokens; FEW of them are however many tokens they have.
+OUTSIDE, OUTSIDE_TOKENS, FEW = 4096, 1 << 19, 128
 # Bytes of a sketch, each of one minwise token; and how many must agree.  Pairs of the
 # least similarity fall below that once in 800,000.
 SKETCH, AGREE = 32, 14
 SLICE_BYTES = 1_000_000
 # Tokens of the members that a task compares with a node's outsiders at once, and of a portion
-# of a node's members.
-SLICE_TOKENS, PORTION_TOKENS = 1 << 15, 1 << 17
+# of a node's members or outsiders, where a set counts SHORT tokens at least.
+SLICE_TOKENS, PORTION_TOKENS, SHORT = 1 << 15, 1 << 18, 128
 
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 _AGAIN = np.uint64(0xBF58476D1CE4E5B9)
@@ -206,7 +207,7 @@ def _with_pivot(percent: int):
 def _outsider_links(percent: int):
     """Components that links of members with outsiders connect, by their full sets.
 
-    A row lists some members of a node and the outsiders of all its members; each pair of
+    A row lists some members of a node and some or all of its outsiders; each pair of
     components is given once.
     """
 
@@ -246,6 +247,35 @@ def _outsider_links(percent: int):
     return run
 
 
+def _star(pairs: np.ndarray) -> np.ndarray:
+    """Pairs that connect the same numbers, each with the smallest that it hangs together with."""
+    ends, at = np.unique(pairs, return_inverse=True)
+    a, b = at.reshape(-1, 2).T
+    low, was = np.arange(len(ends)), None
+    while was is None or (low != was).any():
+        was, low = low, low.copy()
+        least = np.minimum(was[a], was[b])
+        np.minimum.at(low, was[a], least)
+        np.minimum.at(low, was[b], least)
+        while (low[low] != low).any():
+            low = low[low]
+    other = low != np.arange(len(ends))
+    return np.stack([ends[low[other]], ends[other]], axis=1)
+
+
+def _outsider_stars(percent: int):
+    """Like ``_outsider_links``, with one pair for each component that a row's links connect."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for found in _outsider_links(percent)(batches):
+            pairs = _star(np.stack([found.column(c).to_numpy() for c in ("a", "b")], axis=1))
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+    return run
+
+
 def _sets(words: int):
     def run(batches):
         import pyarrow as pa
@@ -401,16 +431,20 @@ class _Search:
         """Finish nodes with one main component; returns the rows of the other nodes.
 
         Where at most OUTSIDE members are outside the main component, each of them is compared
-        with all members, and nothing is left to find in the node.  Members come in portions
-        with all outsiders, and only what is connected leaves the tasks, not the pairs.
+        with all members, and nothing is left to find in the node.  Portions of members meet
+        portions of outsiders, and only what is connected leaves the tasks, not the pairs.
         """
-        parts = large.groupBy("path", "comp").agg(F.count(F.lit(1)).alias("members"))
+        parts = large.groupBy("path", "comp").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("tokens"))
         nodes = parts.groupBy("path").agg(
-            F.sum("members").alias("members"), F.max(F.struct("members", "comp")).alias("main")
+            F.sum("members").alias("members"),
+            F.sum("tokens").alias("tokens"),
+            F.max(F.struct("members", "comp", "tokens")).alias("main"),
         )
         outside = (F.col("members") - F.col("main.members")).alias("outside")
-        nodes = nodes.select("path", "members", outside, F.col("main.comp").alias("main"))
-        nodes = self.scratch.store(nodes.filter(F.col("outside") <= OUTSIDE))
+        tokens = F.col("tokens") - F.col("main.tokens")
+        few = (F.col("outside") <= FEW) | (F.col("tokens") <= OUTSIDE_TOKENS)
+        nodes = nodes.select("path", "members", outside, tokens.alias("tokens"), F.col("main.comp").alias("main"))
+        nodes = self.scratch.store(nodes.filter(few & (F.col("outside") <= OUTSIDE)).drop("tokens"))
         rows = self.scratch.store(large.join(nodes.select("path", "main"), "path").select("path", "main", "rep", "n", "comp"))
         # Several trees put much the same documents together: nodes with the same main component
         # are taken as one, unless that makes many more pairs.
@@ -418,20 +452,29 @@ class _Search:
         joint = rows.groupBy("main", "rep").agg(F.max("comp").alias("comp")).groupBy("main").agg(
             F.count(F.lit(1)).alias("members"), F.count(F.when(F.col("comp") != F.col("main"), 1)).alias("outside")
         )
+        # Stored, so that its size is known: rows need not be dealt by their main component.
         joint = joint.join(pairs, "main").filter("members * outside <= 2 * pairs").select("main", F.lit(True).alias("joint"))
+        joint = self.scratch.store(joint)
         joint = rows.join(joint, "main", "left").withColumn("joint", F.coalesce("joint", F.lit(False)))
         node = F.when(F.col("joint"), F.col("main")).otherwise(F.col("path")).alias("node")
         joint = joint.groupBy("joint", node, "main", "rep", "comp").agg(F.max("n").alias("n"))
         joint = self.scratch.store(joint)
-        wide = joint.groupBy("joint", "node").agg(F.ceil(F.sum("n") / PORTION_TOKENS).cast("int").alias("wide"))
-        joint = joint.join(wide, ["joint", "node"])
-        portion = F.pmod(F.xxhash64("rep"), F.col("wide")).cast("int").alias("portion")
-        members = joint.select("joint", "node", portion, "rep", "comp", F.lit(False).alias("out"))
-        every = F.explode(F.sequence(F.lit(0), F.col("wide") - 1)).alias("portion")
-        others = joint.filter("comp != main").select("joint", "node", every, "rep", "comp", F.lit(True).alias("out"))
+        sides = joint.groupBy("joint", "node").agg(
+            *(
+                F.ceil(F.sum(F.when(part, F.greatest("n", F.lit(SHORT)))) / PORTION_TOKENS).cast("int").alias(name)
+                for name, part in (("wide", F.lit(True)), ("deep", F.col("comp") != F.col("main")))
+            )
+        )
+        joint = joint.join(sides, ["joint", "node"])
+        own = [F.pmod(F.xxhash64("rep"), F.col(c)).cast("int") for c in ("wide", "deep")]
+        every = [F.explode(F.sequence(F.lit(0), F.col(c) - 1)) for c in ("wide", "deep")]
+        cell = ["joint", "node", "portion", "block"]
+        members = joint.select("joint", "node", own[0].alias("portion"), every[1].alias("block"), "rep", "comp", F.lit(False).alias("out"))
+        others = joint.filter("comp != main")
+        others = others.select("joint", "node", every[0].alias("portion"), own[1].alias("block"), "rep", "comp", F.lit(True).alias("out"))
         listed = F.collect_list(F.struct("comp", "out", "hashes")).alias("rows")
-        found = members.unionByName(others).join(self.sets, "rep").groupBy("joint", "node", "portion").agg(listed)
-        found = found.select("rows").mapInArrow(_outsider_links(self.percent), "a long, b long")
+        found = members.unionByName(others).join(self.sets, "rep").groupBy(*cell).agg(listed)
+        found = found.select("rows").mapInArrow(_outsider_stars(self.percent), "a long, b long")
         self.connect(self.scratch.store(found.distinct()))
         return large.join(nodes, "path", "left_anti")
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 
 from clientele.llm import chosen_path as module
-from clientele.llm.chosen_path import RECALL, _alike, _outsider_links, _paths, _sketches, chosen_path_duplicates, survival
+from clientele.llm.chosen_path import RECALL, _alike, _outsider_links, _paths, _sketches, _star, chosen_path_duplicates, survival
 from clientele.llm.common import mix
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -183,3 +183,54 @@ def test_near_copies_that_do_not_link_leave_no_pairs(spark, monkeypatch):
     got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in chosen_path_duplicates(docs).collect()}
     assert got == by_pairs(rows)
     assert max(n for columns, n in stored if columns == ["a", "b"]) < 20 * len(rows), stored
+
+
+def test_stars_connect_what_the_pairs_connect():
+    rng = np.random.default_rng(11)
+    for n in (0, 1, 2, 40, 400):
+        pairs = rng.integers(0, 300, (n, 2)) * 1_000_003 - 150
+        pairs = np.r_[pairs, np.stack([np.arange(50), np.arange(1, 51)], axis=1)[rng.permutation(50)]] if n > 2 else pairs
+        low = {int(i): int(i) for i in pairs.ravel()}
+
+        def root(x, low=low):
+            while low[x] != x:
+                x = low[x]
+            return x
+
+        for a, b in pairs.tolist():
+            one, two = sorted((root(a), root(b)))
+            low[two] = one
+        assert sorted(map(tuple, _star(pairs).tolist())) == sorted((root(i), i) for i in low if root(i) != i)
+
+
+@pytest.mark.parametrize("portion", [1 << 18, 3000])
+def test_a_node_with_many_outsiders_is_finished_at_once(spark, monkeypatch, portion):
+    # 150 near copies, and 250 texts that share two thirds of them: most link with nothing, some in
+    # twos and threes.  Such a node went through every level and the tiles; one step closes it.
+    monkeypatch.setattr(module, "PORTION_TOKENS", portion)
+    rng = random.Random(6)
+    base = [f"w{i}" for i in range(60)]
+    texts = []
+    for i in range(150):
+        copy = list(base)
+        copy[rng.randrange(60)] = f"own{i}"
+        texts.append(copy)
+    for i in range(250):
+        tail = base[:50] + [f"tail{i}_{j}" for j in range(10)]
+        texts.append(tail)
+        if i % 10 == 0:
+            texts += [tail[:-1] + [f"more{i}_{k}"] for k in range(1 + i % 20 // 10)]
+    rng.shuffle(texts)
+    rows = [(i + 1, " ".join(t)) for i, t in enumerate(texts)]
+
+    def left(self, large):
+        raise AssertionError("a node was left for the tiles")
+
+    monkeypatch.setattr(module._Search, "tiles", left)
+    stored = []
+    store = module.Scratch.store
+    monkeypatch.setattr(module.Scratch, "store", lambda self, frame, **options: stored.append(1) or store(self, frame, **options))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in chosen_path_duplicates(docs).collect()}
+    assert got == by_pairs(rows)
+    assert len(stored) < 45, len(stored)
