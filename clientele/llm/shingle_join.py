@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-import heapq
 import math
-from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -20,9 +18,15 @@ PERCENT = 75
 # Text that one range of hash values is meant to hold, and entries of one block.
 RANGE_BYTES = 8_000_000
 BLOCK_ENTRIES = 1_000_000
+# Leading bits by which shingles are counted: numbers that agree in them count as one, so
+# counts may be too high, never too low.
+COUNTED = 48
 SLICE_BYTES = 4_000_000
-# Documents that one task searches against each other.
+# Sets of the largest cluster that one task searches as a whole.
 TILE = 128
+# Sets of a larger cluster, and their shingles, of which one task gets two portions.
+PORTION = 4_096
+PORTION_ENTRIES = 1_000_000
 
 _STEP = np.array(
     [0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3,
@@ -84,7 +88,8 @@ def _cuts(sorted_hashes: np.ndarray, ranges: int):
 
 
 def _gaps(sorted_values: np.ndarray) -> bytes:
-    """Sorted numbers as differences, in 4 bytes each where those suffice."""
+    """The leading COUNTED bits of sorted numbers as differences, in 4 bytes each where those suffice."""
+    sorted_values = sorted_values >> np.uint64(64 - COUNTED)
     gaps = np.diff(sorted_values, prepend=sorted_values[:1])
     head = sorted_values[:1].tobytes()
     if gaps.max(initial=0) < 2**32:
@@ -98,6 +103,11 @@ def _ungaps(packed: bytes) -> np.ndarray:
     return np.cumsum(gaps, dtype=np.uint64) + np.frombuffer(packed, np.uint64, 1, 1)
 
 
+def _place_kind(documents: int):
+    """The type of places in a block of so many documents."""
+    return np.uint16 if documents <= 65536 else np.uint32
+
+
 _PARTS = "range int, block long, ids binary, sizes binary, digests binary, values binary, owners binary"
 
 
@@ -113,16 +123,14 @@ def _split_blocks(ranges: int, words: int):
             "sizes": sizes.tobytes(), "digests": b"".join(digests), "values": None, "owners": None,
         }
         values = np.concatenate(sets)
-        owners = np.repeat(np.arange(len(sets), dtype=np.uint32), sizes)
+        owners = np.repeat(np.arange(len(sets), dtype=_place_kind(len(sets))), sizes)
         order = np.argsort(values, kind="stable")
         values, owners = values[order], owners[order]
         for r, s, e in _cuts(values, ranges):
-            present, place = np.unique(owners[s:e], return_inverse=True)
-            kind = np.uint16 if len(present) < 65536 else np.uint32
             yield {
-                "range": r, "block": block, "ids": present.tobytes(), "sizes": None,
-                "digests": short[present].tobytes(), "values": _gaps(values[s:e]),
-                "owners": place.astype(kind).tobytes(),
+                "range": r, "block": block, "ids": None, "sizes": None,
+                "digests": short[np.unique(owners[s:e])].tobytes(),
+                "values": _gaps(values[s:e]), "owners": owners[s:e].tobytes(),
             }
 
     def run(batches):
@@ -161,13 +169,13 @@ def _repeated_in_range(rows: pd.DataFrame) -> pd.DataFrame:
     out = [(b, i, s, d, None) for b, i, s, d in zip(heads.block, heads.ids, heads.sizes, heads.digests)]
     if len(parts):
         values = [_ungaps(v) for v in parts["values"]]
-        places = []
-        for v, o, present in zip(values, parts.owners, parts.ids, strict=True):
-            wide = len(present) // 4 >= 65536
-            places.append(np.frombuffer(o, np.uint32 if wide else np.uint16))
-            assert len(v) == len(places[-1])
+        held = []
+        for v, o in zip(values, parts.owners, strict=True):
+            assert len(o) in (2 * len(v), 4 * len(v))
+            kind = np.uint16 if len(o) == 2 * len(v) else np.uint32
+            held.append(np.unique(np.frombuffer(o, kind), return_inverse=True))
         sets = np.concatenate(
-            [np.frombuffer(d, np.uint64)[p] for d, p in zip(parts.digests, places, strict=True)]
+            [np.frombuffer(d, np.uint64)[p] for d, (_, p) in zip(parts.digests, held, strict=True)]
         )
         every = np.concatenate(values)
         order = np.argsort(every, kind="stable")
@@ -177,10 +185,13 @@ def _repeated_in_range(rows: pd.DataFrame) -> pd.DataFrame:
         flags = np.empty(len(every), bool)
         flags[order] = np.repeat(shared, np.diff(np.r_[starts, len(every)]))
         at = 0
-        for b, present, p in zip(parts.block, parts.ids, places, strict=True):
-            counts = np.bincount(p[flags[at : at + len(p)]], minlength=len(present) // 4)
-            out.append((b, present, None, None, counts.astype(np.uint32).tobytes()))
+        for b, (present, p) in zip(parts.block, held, strict=True):
+            counts = np.bincount(p[flags[at : at + len(p)]], minlength=len(present))
             at += len(p)
+            some = np.flatnonzero(counts)
+            if len(some):
+                kind = np.uint8 if counts.max() < 256 else np.uint32
+                out.append((b, present[some].tobytes(), None, None, counts[some].astype(kind).tobytes()))
     return pd.DataFrame(out, columns=["block", "ids", "sizes", "digests", "counts"])
 
 
@@ -190,7 +201,8 @@ def _sum_block(rows: pd.DataFrame) -> pd.DataFrame:
     total = np.zeros(len(ids), np.int64)
     for present, counts in zip(rows["ids"], rows["counts"], strict=True):
         if counts is not None and not isinstance(counts, float):
-            total[np.frombuffer(present, np.uint32)] += np.frombuffer(counts, np.uint32)
+            present = np.frombuffer(present, _place_kind(len(ids)))
+            total[present] += np.frombuffer(counts, np.uint8 if len(counts) == len(present) else np.uint32)
     digests = [head.digests[i : i + 16] for i in range(0, len(head.digests), 16)]
     return pd.DataFrame({"id": ids, "n": sizes, "digest": digests, "shared": total})
 
@@ -198,7 +210,7 @@ def _sum_block(rows: pd.DataFrame) -> pd.DataFrame:
 def _profiles(docs: DataFrame, ranges: int, words: int) -> DataFrame:
     """(id, n, digest, shared) of each document with words.
 
-    shared: how many of its shingles occur in a different set too; counted on 48
+    shared: how many of its shingles occur in a different set too; counted on COUNTED
     bits, it may be too high by chance but never too low.
     """
     parts = docs.mapInArrow(_split_blocks(ranges, words), _PARTS)
@@ -349,110 +361,155 @@ def _overlap_needed(a: int, b: int, percent: int) -> int:
     return -(-percent * (a + b) // (100 + percent))
 
 
-def _holds(values: list, x) -> bool:
-    import bisect
-
-    i = bisect.bisect_left(values, x)
-    return i < len(values) and values[i] == x
-
-
-def divide_skip(lists: list[list[int]], needed, least: int) -> dict[int, int]:
-    """Ids that occur in at least ``needed(id)`` of the sorted ``lists``.
+def divide_skip(lists: list, needed, least: int) -> dict[int, int]:
+    """Ids that occur in at least ``needed(id)`` of the sorted ``lists``, with counts that suffice.
 
-    ``least`` is the smallest value of ``needed``.  The longest lists, fewer than
-    ``least``, are set aside; the short ones are merged by a heap, and an id that
-    occurs there often enough to make it is looked up in the long ones by binary
-    search.
+    ``needed`` may also be an array by id; ``least``, at least 1, is its smallest value.
+    The longest lists, fewer than ``least``, are set aside; the short ones are merged by
+    counting, and the ids that occur there often enough to make it are looked up in the
+    long ones by binary search.
     """
-    lists = sorted((x for x in lists if x), key=len)
+    lists = sorted((np.asarray(x, np.int64) for x in lists if len(x)), key=len)
     if len(lists) < least:
         return {}
     longest = len(lists[-1])
     skip = min(least - 1, int(least / (0.05 * math.log2(longest + 1) + 1)))
     short, long = lists[: len(lists) - skip], lists[len(lists) - skip :]
-    found = {}
-    for item, same in groupby(heapq.merge(*short)):
-        count, need = sum(1 for _ in same), needed(item)
-        left = len(long)
-        if count + left < need:
-            continue
-        for values in reversed(long):
-            if count >= need or count + left < need:
-                break
-            left -= 1
-            count += _holds(values, item)
-        if count >= need:
-            found[item] = count
-    return found
-
-
-class _Union:
-    def __init__(self, n: int):
-        self.up = list(range(n))
+    counts = np.bincount(np.concatenate(short))
+    items = np.flatnonzero(counts >= least - skip)
+    counts = counts[items]
+    need = needed[items] if isinstance(needed, np.ndarray) else np.array([needed(i) for i in items.tolist()], np.int64)
+    for left in range(skip, -1, -1):
+        able = counts + left >= need
+        if not able.all():
+            items, need, counts = items[able], need[able], counts[able]
+        if not left or (counts >= need).all():
+            break
+        values = long[left - 1]
+        at = np.minimum(np.searchsorted(values, items), len(values) - 1)
+        counts = counts + (values[at] == items)
+    return dict(zip(items.tolist(), counts.tolist(), strict=True))
 
-    def root(self, x: int) -> int:
-        while self.up[x] != x:
-            self.up[x] = self.up[self.up[x]]
-            x = self.up[x]
-        return x
 
+def _differences(sets: list[np.ndarray], sizes: np.ndarray):
+    """Inverted lists of what sets have apart from their core: what most of them hold.
 
-def linked_groups(sets: list[np.ndarray], percent: int = PERCENT, known=None) -> list[tuple[int, int]]:
+    Returns the size of the core, how much of it each set holds, the lists (ids of the
+    sets that hold an element outside the core or lack one inside, only lists of several
+    sets), and for each set the lists that it is on.  Two sets share as many elements as
+    they are on lists together, plus what each holds of the core, less the core.  Near
+    copies hold the same for the most part, and then the lists are short.
+    """
+    count = len(sets)
+    _, element = np.unique(np.concatenate(sets), return_inverse=True)
+    owners = np.repeat(np.arange(count), sizes)
+    common = 2 * np.bincount(element) > count
+    inside = common[element]
+    within = np.bincount(owners[inside], minlength=count)
+    core = np.flatnonzero(common)
+    lacks = np.ones((count, len(core)), bool)
+    lacks[owners[inside], (np.cumsum(common) - 1)[element[inside]]] = False
+    lacking, lacked = np.nonzero(lacks)
+    owners = np.concatenate([owners[~inside], lacking])
+    element = np.concatenate([element[~inside], core[lacked]])
+    several = np.bincount(element, minlength=1)[element] > 1
+    owners, element = owners[several], element[several]
+    order = np.lexsort((owners, element))
+    owners, element = owners[order], element[order]
+    new = np.ones(len(element), bool)
+    new[1:] = element[1:] != element[:-1]
+    number = np.cumsum(new) - 1
+    lists = np.split(owners, np.flatnonzero(new)[1:])
+    order = np.argsort(owners, kind="stable")
+    on = np.split(number[order], np.cumsum(np.bincount(owners, minlength=count))[:-1])
+    return len(core), within, lists, on
+
+
+def linked_groups(
+    sets: list[np.ndarray], percent: int = PERCENT, known=None, asking=None
+) -> list[tuple[int, int]]:
     """Links between these sets that connect whatever any link connects.
 
     Every set in turn is a query against the inverted lists of the others, without
     those that links already connect with it: such a link could join nothing.
-    ``known``: numbers of groups whose members are connected already.
+    ``known``: numbers of groups whose members are connected already; the largest of
+    them need not ask.  ``asking``: which sets are queries, all others being connected
+    with each other or compared elsewhere.
     """
-    union = _Union(len(sets))
-    first: dict[int, int] = {}
-    for i, g in enumerate(known if known is not None else []):
-        union.up[union.root(i)] = union.root(first.setdefault(g, i))
-    index: dict[int, list[int]] = {}
-    for i, s in enumerate(sets):
-        for h in s.tolist():
-            index.setdefault(h, []).append(i)
-    sizes = [len(s) for s in sets]
+    count = len(sets)
+    if count < 2:
+        return []
+    sizes = np.array([len(s) for s in sets], np.int64)
+    label = np.arange(count) if known is None else np.unique(known, return_inverse=True)[1]
+    apart = len(np.unique(label))
+    queries = label != np.bincount(label).argmax() if asking is None else np.asarray(asking, bool)
+    if apart == 1 or not queries.any():
+        return []
+    core, within, lists, on = _differences(sets, sizes)
     links = []
-    apart = len({union.root(i) for i in range(len(sets))})
-    for q, s in enumerate(sets):
+    asked = np.zeros(count, bool)
+
+    def join(q: int, found: np.ndarray) -> None:
+        nonlocal apart
+        labels, first = np.unique(label[found], return_index=True)
+        links.extend((q, i) for i in found[first].tolist())
+        label[np.isin(label, labels)] = label[q]
+        apart -= len(labels)
+
+    for q in np.flatnonzero(queries).tolist():
         if apart == 1:
             break
-        own = union.root(q)
-        lists = []
-        for h in s.tolist():
-            held = index[h]
-            if len(held) > 1:
-                lists.append([
-                    i for i in held
-                    if union.root(i) != own
-                    and 100 * min(sizes[i], sizes[q]) >= percent * max(sizes[i], sizes[q])
-                ])
-        lists = [x for x in lists if x]
-        low = min((sizes[i] for x in lists for i in x), default=0)
-        least = _overlap_needed(sizes[q], low, percent)
-        if len(lists) < least:
+        able = (label != label[q]) & ~asked
+        asked[q] = True
+        able &= 100 * np.minimum(sizes, sizes[q]) >= percent * np.maximum(sizes, sizes[q])
+        need = _overlap_needed(sizes[q], sizes, percent) + core - within[q] - within
+        sure = np.flatnonzero(able & (need <= 0))
+        if len(sure):
+            join(q, sure)
+            able &= label != label[q]
+        if not able.any():
+            continue
+        least = int(need[able].min())
+        if len(on[q]) < least:
             continue
-        for i in divide_skip(lists, lambda i: _overlap_needed(sizes[q], sizes[i], percent), least):
-            a, b = union.root(q), union.root(i)
-            if a != b:
-                union.up[b] = a
-                links.append((q, i))
-                apart -= 1
+        need[~able] = len(on[q]) + 1
+        found = divide_skip([lists[i] for i in on[q].tolist()], need, least)
+        if found:
+            join(q, np.fromiter(found, np.int64))
     return links
 
 
 def _search(percent: int):
+    """Links of the sets that ask with all sets of two portions."""
+
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.drop_duplicates("rep")
         reps = rows["rep"].tolist()
         sets = [np.frombuffer(h, np.uint64) for h in rows["hashes"]]
-        links = linked_groups(sets, percent, rows["part"].tolist())
+        links = linked_groups(sets, percent, rows["part"].to_numpy(), rows["asks"].to_numpy())
         return pd.DataFrame([(reps[i], reps[j]) for i, j in links], columns=["a", "b"])
 
     return run
 
 
+def _search_clusters(percent: int):
+    """Links within each of several clusters."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.drop_duplicates("rep").sort_values("cluster", kind="stable")
+        cluster, reps = rows["cluster"].to_numpy(), rows["rep"].tolist()
+        sets = [np.frombuffer(h, np.uint64) for h in rows["hashes"]]
+        starts = np.flatnonzero(np.r_[True, cluster[1:] != cluster[:-1]]).tolist()
+        links = [
+            (reps[s + i], reps[s + j])
+            for s, e in zip(starts, [*starts[1:], len(sets)], strict=True)
+            for i, j in linked_groups(sets[s:e], percent)
+        ]
+        return pd.DataFrame(links, columns=["a", "b"])
+
+    return run
+
+
 def _probe(percent: int):
     """Links among pairs of sets: one is looked up in the other by binary search."""
 
@@ -477,30 +534,48 @@ def _rows_of_blocks(frames):
             yield pd.DataFrame({"rep": reps, "hashes": [s.tobytes() for s in sets]})
 
 
+def _portions(members: DataFrame, percent: int) -> DataFrame:
+    """``members`` with a band of like sizes and a portion of it, ends of (cluster, outside).
+
+    Sets that link are in one band or in neighbouring ones.  A portion has about PORTION
+    sets and PORTION_ENTRIES shingles at most.
+    """
+    band = F.floor(F.log("n") / F.lit(math.log(max(100 / percent, 1.05))) + F.lit(1e-9)).cast("int")
+    members = members.withColumn("band", band)
+    place = ["cluster", "outside", "band"]
+    wide = members.groupBy(*place).agg(
+        F.ceil(F.greatest(F.count(F.lit(1)) / PORTION, F.sum("n") / PORTION_ENTRIES)).cast("int").alias("wide")
+    )
+    return members.join(wide, place).withColumn("portion", F.pmod(F.xxhash64("rep"), F.col("wide")).cast("int"))
+
+
 def _links(sets: DataFrame, stars: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
     """Links that connect the classes as all links do.
 
     Candidate edges fall into clusters; sets of different clusters cannot link.  A
-    cluster of up to TILE sets is searched by one task.  In a larger one the edges
-    themselves are checked first, set against set, which connects most of it; then
-    tiles of sets from different connected parts are searched against each other,
-    so that no task ever gets more than 2 * TILE sets.
+    cluster of up to TILE sets is searched as a whole.  In a larger one the edges
+    themselves are checked first, set against set, which connects most of it.  What is
+    not in the cluster's largest connected part is then searched against the cluster,
+    portion by portion, so that no task ever gets more than two portions.
     """
     clusters = components(stars, scratch).withColumnsRenamed({"node": "rep", "component": "cluster"})
     sizes = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("members"))
     clusters = scratch.store(clusters.join(sizes, "cluster"))
-    small = clusters.filter(F.col("members") <= TILE)
-    search = _search(percent)
+    sets = scratch.store(sets.join(clusters, "rep"))
+    small = sets.filter(F.col("members") <= TILE)
+    entries = small.agg(F.sum(F.expr("octet_length(hashes) div 8"))).first()[0] or 0
+    least = int(scratch.spark.conf.get("spark.sql.shuffle.partitions"))
+    groups = max(least, math.ceil(entries / PORTION_ENTRIES))
     within = (
-        small.join(sets, "rep")
-        .select(F.col("cluster"), "rep", "hashes", F.col("rep").alias("part"))
-        .groupBy("cluster")
-        .applyInPandas(search, "a long, b long")
+        small.select("cluster", "rep", "hashes")
+        .groupBy(F.pmod(F.xxhash64("cluster"), F.lit(groups)).alias("group"))
+        .applyInPandas(_search_clusters(percent), "a long, b long")
     )
     within = scratch.store(within)
     large = clusters.filter(F.col("members") > TILE)
     if large.isEmpty():
         return within
+    sets = sets.filter(F.col("members") > TILE).select("rep", "hashes")
     edges = stars.join(large.select(F.col("rep").alias("a")), "a", "left_semi")
     left = sets.select(F.col("rep").alias("a"), F.col("hashes").alias("left"))
     right = sets.select(F.col("rep").alias("b"), F.col("hashes").alias("right"))
@@ -508,38 +583,49 @@ def _links(sets: DataFrame, stars: DataFrame, scratch: Scratch, percent: int) ->
         edges.join(left, "a").join(right, "b").mapInPandas(_probe(percent), "a long, b long")
     )
     parts = components(checked, scratch).withColumnsRenamed({"node": "rep", "component": "part"})
-    placed = large.join(parts, "rep", "left").withColumn("part", F.coalesce("part", "rep"))
-    part_sizes = placed.groupBy("cluster", "part").agg(F.count(F.lit(1)).alias("of_part"))
-    placed = placed.join(part_sizes, ["cluster", "part"]).filter("of_part < members")
-    # Small parts share tiles (group -1); a large part has tiles of its own.
-    group = F.when(F.col("of_part") >= TILE, F.col("part")).otherwise(F.lit(-1).cast("long"))
-    placed = scratch.store(placed.withColumn("group", group))
-    grouped = placed.groupBy("cluster", "group").agg(F.count(F.lit(1)).alias("of_group"))
-    tiles = grouped.select(
-        "cluster", "group",
-        F.explode(F.sequence(F.lit(0), F.ceil(F.col("of_group") / TILE).cast("int") - 1)).alias("tile"),
-    )
-    wide = F.ceil(F.col("of_group") / TILE).cast("int")
-    placed = placed.join(grouped, ["cluster", "group"]).withColumn(
-        "tile", F.pmod(F.xxhash64("rep"), wide).cast("int")
+    placed = scratch.store(
+        large.join(parts, "rep", "left").withColumn("part", F.coalesce("part", "rep"))
+    )
+    main = (
+        placed.groupBy("cluster", "part")
+        .agg(F.count(F.lit(1)).alias("of_part"))
+        .groupBy("cluster")
+        .agg(F.max(F.struct("of_part", "part")).alias("main"))
     )
-    one = tiles.withColumnsRenamed({"group": "g1", "tile": "t1"})
-    two = tiles.withColumnsRenamed({"group": "g2", "tile": "t2"})
-    # Tiles, not rows, of one cluster are paired; within a part nothing is open.
+    lengths = sets.select("rep", F.expr("octet_length(hashes) div 8").alias("n")).distinct()
+    placed = (
+        placed.join(main, "cluster")
+        .filter("main.of_part < members")
+        .select("cluster", "rep", "part", (F.col("part") != F.col("main.part")).alias("outside"))
+        .join(lengths, "rep")
+    )
+    placed = scratch.store(_portions(placed, percent))
+    dealt = placed.select("cluster", "outside", "band", "portion").distinct()
+    one = dealt.filter("outside").select("cluster", F.col("band").alias("b1"), F.col("portion").alias("p1"))
+    two = dealt.select(
+        "cluster", F.col("outside").alias("o2"), F.col("band").alias("b2"), F.col("portion").alias("p2")
+    )
+    # Portions, not rows, are paired; two of outsiders once only, within the main part nothing is open.
     pairs = scratch.store(
         one.join(two, "cluster").filter(
-            "(g1 < g2 or (g1 = g2 and t1 <= t2)) and not (g1 = g2 and g1 != -1)"
+            "abs(b1 - b2) <= 1 and (not o2 or b1 < b2 or (b1 = b2 and p1 <= p2))"
         )
     )
-    ends = pairs.select("*", F.explode(F.array_distinct(F.array(
-        F.struct(F.col("g1").alias("group"), F.col("t1").alias("tile")),
-        F.struct(F.col("g2").alias("group"), F.col("t2").alias("tile")),
-    ))).alias("end")).select("cluster", "g1", "t1", "g2", "t2", "end.*")
+    pair = ["cluster", "b1", "p1", "o2", "b2", "p2"]
+    asks = pairs.select(
+        *pair, F.lit(True).alias("outside"), F.col("b1").alias("band"), F.col("p1").alias("portion"),
+        F.lit(True).alias("asks"),
+    )
+    others = pairs.filter("not (o2 and b1 = b2 and p1 = p2)").select(
+        *pair, F.col("o2").alias("outside"), F.col("b2").alias("band"), F.col("p2").alias("portion"),
+        F.lit(False).alias("asks"),
+    )
     across = (
-        ends.join(placed.select("cluster", "group", "tile", "rep", "part"), ["cluster", "group", "tile"])
+        asks.unionByName(others)
+        .join(placed.select("cluster", "outside", "band", "portion", "rep", "part"), ["cluster", "outside", "band", "portion"])
         .join(sets, "rep")
-        .groupBy("cluster", "g1", "t1", "g2", "t2")
-        .applyInPandas(search, "a long, b long")
+        .groupBy(*pair)
+        .applyInPandas(_search(percent), "a long, b long")
     )
     return scratch.store(within.unionByName(checked).unionByName(across))
 

@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -89,6 +90,108 @@ def test_equal_to_all_pairs(spark, monkeypatch, tile):
     assert result(near_duplicates(docs.repartition(3))) == by_pairs(rows)
 
 
+def families(seed=2):
+    """Two texts with copies that differ in more and more words, some beyond any link, and chains of copies."""
+    rng = random.Random(seed)
+    rows = []
+    for size in (60, 130):
+        base = [f"b{size}_{i}" for i in range(size)]
+        for n in range(60):
+            copy = list(base)
+            for at in rng.sample(range(size), n * size // 400):
+                copy[at] = f"new{rng.randrange(10**6)}"
+            # Some end early, so that lengths differ too.
+            copy = copy[: size - rng.choice([0, 0, 0, size // 8])]
+            rows.append((len(rows) + 1, " ".join(copy)))
+            if n % 9 == 0:
+                rows.append((len(rows) + 1, " ".join([*copy[:-1], "last"])))
+    rng.shuffle(rows)
+    return rows
+
+
+@pytest.mark.parametrize(("portion", "entries"), [(7, 10**6), (4096, 500), (4096, 10**6)])
+def test_large_clusters_in_portions(spark, monkeypatch, portion, entries):
+    monkeypatch.setattr(shingle_join, "TILE", 4)
+    monkeypatch.setattr(shingle_join, "PORTION", portion)
+    monkeypatch.setattr(shingle_join, "PORTION_ENTRIES", entries)
+    rows = families()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    expected = by_pairs(rows)
+    assert len({c for _, c in expected.values()}) > 10
+    assert result(near_duplicates(docs.repartition(3))) == expected
+
+
+def test_near_copies_are_compared_by_what_differs():
+    # 1,000 copies of a text, most of them too far from each other: once over a minute.
+    rng = np.random.default_rng(5)
+    base, sets = rng.integers(0, 2**63, 396, dtype=np.uint64), []
+    for _ in range(1000):
+        copy = base.copy()
+        for at in rng.integers(0, 391, rng.integers(2, 30)):
+            copy[at : at + 5] = rng.integers(0, 2**63, 5, dtype=np.uint64)
+        sets.append(np.unique(copy))
+    began = time.process_time()
+    links = linked_groups(sets)
+    assert time.process_time() - began < 20
+    every, place = np.unique(np.concatenate(sets), return_inverse=True)
+    holds = np.zeros((len(sets), len(every)), np.float32)
+    sizes = np.array([len(s) for s in sets])
+    holds[np.repeat(np.arange(len(sets)), sizes), place] = 1
+    both = (holds @ holds.T).astype(np.int64)
+    linked = 100 * both >= 75 * (sizes[:, None] + sizes - both)
+    low = list(range(len(sets)))
+
+    def root(x):
+        while low[x] != x:
+            x = low[x]
+        return x
+
+    for i, j in links:
+        assert linked[i, j]
+        low[root(i)] = root(j)
+    roots = np.array([root(i) for i in range(len(sets))])
+    assert 50 < len(set(roots.tolist())) < 950
+    assert (roots[:, None] == roots)[linked].all()
+
+
+def test_sets_that_ask_meet_all_others():
+    rng = random.Random(6)
+    for _ in range(40):
+        base = rng.sample(range(1000), 40)
+        sets = [
+            np.array(sorted({*base[: rng.randrange(20, 40)], *rng.sample(range(1000), rng.randrange(0, 8))}), np.uint64)
+            for _ in range(14)
+        ]
+        known = np.array([0] * 6 + list(range(1, 9)))
+        asking = np.array([False] * 6 + [rng.random() < 0.6 for _ in range(8)])
+        up = {g: g for g in range(9)}
+
+        def root(x, up=up):
+            while up[x] != x:
+                x = up[x]
+            return x
+
+        for i, j in linked_groups(sets, 75, known, asking):
+            both = len(np.intersect1d(sets[i], sets[j]))
+            assert 100 * both >= 75 * (len(sets[i]) + len(sets[j]) - both)
+            up[root(known[i])] = root(known[j])
+        for i in np.flatnonzero(asking):
+            for j in range(14):
+                both = len(np.intersect1d(sets[i], sets[j]))
+                if 100 * both >= 75 * (len(sets[i]) + len(sets[j]) - both):
+                    assert root(known[i]) == root(known[j])
+
+
+def test_counted_shingles_are_few_bytes_in_many_ranges(spark):
+    rng = random.Random(8)
+    texts = [(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(404))) for i in range(2000)]
+    docs = spark.createDataFrame(texts, "__id long, __text string").coalesce(1)
+    parts = docs.mapInArrow(shingle_join._split_blocks(1250, 5), shingle_join._PARTS)
+    held = sum(F.coalesce(F.octet_length(c), F.lit(0)) for c in ("ids", "sizes", "digests", "values", "owners"))
+    # Over 20 bytes a shingle before.
+    assert parts.agg(F.sum(held)).first()[0] < 14 * 400 * 2000
+
+
 def test_repeated_and_null_ids(spark):
     a = " ".join("abcdefghij")
     rows = [(5, a), (5, a), (7, "other words that are quite long here"), (7, a), (None, a), (9, "z y x w v u t")]
