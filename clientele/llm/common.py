@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from functools import cache
@@ -118,6 +119,14 @@ class Scratch:
         writer.option("path", f"{self.root}/steps/{self._count}").saveAsTable(table)
         return self.spark.table(table)
 
+    def free(self) -> None:
+        """Let Spark delete the shuffle files of stored steps.
+
+        Otherwise they stay until the driver happens to collect its garbage.
+        """
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def keep(self, frame: DataFrame) -> DataFrame:
         """Like ``store``, but the table stays until ``release``."""
         self.append(frame)

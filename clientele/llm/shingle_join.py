@@ -662,6 +662,7 @@ def near_duplicates(
         least = int(spark.conf.get("spark.sql.shuffle.partitions"))
         ranges = max(least, math.ceil(total / RANGE_BYTES))
         profiles = scratch.store(_profiles(named, ranges, words))
+        scratch.free()
         # A class is known by a hash of its digest; ids may repeat with other texts.
         classes = scratch.store(
             profiles.groupBy("digest")
@@ -674,6 +675,7 @@ def near_duplicates(
             .select("rep", "digest", "__text")
             .mapInArrow(_pack_sets(words), "block long, reps binary, sizes binary, hashes binary")
         )
+        scratch.free()
         levels = (
             blocks.select("block", "reps", "sizes", "hashes")
             .mapInPandas(_block_entries(ranges), "range int, block long, values binary")
