@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import gc
 import tempfile
+import time
 import uuid
 from functools import cache
 
@@ -122,10 +123,13 @@ class Scratch:
     def free(self) -> None:
         """Let Spark delete the shuffle files of stored steps.
 
-        Otherwise they stay until the driver happens to collect its garbage.
+        Otherwise they stay until the driver happens to collect its garbage.  Spark still
+        holds a step for a moment after its end, so this is asked for twice.
         """
-        gc.collect()
-        self.spark._jvm.System.gc()
+        for _ in range(2):
+            gc.collect()
+            self.spark._jvm.System.gc()
+            time.sleep(0.5)
 
     def keep(self, frame: DataFrame) -> DataFrame:
         """Like ``store``, but the table stays until ``release``."""

@@ -394,9 +394,9 @@ def divide_skip(lists: list, needed, least: int) -> dict[int, int]:
 def _differences(sets: list[np.ndarray], sizes: np.ndarray):
     """Inverted lists of what sets have apart from their core: what most of them hold.
 
-    Returns the size of the core, how much of it each set holds, the lists (ids of the
-    sets that hold an element outside the core or lack one inside, only lists of several
-    sets), and for each set the lists that it is on.  Two sets share as many elements as
+    Returns the size of the core, how much of it each set holds, the lists one after the
+    other (ids of the sets that hold an element outside the core or lack one inside, only
+    lists of several sets) with their borders, and for each set the lists that it is on.  Two sets share as many elements as
     they are on lists together, plus what each holds of the core, less the core.  Near
     copies hold the same for the most part, and then the lists are short.
     """
@@ -419,10 +419,10 @@ def _differences(sets: list[np.ndarray], sizes: np.ndarray):
     new = np.ones(len(element), bool)
     new[1:] = element[1:] != element[:-1]
     number = np.cumsum(new) - 1
-    lists = np.split(owners, np.flatnonzero(new)[1:])
+    borders = np.append(np.flatnonzero(new), len(owners))
     order = np.argsort(owners, kind="stable")
     on = np.split(number[order], np.cumsum(np.bincount(owners, minlength=count))[:-1])
-    return len(core), within, lists, on
+    return len(core), within, owners, borders, on
 
 
 def linked_groups(
@@ -445,7 +445,7 @@ def linked_groups(
     queries = label != np.bincount(label).argmax() if asking is None else np.asarray(asking, bool)
     if apart == 1 or not queries.any():
         return []
-    core, within, lists, on = _differences(sets, sizes)
+    core, within, ids, borders, on = _differences(sets, sizes)
     links = []
     asked = np.zeros(count, bool)
 
@@ -473,7 +473,8 @@ def linked_groups(
         if len(on[q]) < least:
             continue
         need[~able] = len(on[q]) + 1
-        found = divide_skip([lists[i] for i in on[q].tolist()], need, least)
+        ends = zip(borders[on[q]].tolist(), borders[on[q] + 1].tolist(), strict=True)
+        found = divide_skip([ids[s:e] for s, e in ends], need, least)
         if found:
             join(q, np.fromiter(found, np.int64))
     return links
